@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.session import durable
+
 CHANGES = "record_table string, kind string, export_file string, field string, old_field string, change string"
 SCALARS = ("string", "number", "boolean")
 
@@ -73,7 +75,7 @@ def _renamings(objects: DataFrame, steps: DataFrame) -> DataFrame:
     single = F.col("types").isin(*SCALARS)
     gone = steps.where("new_types is null").select(*series, "old_file", F.col("field").alias("old_field"), F.col("old_types").alias("types")).where(single)
     came = steps.where("old_types is null").select(*series, F.col("field"), F.col("new_types").alias("types")).where(single)
-    pairs = gone.join(came, [*series, "types"])
+    pairs = durable(gone.join(came, [*series, "types"]))
     looked = pairs.select("record_table", "kind", F.col("old_file").alias("export_file"), F.col("old_field").alias("field")).unionByName(pairs.select(*series, "field")).distinct()
     wanted = looked.groupBy(*series).agg(F.collect_set("field").alias("fields"))
     text = path_values(objects.join(wanted, series, "left_semi")).join(looked, [*series, "field"], "left_semi")
@@ -106,10 +108,11 @@ def schema_changes(objects: DataFrame) -> DataFrame:
 
     `added`, `removed`, `retyped` (another set of JSON types), `renamed` (a removed and an added field with the same single
     scalar type, at least half of whose new distinct values the old field had in the file before). A kind that occurs in
-    one file only has no changes; an empty table has none.
+    one file only has no changes; an empty table has none. Statistics, steps and candidate pairs are as large as the schemas;
+    their lineage is cut, so the plans stay small.
     """
-    stats = path_statistics(path_values(objects))
-    steps = _steps(stats)
+    stats = durable(path_statistics(path_values(objects)))
+    steps = durable(_steps(stats))
     none = F.lit(None)
     plain = steps.select("record_table", "kind", "export_file", "field", none.cast("string").alias("old_field"), "new_types", "old_types", none.cast("double").alias("share"))
     renamed = _renamings(objects, steps).select("record_table", "kind", "export_file", "field", "old_field", none.cast("string").alias("new_types"), none.cast("string").alias("old_types"), "share")

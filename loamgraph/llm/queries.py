@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import distinctive, leaks, truncation
+from loamgraph.llm import distinctive, leaks, truncation, vectors
 from loamgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -28,6 +28,12 @@ def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    code, knowledge = (vectors.most_similar(table(spark, folder, t), k=5, min_cosine=0.8) for t in ("code_embeddings", "knowledge_embeddings"))
+    return vectors.mutual_pairs(code.unionByName(knowledge))
+
+
 @query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_pairs(leaks.passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")))

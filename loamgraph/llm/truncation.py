@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A spike: at least so many texts at one length, and so many times as many as lie at each of the lengths just below.
-SPIKE_LEAST, SPIKE_TIMES, SPIKE_NEAR = 3, 3.0, 16
+#: A spike: at least so many texts at one length, and so many times as many as at each of the lengths near it. It lies at
+#: the maximum if no more than SPIKE_LONGER of the source's texts are longer.
+SPIKE_LEAST, SPIKE_TIMES, SPIKE_NEAR, SPIKE_LONGER = 5, 4.0, 16, 0.02
 SUBJECT_CHARS = 72
+TRAILER = r"^[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: "
 
 # Signs put after a cut, and closers that may follow the end of a sentence.
 CUT_SIGNS = r"(?:…|\.\.\.|�|\[(?:cut|truncated|…|\.\.\.)\]|\((?:cut|truncated|continued|…|\.\.\.)\)|<(?:cut|truncated)\s*/?>)"
@@ -25,25 +27,28 @@ def stem(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?:\s|{CLOSING_TAG})+\z", "")
 
 
-def ends_whole(text: Column, source: Column) -> Column:
-    """Whether a text ends where a writer may stop: a full sentence (perhaps inside quotes, brackets or emphasis), a closed
-    code block, a complete table row, a trailer line, or, in `commits/` sources, a short subject line. Null for null or blank
-    texts. Signs and tags after the cut do not make it whole."""
+def end_of(text: Column, source: Column) -> Column:
+    """How a text ends: `full`, `weak` or `cut`; null for null or blank texts.
+
+    `full`: a full sentence (perhaps inside quotes, brackets or emphasis), a closed code block or a complete table row.
+    `weak`: a trailer line `Key: value` or, in `commits/` sources, a short subject line; such an end is whole only where no
+    limit can have made it. Signs and tags after a cut do not make it whole.
+    """
     body = stem(text)
-    line = F.element_at(F.split(body, "\n"), -1)
-    fences = F.regexp_count(body, F.lit(r"(?m)^\s*(?:>\s*)?```"))
-    open_code = fences % 2 == 1
+    lines = F.split(body, "\n")
+    line = F.element_at(lines, -1)
+    above = F.when(F.size(lines) > 1, F.element_at(lines, F.greatest(-F.size(lines), F.lit(-2))))
+    open_code = F.regexp_count(body, F.lit(r"(?m)^\s*(?:>\s*)?```")) % 2 == 1
     marked = body.rlike(rf"{CUT_SIGNS}{CLOSERS}*\z")
     sentence = line.rlike(rf"{SENTENCE_END}{CLOSERS}*\z") & ~line.rlike(r"(?:^|\s)\S*/[\w/-]*\.\z") & ~_open_pair(line)
     closed_code = line.rlike(r"^\s*(?:>\s*)?```\z")
     cells = F.regexp_count(line, F.lit(r"\|"))
-    above = F.element_at(F.split(body, "\n"), F.greatest(-F.size(F.split(body, "\n")), F.lit(-2)))
-    row = line.rlike(r"^\s*\|.*\|\z") & (~above.rlike(r"^\s*\|.*\|\s*\z") | (F.regexp_count(above, F.lit(r"\|")) <= cells))
-    apart = above.isNull() | (F.trim(above) == "") | above.rlike(r"^[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: \S") | (F.size(F.split(body, "\n")) == 1)
-    trailer = apart & (line.rlike(r"^[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: \S+\z") | line.rlike(r"^[A-Z][A-Za-z]*(?:-[A-Za-z]+)*-[Bb]y: .+[\w>]\z"))
-    subject = source.startswith("commits/") & ~body.contains("\n") & (F.length(body) <= SUBJECT_CHARS) & (F.length(body) > 0) & line.rlike(r"[\p{L}\p{N})`]\z")
-    whole = ~marked & F.when(open_code, F.lit(False)).otherwise(sentence | closed_code | row | trailer | subject)
-    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) != "", F.coalesce(whole, F.lit(False)))
+    row = line.rlike(r"^\s*\|.*\|\z") & F.coalesce(~above.rlike(r"^\s*\|.*\|\s*\z") | (F.regexp_count(above, F.lit(r"\|")) <= cells), F.lit(True))
+    apart = F.coalesce((F.trim(above) == "") | above.rlike(TRAILER), F.lit(True))
+    trailer = apart & (line.rlike(rf"{TRAILER}\S+\z") | line.rlike(rf"^[A-Z][A-Za-z-]*-[Bb]y: .+[\w>]\z"))
+    subject = F.coalesce(source.startswith("commits/"), F.lit(False)) & above.isNull() & F.length(body).between(1, SUBJECT_CHARS) & line.rlike(r"[\p{L}\p{N})`]\z")
+    end = F.when(marked | open_code, "cut").when(sentence | closed_code | row, "full").when(trailer | subject, "weak").otherwise("cut")
+    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) != "", end)
 
 
 def _open_pair(line: Column) -> Column:
@@ -61,35 +66,35 @@ def length_histogram(texts: DataFrame) -> DataFrame:
 def length_spikes(histogram: DataFrame) -> DataFrame:
     """Lengths at which a source's texts pile up as under a limit: source, field, unit, length, n, at_maximum.
 
-    A spike holds at least SPIKE_LEAST texts and SPIKE_TIMES the largest count of the SPIKE_NEAR lengths on both sides (a
-    limit in bytes may cut up to three bytes earlier, so the spike's own neighbours below by three are not compared). It
-    lies `at_maximum` if no longer text of the source is as frequent.
+    A limit in bytes may cut up to three bytes earlier (inside a letter), so the three lengths just below a spike are not
+    compared with it. The windows run over the lengths that occur, not over the texts.
     """
     per = Window.partitionBy("source", "field", "unit").orderBy("length")
-    below, above = F.max("n").over(per.rangeBetween(-SPIKE_NEAR, -4)), F.max("n").over(per.rangeBetween(1, SPIKE_NEAR))
-    longer = F.max("n").over(per.rangeBetween(1, Window.unboundedFollowing))
-    rows = histogram.select("*", F.coalesce(F.greatest(below, above), F.lit(0)).alias("near"), (F.coalesce(longer, F.lit(0)) < F.col("n")).alias("at_maximum"))
+    near = F.greatest(F.max("n").over(per.rangeBetween(-SPIKE_NEAR, -4)), F.max("n").over(per.rangeBetween(1, SPIKE_NEAR)))
+    upto = F.sum("n").over(per.rangeBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy("source", "field", "unit"))
+    rows = histogram.select("*", F.coalesce(near, F.lit(0)).alias("near"), (total - upto <= SPIKE_LONGER * total).alias("at_maximum"))
     return rows.where((F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_TIMES * F.col("near"))).drop("near")
 
 
 def flagged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, is_text, cut, cause) of every document: cause is `limit`, `transfer` or null.
 
-    `limit`: without a terminal end and at (or, in bytes, up to three below) a spike of its source; `transfer`: without a
-    terminal end elsewhere. Blank and null texts are no texts and not cut. The spikes are at most 1 / SPIKE_LEAST of the
-    texts in number, so they are joined by source, not broadcast by force.
+    `limit`: the length lies at a spike at the maximum of its source (in bytes: up to three below) and the text has no full
+    end. `transfer`: elsewhere, and the text has no whole end (full or weak). Blank and null texts are no texts and not cut;
+    a null source counts as one source. A source has few limits; they are joined by source.
     """
     texts = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    spikes = length_spikes(length_histogram(texts.withColumn("field", F.lit("text"))))
-    limits = spikes.where("at_maximum").groupBy("source").agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
-    rows = texts.select("doc_id", "source", ends_whole(F.col("text"), F.col("source")).alias("whole"), F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
+    spikes = length_spikes(length_histogram(texts.withColumn("field", F.lit("text")))).where("at_maximum")
+    limits = spikes.groupBy("source").agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
+    rows = texts.select("doc_id", "source", end_of(F.col("text"), F.col("source")).alias("end"), F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
     joined = rows.join(limits, "source", "left")
-    hit = F.exists(
-        F.coalesce("limits", F.array().cast("array<struct<unit:string,length:int>>")),
-        lambda s: F.when(s["unit"] == "chars", s["length"] == F.col("chars")).otherwise((F.col("octets") <= s["length"]) & (F.col("octets") > s["length"] - 4)),
+    hit = F.coalesce(
+        F.exists("limits", lambda s: F.when(s["unit"] == "chars", s["length"] == F.col("chars")).otherwise((F.col("octets") <= s["length"]) & (F.col("octets") > s["length"] - 4))),
+        F.lit(False),
     )
-    cut = F.coalesce(~F.col("whole"), F.lit(False))
-    return joined.select("doc_id", "source", F.col("whole").isNotNull().alias("is_text"), cut.alias("cut"), F.when(cut & hit, "limit").when(cut, "transfer").alias("cause"))
+    cause = F.when(hit & (F.col("end") != "full"), "limit").when(F.col("end") == "cut", "transfer")
+    return joined.select("doc_id", "source", F.col("end").isNotNull().alias("is_text"), cause.isNotNull().alias("cut"), cause.alias("cause"))
 
 
 def truncation_report(rows: DataFrame) -> DataFrame:

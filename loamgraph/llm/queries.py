@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import distinctive, leaks, truncation, vectors
+from loamgraph.llm import distinctive, leaks, neardup, truncation, vectors
 from loamgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -28,6 +28,17 @@ def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    sets = neardup.shingled_entities(table(spark, folder, "entities"), size=3, least_words=20)
+    return neardup.similar_pairs(sets, 0.6).select("id_a", "id_b")
+
+
+@query
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(neardup.shingled_entities(table(spark, folder, "entities"), size=3, least_words=20), 0.6)
+
+
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     code, knowledge = (vectors.most_similar(table(spark, folder, t), k=5, min_cosine=0.8) for t in ("code_embeddings", "knowledge_embeddings"))
@@ -73,3 +84,11 @@ i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w fr
 dg as (select doc_id, w, unnest(range(1, len(w) - 10)) as p from d where len(w) >= 12),
 ig as (select item_id, w, unnest(range(1, len(w) - 10)) as p from i where len(w) >= 12)
 select distinct doc_id, item_id from (select doc_id, array_to_string(w[p:p + 11], ' ') as g from dg) join (select item_id, array_to_string(w[p:p + 11], ' ') as g from ig) using (g)"""
+_SETS = """
+rec as (select id, arg_max(coalesce(title, '') || ' ' || coalesce(content, ''), struct_pack(u := updated_us, t := coalesce(title, ''), c := coalesce(content, ''))) as text
+  from (select *, epoch_us(cast(case when regexp_matches(updated_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') then updated_at else updated_at || 'Z' end as timestamptz)) as updated_us from entities) where id is not null group by id),
+w as (select id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from rec),
+s as (select distinct id, array_to_string(w[p:p + 2], ' ') as g from (select id, w, unnest(range(1, len(w) - 1)) as p from w where len(w) >= 20)),
+n as (select id, count(*) as n from s group by id),
+common as (select a.id as id_a, b.id as id_b, count(*) as c from s a join s b on a.g = b.g and a.id < b.id group by all)"""
+SQL["p4_found"] = f"with {_SETS} select id_a, id_b from common join n x on x.id = id_a join n y on y.id = id_b where c * 1.0 / (x.n + y.n - c) >= 0.6"

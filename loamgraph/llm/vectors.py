@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.session import durable
+
 SKETCH_BITS, SKETCH_SIGMAS = 1024, 4.0
 FIRST_WORDS = 4  # 64-bit words of a sketch that are compared first
 BUCKET_ROWS = 50_000
 BLOCK = 512
+#: Candidate pairs up to which they are broadcast to the vectors (about 10 MB); beyond, the vectors are shuffled.
+BROADCAST_PAIRS = 200_000
 SEED = 20_240_229
 
 
@@ -91,30 +95,31 @@ def buckets(unit: np.ndarray, k: int, w: float, tables: int, probes: int) -> np.
     return out
 
 
-def _vectors(b: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, unit vectors and class ids of what is a vector: `dims` finite numbers, not all zero."""
+def _vectors(b: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, unit vectors, class ids and vectors as stored of what is a vector: `dims` finite numbers, not all zero."""
     lists = b["embedding"]
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     row = np.flatnonzero(lengths == dims)
     if not len(row):
-        return row, np.empty((0, dims), np.float32), np.empty(0, np.int64)
+        return row, np.empty((0, dims), np.float32), np.empty(0, np.int64), np.empty((0, dims), np.float32)
     x = lists.take(pa.array(row)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
     good = np.isfinite(norm) & (norm > 0)
-    row, unit = row[good], (x[good] / norm[good, None]).astype(np.float32) + np.float32(0)
+    row, x = row[good], x[good]
+    unit = (x / norm[good, None]).astype(np.float32) + np.float32(0)
     canonical = np.ascontiguousarray(np.round(unit, 6) + np.float32(0))
     ids = np.array([int.from_bytes(blake2b(v.data, digest_size=8).digest(), "little", signed=True) for v in canonical], np.int64)
-    return row, unit, ids
+    return row, unit, ids, x
 
 
 def _each(embeddings: DataFrame, dims: int, make, schema: str) -> DataFrame:
-    """make(entity ids, unit vectors, class ids) -> arrays, per Arrow batch of `embeddings` (entity_id, embedding)."""
+    """make(entity ids, unit vectors, class ids, vectors) -> batches, per Arrow batch of `embeddings` (entity_id, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, unit, ids = _vectors(b, dims)
+            row, *found = _vectors(b, dims)
             if len(row):
-                yield from make(b["entity_id"].take(pa.array(row)), unit, ids)
+                yield from make(b["entity_id"].take(pa.array(row)), *found)
 
     rows = embeddings.where(F.col("entity_id").isNotNull() & (F.size("embedding") == dims)).select("entity_id", "embedding")
     return rows.mapInArrow(run, schema)
@@ -123,7 +128,7 @@ def _each(embeddings: DataFrame, dims: int, make, schema: str) -> DataFrame:
 def _members(embeddings: DataFrame, dims: int) -> DataFrame:
     """(cid, entity_id), each entity once: repeated rows count once, of different vectors under one id the smallest class."""
 
-    def make(entity, unit, ids):
+    def make(entity, unit, ids, raw):
         yield pa.RecordBatch.from_pydict({"entity_id": entity.cast(pa.string()), "cid": ids})
 
     return _each(embeddings, dims, make, "entity_id string, cid bigint").groupBy("entity_id").agg(F.min("cid").alias("cid"))
@@ -132,7 +137,7 @@ def _members(embeddings: DataFrame, dims: int) -> DataFrame:
 def _own_buckets(embeddings: DataFrame, dims: int, how: tuple) -> DataFrame:
     k, w, tables, _ = how
 
-    def make(entity, unit, ids):
+    def make(entity, unit, ids, raw):
         _, first = np.unique(ids, return_index=True)
         keys, n = np.unique(buckets(unit[first], k, w, tables, 0), return_counts=True)
         yield pa.RecordBatch.from_pydict({"bucket": keys, "n": n.astype(np.int64)})
@@ -144,7 +149,7 @@ def _rows(embeddings: DataFrame, dims: int, how: tuple) -> DataFrame:
     """(bucket, asks, cid, sketch): stored rows (asks false) and probes."""
     k, w, tables, probes = how
 
-    def make(entity, unit, ids):
+    def make(entity, unit, ids, raw):
         _, first = np.unique(ids, return_index=True)  # copies within a batch are hashed once
         unit, ids = unit[first], ids[first]
         keys = buckets(unit, k, w, tables, probes)
@@ -255,33 +260,45 @@ def candidates(embeddings: DataFrame, k: int, min_cosine: float | None, dims: in
     return sorted_rows.mapInArrow(_search(k, min_cosine), "u bigint, v bigint").distinct()
 
 
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows of float32 as bytes without loss: in half precision where that holds them exactly."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    exact = (half.astype(np.float32) == x).all(axis=1)
+    return [half[i].tobytes() if e else x[i].tobytes() for i, e in enumerate(exact)]
+
+
+def unpack(data: bytes, dims: int) -> np.ndarray:
+    return np.frombuffer(data, np.float16 if len(data) == 2 * dims else np.float32).astype(np.float64)
+
+
 def _cosines(pairs: DataFrame, embeddings: DataFrame, dims: int) -> DataFrame:
     """(u, v, cosine) of pairs of classes, from their vectors, in double precision."""
 
-    def make(entity, unit, ids):
+    def make(entity, unit, ids, raw):
         _, first = np.unique(ids, return_index=True)
-        vectors = [v.tobytes() for v in unit[first]]
-        yield pa.RecordBatch.from_pydict({"cid": ids[first], "vector": pa.array(vectors, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"cid": ids[first], "vector": pa.array(pack(raw[first]), pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the side of a pair whose other side comes later; rows are sorted by pair and class
+        last = None  # pair, vector of its first side, done; rows are sorted by pair, the first side first
         for b in batches:
             u, v, cid, vector = b["u"].to_numpy(), b["v"].to_numpy(), b["cid"].to_numpy(), b["vector"]
             out = []
             for i in range(len(u)):
                 if cid[i] == u[i]:
                     if last is None or last[:2] != (u[i], v[i]):
-                        last = (u[i], v[i], np.frombuffer(vector[i].as_py(), np.float32).astype(np.float64), False)
+                        last = (u[i], v[i], unpack(vector[i].as_py(), dims), False)
                 elif last is not None and last[:2] == (u[i], v[i]) and not last[3]:
-                    x, y = last[2], np.frombuffer(vector[i].as_py(), np.float32).astype(np.float64)
+                    x, y = last[2], unpack(vector[i].as_py(), dims)
                     out.append((u[i], v[i], float(x @ y / math.sqrt((x @ x) * (y @ y)))))
                     last = (*last[:3], True)
             if out:
                 yield pa.RecordBatch.from_pydict({"u": [o[0] for o in out], "v": [o[1] for o in out], "cosine": [o[2] for o in out]})
 
     vectors = _each(embeddings, dims, make, "cid bigint, vector binary")
+    pairs = durable(pairs)
     ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("cid"))
-    sides = vectors.join(ends, "cid").select("u", "v", "cid", "vector")
+    sides = vectors.join(F.broadcast(ends) if pairs.count() <= BROADCAST_PAIRS else ends, "cid").select("u", "v", "cid", "vector")
     sorted_rows = sides.repartition("u", "v").sortWithinPartitions("u", "v", F.col("cid") != F.col("u"))
     return sorted_rows.mapInArrow(compare, "u bigint, v bigint, cosine double")
 
@@ -307,7 +324,9 @@ def most_similar(embeddings: DataFrame, k: int = 5, min_cosine: float | None = 0
     if min_cosine is not None:
         close = close.where(F.col("cosine") >= min_cosine)
     heads = _first_ids(members, k + 1)
-    both = close.select(F.col("u").alias("cid"), F.col("v").alias("other"), "cosine").unionByName(close.select(F.col("v").alias("cid"), F.col("u").alias("other"), "cosine"))
+    close = durable(close)  # the pairs that stay: at most a few per vector
+    sides = F.explode(F.array(F.struct(F.col("u").alias("cid"), F.col("v").alias("other")), F.struct(F.col("v").alias("cid"), F.col("u").alias("other"))))
+    both = close.select("cosine", sides.alias("s")).select("s.cid", "s.other", "cosine")
     theirs = both.join(heads.select(F.col("cid").alias("other"), F.col("entity_id").alias("neighbour_id")), "other").select("cid", "neighbour_id", "cosine")
     own = heads.select("cid", F.col("entity_id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("cid").orderBy(F.desc("cosine"), "neighbour_id")

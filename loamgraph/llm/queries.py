@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import distinctive, leaks, neardup, truncation, vectors
+from loamgraph.llm import distinctive, leaks, neardup, packing, truncation, vectors
 from loamgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -45,6 +45,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.mutual_pairs(code.unionByName(knowledge))
 
 
+@query
+def p7_packs(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packs(packing.token_lengths(table(spark, folder, "documents")), table(spark, folder, "pack_budgets"))
+
+
+@query
+def p7_fills(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_fills(p7_packs(spark, folder))
+
+
 @query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_pairs(leaks.passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")))

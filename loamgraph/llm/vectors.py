@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.session import durable
 
-SKETCH_BITS, SKETCH_SIGMAS = 1024, 4.0
+SKETCH_BITS, SKETCH_SIGMAS = 896, 4.0
 FIRST_WORDS = 4  # 64-bit words of a sketch that are compared first
 BUCKET_ROWS = 50_000
 BLOCK = 512

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.code import is_identifier_shaped
+from loamgraph.operators.ordered import running_sum
 
 BIN = 64
 
@@ -38,8 +39,7 @@ def between_boundaries(log: DataFrame, anchors: DataFrame, wanted: DataFrame, bo
     log, anchors and wanted have (key, id); `boundary` is a condition on log. A segment number, the count of boundaries
     before a row, turns the range into an equality; the first `most` rows by id count.
     """
-    order = Window.partitionBy(key).orderBy("id")
-    marks = log.select(key, "id", F.sum(F.when(boundary, 1).otherwise(0)).over(order).alias("segment"))
+    marks = running_sum(log, key, "id", boundary.cast("int"), "segment").select(key, "id", "segment")
     a = anchors.join(marks, [key, "id"]).withColumnRenamed("id", "anchor_id")
     w = wanted.join(marks, [key, "id"])
     pairs = a.join(w, [key, "segment"]).where(F.col("id") > F.col("anchor_id"))
@@ -50,7 +50,7 @@ def between_boundaries(log: DataFrame, anchors: DataFrame, wanted: DataFrame, bo
 def first_successor(calls: DataFrame, order_key: str, window: int = 20) -> DataFrame:
     """(error_id, fix_id, tool): for each failed call, the first clean call of its tool among the next `window` calls of the
     same `order_key`, calls of all tools counted. calls: (order_key, id, tool, failed)."""
-    numbered = calls.withColumn("n", F.row_number().over(Window.partitionBy(order_key).orderBy("id")))
+    numbered = running_sum(calls, order_key, "id", F.lit(1), "n")
     bad = numbered.where("failed and tool <> ''").select(order_key, "tool", F.col("id").alias("error_id"), F.col("n").alias("at"))
     good = numbered.where("not failed").select(order_key, "tool", F.col("id").alias("fix_id"), "n")
     spread = bad.withColumn("block", F.explode(F.array(F.floor(F.col("at") / window), F.floor(F.col("at") / window) + 1)))

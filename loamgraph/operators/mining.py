@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.joining import between_boundaries, first_successor
+from loamgraph.operators.ordered import running_sum
 
 # Events that end a stretch of work; words that tell an error.
 BOUNDARIES = ["prompt_submit", "session_start", "session_end"]
@@ -92,13 +93,12 @@ def fresh(candidates: DataFrame, shown: DataFrame, as_of_us: int, hours: int = 2
 
 def outcomes(steps: DataFrame) -> DataFrame:
     """Outcome of every delivered entity: steps (key, at, step, delivery_id, entity_id, tier) with step deliver, touch, pull
-    or boundary, ordered by `at` within a key.
+    or boundary, ordered by `at`, which is unique within a key.
 
     A delivery is open until the key's next boundary. Within it a touch makes the entity's row a hit, a pull does so for
     pointer rows; at the boundary what is pending is a miss; without a boundary it stays pending.
     """
-    order = Window.partitionBy("key").orderBy("at")
-    numbered = steps.withColumn("stretch", F.sum(F.when(F.col("step") == "boundary", 1).otherwise(0)).over(order))
+    numbered = running_sum(steps, "key", "at", (F.col("step") == "boundary").cast("int"), "stretch")
     closed = numbered.groupBy("key").agg(F.max("stretch").alias("last"))
     given = numbered.where("step = 'deliver'").select("key", "stretch", "delivery_id", "entity_id", "tier", F.col("at").alias("given_at"))
     given = given.groupBy("key", "stretch", "delivery_id", "entity_id").agg(F.min(F.struct("given_at", "tier")).alias("g")).select("key", "stretch", "delivery_id", "entity_id", "g.given_at", "g.tier")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamgraph.plans import problems
+from loamgraph.plans import problems, relational
 
-MODULES = [problems]
+MODULES = [problems, relational]
 
 
 def queries() -> dict:

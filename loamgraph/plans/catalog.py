@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamgraph.plans import problems, relational
+from loamgraph.plans import problems, relational, retrieval
 
-MODULES = [problems, relational]
+MODULES = [problems, relational, retrieval]
 
 
 def queries() -> dict:

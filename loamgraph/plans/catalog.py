@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamgraph.plans import problems, relational, retrieval
+from loamgraph.plans import graphs, problems, relational, retrieval
 
-MODULES = [problems, relational, retrieval]
+MODULES = [problems, relational, retrieval, graphs]
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from loamgraph.functions.text import norm_key
 from loamgraph.functions.times import utc_micros
 from loamgraph.operators.records import latest_records
 from loamgraph.operators.schema_drift import json_type
+from loamgraph.session import durable
 from loamgraph.sources.tables import table
 
 CODE_TYPES = ["function", "class", "file", "module"]
@@ -183,3 +184,8 @@ class Catalog:
             return f
 
         return add
+
+
+def durable_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """`edges`, written once to the shared folder: traversals read it at every hop."""
+    return durable(edges(spark, folder))

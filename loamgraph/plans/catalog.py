@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamgraph.plans import graphs, problems, relational, retrieval
+from loamgraph.plans import graphs, problems, relational, retrieval, upkeep
 
-MODULES = [problems, relational, retrieval, graphs]
+MODULES = [problems, relational, retrieval, graphs, upkeep]
 
 
 def queries() -> dict:

@@ -44,7 +44,7 @@ def end_of(text: Column, source: Column) -> Column:
     closed_code = line.rlike(r"^\s*(?:>\s*)?```\z")
     cells = F.regexp_count(line, F.lit(r"\|"))
     row = line.rlike(r"^\s*\|.*\|\z") & F.coalesce(~above.rlike(r"^\s*\|.*\|\s*\z") | (F.regexp_count(above, F.lit(r"\|")) <= cells), F.lit(True))
-    apart = F.coalesce((F.trim(above) == "") | above.rlike(TRAILER), F.lit(True))
+    apart = F.coalesce((F.trim(above) == "") | above.rlike(rf"{TRAILER}\S+\z"), F.lit(True))
     trailer = apart & (line.rlike(rf"{TRAILER}\S+\z") | line.rlike(rf"^[A-Z][A-Za-z-]*-[Bb]y: .+[\w>]\z"))
     subject = F.coalesce(source.startswith("commits/"), F.lit(False)) & above.isNull() & F.length(body).between(1, SUBJECT_CHARS) & line.rlike(r"[\p{L}\p{N})`]\z")
     end = F.when(marked | open_code, "cut").when(sentence | closed_code | row, "full").when(trailer | subject, "weak").otherwise("cut")

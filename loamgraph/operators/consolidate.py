@@ -63,10 +63,12 @@ def near_pairs(vecs: DataFrame, queries: DataFrame, threshold: float, k: int | N
     return found.select("query_id", "id", F.round(vectors.l2_to_cosine(F.col("distance")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def unit(embedding: Column) -> Column:
-    """An array scaled to length 1; null without length."""
-    norm = F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when((norm > 0) & ~F.isnan(norm), F.transform(embedding, lambda x: (x.cast("double") / norm).cast("float")))
+def with_unit(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows whose vector has a finite length above 0, scaled to length 1. The length goes in as an array beside the vector:
+    inside the transformation it would be computed for every element."""
+    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scaled = F.zip_with(column, F.array_repeat(norm, F.size(column)), lambda x, n: F.when((n > 0) & (n < float("inf")), (x.cast("double") / n).cast("float")))
+    return rows.withColumn(column, scaled).where(F.try_element_at(column, F.lit(1)).isNotNull())
 
 
 def duplicates(records: DataFrame, near: DataFrame, threshold: float = DUPLICATE) -> DataFrame:

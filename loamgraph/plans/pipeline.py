@@ -25,31 +25,32 @@ def copies(s, d) -> DataFrame:
     return rows.join(few, "h").where("id <> other_id").select("id", "other_id")
 
 
-def ranked(s, d) -> DataFrame:
+def ranked(s, d, made) -> DataFrame:
     """Direct results: merged channels, demoted by drift, lifted by provenance, diversified, with slots and quotas."""
-    weights = durable(fusion.detect_shares(r.signals(s, d)).select("query_id", "code_weight", "knowledge_weight"))
-    rows = fusion.merge_channels(r.fused(s, d), weights)
+    weights = durable(fusion.detect_shares(r.signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"))
+    rows = fusion.merge_channels(r.fused(s, d, made), weights)
     rows = fusion.drift_demotion(rows, r.drifted(s, d))
     rows = fusion.provenance_prior(rows, copies(s, d).groupBy("id").agg(F.count("*").alias("in_degree")))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     rows = fusion.reordered(rows.join(weights, "query_id").join(r.space(s, d).select("id", "embedding"), "id", "left"), "mmr")
     for step in ("slots", "quota"):
         rows = fusion.reordered(rows.join(weights, "query_id"), step, LIMIT)
-    return fusion.silence_gate(rows.where(F.col("rank") <= LIMIT), r.coverage(s, d))
+    return fusion.silence_gate(rows.where(F.col("rank") <= LIMIT), r.coverage(s, d, made))
 
 
 def search(s, d) -> DataFrame:
     """(query_id, id, channel, rank, relevance): direct results, then expansions by copies, feedback terms and deep ranks."""
-    direct = durable(ranked(s, d))
+    made = r.ready(s, d)
+    direct = durable(ranked(s, d, made))
     top = direct.where("rank = 1").select("query_id", F.col("score").alias("top"))
     parts = direct.join(copies(s, d), "id").select("query_id", F.col("other_id").alias("id"), (F.col("score") * 0.3).alias("score"), F.lit(1).alias("order"), F.lit("graph").alias("channel"))
     asked = r.questions(s, d)
-    new = lexical.expansion_terms(r.feedback(s, d), asked).groupBy("query_id").agg(F.collect_list("term").alias("more"))
+    new = lexical.expansion_terms(r.feedback(s, d, made=made), asked).groupBy("query_id").agg(F.collect_list("term").alias("more"))
     wider = asked.join(new, "query_id").select("query_id", F.concat("terms", "more").alias("terms"))
-    first = r.fts(s, d)
+    first = made[0]
     novel = lexical.bm25(r.docs(s, d), wider, r.WEIGHTS, LIMIT).join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     prf = novel.join(top, "query_id").select("query_id", F.col("doc_id").alias("id"), (F.col("top") * 0.3).alias("score"), F.lit(2).alias("order"), F.lit("feedback").alias("channel"))
-    deep = first.select("query_id", F.col("doc_id").alias("id"), "rank").unionByName(r.knn(s, d).select("query_id", "id", "rank")).where(F.col("rank") > LIMIT)
+    deep = first.select("query_id", F.col("doc_id").alias("id"), "rank").unionByName(made[1].select("query_id", "id", "rank")).where(F.col("rank") > LIMIT)
     deep = fusion.corroborated(deep).join(top, "query_id").select("query_id", "id", (F.col("top") * 0.25).alias("score"), F.lit(3).alias("order"), F.lit("deep").alias("channel"))
     rows = parts.unionByName(prf).unionByName(deep).join(direct.select("query_id", "id"), ["query_id", "id"], "left_anti")
     claimed = rows.groupBy("query_id", "id").agg(F.min(F.struct("order", (-F.col("score")).alias("less"), "channel")).alias("c")).select("query_id", "id", (-F.col("c.less")).alias("score"), "c.channel")

@@ -31,11 +31,23 @@ def space(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def fts(s, d, k=3 * LIMIT):
+def ready(s, d):
+    """The lexical and the vector lists, written once: pipelines read them many times."""
+    from loamgraph.session import durable
+
+    return durable(fts(s, d)), durable(knn(s, d))
+
+
+def fts(s, d, k=3 * LIMIT, lists=None):
+    """The k best documents of every question; from lists made before, where given."""
+    if lists is not None:
+        return lists[0].where(F.col("rank") <= k)
     return lexical.bm25(docs(s, d), questions(s, d).select("query_id", "terms"), WEIGHTS, k)
 
 
-def knn(s, d, k=3 * LIMIT):
+def knn(s, d, k=3 * LIMIT, lists=None):
+    if lists is not None:
+        return lists[1].where(F.col("rank") <= k)
     vecs = space(s, d)
     return vectors.nearest(vecs, vecs.where("id % 20 = 0"), k)
 
@@ -73,8 +85,8 @@ query("fts4_content_terms", m.sql("rec", f"select id, len(list_filter({_CAMEL.fo
 )
 
 
-def feedback(s, d, n=5):
-    return fts(s, d, n).join(docs(s, d), "doc_id").select("query_id", "doc_id", "title", F.col("text").alias("content"))
+def feedback(s, d, n=5, made=None):
+    return fts(s, d, n, made).join(docs(s, d), "doc_id").select("query_id", "doc_id", "title", F.col("text").alias("content"))
 
 
 _PRF = f"""{_FTS}, fb as (select query_id, doc_id, title, text from fts join docs using (doc_id) where rank <= 5),
@@ -91,9 +103,9 @@ def _expanded(s, d):
     return questions(s, d).join(terms, "query_id").select("query_id", F.concat_ws(" ", "text", F.array_join(F.transform("t", lambda x: x["term"]), " ")).alias("expanded"))
 
 
-def coverage(s, d):
+def coverage(s, d, made=None):
     """Coverage of each question by the texts of its ten best documents, best first."""
-    head = fts(s, d, 10).join(docs(s, d), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("t")))).alias("ts"))
+    head = fts(s, d, 10, made).join(docs(s, d), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("t")))).alias("ts"))
     head = head.select("query_id", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text"))
     asked = questions(s, d)
     terms = asked.select(F.explode(lexical.content_terms(F.col("text"))).alias("term"))
@@ -135,12 +147,12 @@ query("vec11_embedded_once", None)(
 )
 
 
-def lists(s, d):
+def lists(s, d, made=None):
     """The direct lists of every question: (query_id, channel, list, id, rank, weight), ranks within list and channel."""
     by = lambda df, name, weight: df.where(F.col("rank") <= LIMIT).select("query_id", "channel", F.lit(name).alias("list"), "id", F.row_number().over(_by("query_id", "channel")).alias("rank"), F.lit(weight).alias("weight"))
     kinds = docs(s, d).select(F.col("doc_id").alias("id"), "channel")
-    a = fts(s, d, LIMIT).withColumnRenamed("doc_id", "id").join(kinds, "id")
-    b = knn(s, d, LIMIT).join(kinds, "id")
+    a = fts(s, d, LIMIT, made).withColumnRenamed("doc_id", "id").join(kinds, "id")
+    b = knn(s, d, LIMIT, made).join(kinds, "id")
     return by(a, "fts", 0.4).unionByName(by(b, "knn", 0.6))
 
 
@@ -160,19 +172,19 @@ query("rnk1_hybrid_rrf", f"with {_RRF} select query_id, channel, id, round(score
 )
 
 
-def fused(s, d):
-    return fusion.normalised(fusion.reciprocal_rank(lists(s, d), ["query_id", "channel"]), ["query_id", "channel"])
+def fused(s, d, made=None):
+    return fusion.normalised(fusion.reciprocal_rank(lists(s, d, made), ["query_id", "channel"]), ["query_id", "channel"])
 
 
 _NORM = f"{_RRF}, norm as (select query_id, channel, id, score / max(score) over (partition by query_id, channel) as score from rrf)"
 query("rnk2_normalised", f"with {_NORM} select query_id, channel, id, round(score, 6) as score from norm")(lambda s, d: fused(s, d).select("query_id", "channel", "id", F.round("score", 6).alias("score")))
 
 
-def signals(s, d):
+def signals(s, d, made=None):
     """Per question: hits, strength and gradient of both channels."""
     kinds = docs(s, d).select(F.col("doc_id").alias("id"), "channel")
-    near = knn(s, d, 3 * LIMIT).join(kinds, "id").withColumn("rank", F.row_number().over(_by("query_id", "channel")))
-    hits = lists(s, d).where("list = 'fts'").groupBy("query_id").agg(*[F.sum(F.when(F.col("channel") == c, 1).otherwise(0)).alias(f"{c}_hits") for c in ("code", "knowledge")])
+    near = knn(s, d, 3 * LIMIT, made).join(kinds, "id").withColumn("rank", F.row_number().over(_by("query_id", "channel")))
+    hits = lists(s, d, made).where("list = 'fts'").groupBy("query_id").agg(*[F.sum(F.when(F.col("channel") == c, 1).otherwise(0)).alias(f"{c}_hits") for c in ("code", "knowledge")])
     out = questions(s, d).select("query_id").join(hits, "query_id", "left").fillna(0, ["code_hits", "knowledge_hits"])
     for c in ("code", "knowledge"):
         own = near.where(F.col("channel") == c)
@@ -200,8 +212,9 @@ for _name, _sql in {
     )
 
 
-def merged(s, d):
-    return fusion.merge_channels(fused(s, d), fusion.detect_shares(signals(s, d)).select("query_id", "code_weight", "knowledge_weight"))
+def merged(s, d, made=None):
+    made = made or ready(s, d)
+    return fusion.merge_channels(fused(s, d, made), fusion.detect_shares(signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"))
 
 
 _MERGE = f"""{_SIG}, mg as (select query_id, channel, id, round(score * case when channel = 'code' then cw else 1 - cw end, 12) as score from norm join det using (query_id)),
@@ -225,7 +238,8 @@ query("rnk8_provenance_prior", f"with {_MERGE}, {_DRIFT} select query_id, id, ro
 
 
 def weighted(s, d):
-    return merged(s, d).join(fusion.detect_shares(signals(s, d)).select("query_id", "code_weight", "knowledge_weight"), "query_id")
+    made = ready(s, d)
+    return merged(s, d, made).join(fusion.detect_shares(signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"), "query_id")
 
 
 query("rnk9_mmr", None)(lambda s, d: fusion.reordered(weighted(s, d).join(space(s, d).select("id", "embedding"), "id", "left"), "mmr"))

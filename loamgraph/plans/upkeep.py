@@ -32,9 +32,8 @@ query("con2_embedding_duplicates", f"with {r._KNN} select query_id, id, round(1
 def observation_vectors(s, d):
     """Unit vectors of active observations, one per record."""
     live = m.records(s, d).where("type = 'observation' and status = 'active'").select("id")
-    rows = table(s, d, "knowledge_embeddings").where("size(embedding) = 768").select(norm_key(F.col("entity_id")).alias("id"), consolidate.unit(F.col("embedding")).alias("embedding"))
-    rows = rows.where("embedding is not null").groupBy("id").agg(F.first("embedding").alias("embedding"))
-    return rows.join(live, "id", "left_semi")
+    rows = table(s, d, "knowledge_embeddings").where("size(embedding) = 768").select(norm_key(F.col("entity_id")).alias("id"), "embedding").join(live, "id", "left_semi")
+    return consolidate.with_unit(rows).groupBy("id").agg(F.first("embedding").alias("embedding"))
 
 
 def near_observations(s, d):

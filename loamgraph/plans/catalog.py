@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamgraph.plans import graphs, pipeline, problems, relational, retrieval, upkeep
+from loamgraph.plans import coverage, graphs, pipeline, problems, relational, retrieval, upkeep
 
-MODULES = [problems, relational, retrieval, graphs, upkeep, pipeline]
+MODULES = [problems, relational, retrieval, graphs, upkeep, pipeline, coverage]
 
 
 def queries() -> dict:

@@ -14,7 +14,7 @@ from loamgraph.sources.tables import table
 query = m.Catalog()
 #: A fixed "now" for operators that look back: 2025-05-01.
 AS_OF_US = 1_746_057_600_000_000
-SESSION_SINCE = "1998-07-25"
+SESSION_SINCE = "2001-07-15"
 
 
 def _round(c, n=6):

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that hold vectors of the most frequent length, and the vectors."""
+def _matrix(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold finite vectors of `dims` numbers (None: of the most frequent length above 0), and the vectors."""
     n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    dims = int(np.bincount(n).argmax()) if len(n) else 0
+    if dims is None:
+        dims = int(np.bincount(n[n > 0]).argmax()) if (n > 0).any() else 0
     rows = np.flatnonzero((n == dims) & (n > 0))
     x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) if len(rows) else np.empty((0, max(dims, 1)))
     finite = np.isfinite(x).all(axis=1)
@@ -47,8 +48,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int | None = 10, max_dist
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
-                rows, x = _matrix(batch["embedding"])
-                if not len(rows) or not len(ids) or x.shape[1] != q.shape[1]:
+                rows, x = _matrix(batch["embedding"], q.shape[1])
+                if not len(rows) or not len(ids):
                     continue
                 own = batch["id"].to_numpy(zero_copy_only=False)[rows]
                 square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)

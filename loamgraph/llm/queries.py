@@ -102,3 +102,28 @@ s as (select distinct id, array_to_string(w[p:p + 2], ' ') as g from (select id,
 n as (select id, count(*) as n from s group by id),
 common as (select a.id as id_a, b.id as id_b, count(*) as c from s a join s b on a.g = b.g and a.id < b.id group by all)"""
 SQL["p4_found"] = f"with {_SETS} select id_a, id_b from common join n x on x.id = id_a join n y on y.id = id_b where c * 1.0 / (x.n + y.n - c) >= 0.6"
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_T = truncation
+_ENDS = f"""b0 as (select doc_id, coalesce(source, '') as source, text, length(text) as chars, octet_length(encode(text)) as octets, regexp_replace(text, {_q(rf"(?:\s|{_T.CLOSING_TAG})+$")}, '') as body from documents),
+b1 as (select *, string_split(body, chr(10)) as ls from b0), b2 as (select *, ls[-1] as line, case when len(ls) > 1 then ls[-2] end as above from b1),
+b3 as (select *, len(regexp_extract_all(body, {_q(r"(?m)^\s*(?:>\s*)?```")})) % 2 = 1 as open_code, regexp_matches(body, {_q(_T.CUT_SIGNS + _T.CLOSERS + "*$")}) as marked,
+  regexp_matches(line, {_q(_T.SENTENCE_END + _T.CLOSERS + "*$")}) and not regexp_matches(line, {_q(r"(?:^|\s)\S*/[\w/-]*\.$")}) and (length(replace(line, '```', '')) - length(replace(replace(line, '```', ''), '`', ''))) % 2 = 0 as sentence,
+  regexp_matches(line, {_q(r"^\s*(?:>\s*)?```$")}) as closed_code,
+  regexp_matches(line, {_q(r"^\s*\|.*\|$")}) and coalesce(not regexp_matches(above, {_q(r"^\s*\|.*\|\s*$")}) or length(above) - length(replace(above, '|', '')) <= length(line) - length(replace(line, '|', '')), true) as row_end,
+  coalesce(trim(above) = '' or regexp_matches(above, {_q(_T.TRAILER + r"\S+$")}), true) and (regexp_matches(line, {_q(_T.TRAILER + r"\S+$")}) or regexp_matches(line, {_q(r"^[A-Z][A-Za-z-]*-[Bb]y: .+[\w>]$")})) as trailer,
+  starts_with(source, 'commits/') and above is null and length(body) between 1 and {_T.SUBJECT_CHARS} and regexp_matches(line, {_q(r"[\p{L}\p{N})`]$")}) as subject from b2),
+b4 as (select *, case when text is null or trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then null when marked or open_code then 'cut' when sentence or closed_code or row_end then 'full' when trailer or subject then 'weak' else 'cut' end as kind from b3),
+h0 as (select source, 'chars' as unit, chars as length from b0 where text is not null union all select source, 'bytes', octets from b0 where text is not null), h as (select source, unit, length, count(*) as n from h0 group by all),
+h2 as (select *, max(n) over (partition by source, unit order by length range between {_T.SPIKE_NEAR} preceding and 4 preceding) as lo, max(n) over (partition by source, unit order by length range between 1 following and {_T.SPIKE_NEAR} following) as hi,
+  sum(n) over (partition by source, unit) - sum(n) over (partition by source, unit order by length) as longer, sum(n) over (partition by source, unit) as total from h),
+sp as (select source, unit, length from h2 where n >= {_T.SPIKE_LEAST} and n >= {_T.SPIKE_TIMES} * coalesce(greatest(lo, hi), 0) and longer <= {_T.SPIKE_LONGER} * total),
+fl as (select b4.*, exists (select 1 from sp where sp.source = b4.source and case when unit = 'chars' then length = chars else octets between length - 3 and length end) as hit from b4),
+ca as (select *, case when hit and kind <> 'full' then 'limit' when kind = 'cut' then 'transfer' end as cause from fl)"""
+SQL["p9_found"] = f"with {_ENDS} select doc_id from ca where cause is not null"
+SQL["p9_report"] = f"""with {_ENDS} select source, count(kind) as n_texts, count(cause) as n_cut, count(*) filter (cause = 'limit') as n_limit, count(*) filter (cause = 'transfer') as n_transfer,
+round(case when count(kind) > 0 then count(cause) / count(kind) end, 6) as share_cut from ca group by source"""

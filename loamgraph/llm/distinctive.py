@@ -65,7 +65,13 @@ def _graphs(window: int, min_tf: int):
             if not len(coded):
                 continue
             width = len(coded.dictionary)
-            record, term, tf, degree = word_graph(np.repeat(np.arange(len(lengths)), lengths), coded.indices.to_numpy().astype(np.int64), width, window)
+            owner, code = np.repeat(np.arange(len(lengths)), lengths), coded.indices.to_numpy().astype(np.int64)
+            if min_tf > 1:  # records without a term that is frequent enough need no graph
+                cell, count = np.unique(owner * width + code, return_counts=True)
+                wanted = np.zeros(len(lengths), bool)
+                wanted[cell[count >= min_tf] // width] = True
+                owner, code = owner[wanted[owner]], code[wanted[owner]]
+            record, term, tf, degree = word_graph(owner, code, width, window)
             keep = tf >= min_tf
             yield pa.RecordBatch.from_arrays(
                 [b["entity_id"].take(pa.array(record[keep])).cast(pa.string()), coded.dictionary.take(pa.array(term[keep])).cast(pa.string()), pa.array(tf[keep]), pa.array(degree[keep])], schema=ARROW

@@ -180,9 +180,7 @@ query("agg13_status_report", m.sql("rec edge ev", "select (select count(*) from
 def _status(s, d):
     flag = lambda v: F.sum(F.when(F.col("status") == v, 1).otherwise(0))
     a = m.records(s, d).agg(F.count("*").alias("n_records"), flag("active").alias("n_active"), flag("stale").alias("n_stale"))
-    b, c = m.edges(s, d).agg(F.count("*").alias("n_edges")), m.events(s, d).agg(F.count("*").alias("n_events"))
-    one = F.lit(1).alias("one")
-    return a.withColumn("one", one).join(b.withColumn("one", one), "one").join(c.withColumn("one", one), "one").drop("one")
+    return a.select("*", m.edges(s, d).agg(F.count("*")).scalar().alias("n_edges"), m.events(s, d).agg(F.count("*")).scalar().alias("n_events"))
 
 
 query("agg14_corpus_stats", m.sql("edge", "select 'type' as facet, type as value, count(*) as n from rec group by all union all select 'status', status, count(*) from rec group by all union all select 'edge', edge_type, count(*) from edge group by all union all select 'language', coalesce(language, '?'), count(*) from rec where space = 'code' group by all"))(lambda s, d: _stats(s, d))

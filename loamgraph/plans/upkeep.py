@@ -165,8 +165,7 @@ select rec.id, coalesce(cnt.n, 0) as n_references, case when {_VOL_SQL} = 'recor
 def snapshots(s, d):
     """The newest version of every record in the last export, and in those before it."""
     rows = table(s, d, "entities").select(norm_key(F.col("id")).alias("id"), "export_file", "file_path", "content_hash", norm_key(F.col("status")).alias("status"), utc_micros(F.col("updated_at")).alias("at")).where("id is not null")
-    last = rows.agg(F.max("export_file").alias("last"))
-    tagged = rows.withColumn("one", F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one").withColumn("new", F.col("export_file") == F.col("last"))
+    tagged = rows.withColumn("new", F.col("export_file") == rows.agg(F.max("export_file")).scalar())
     newest = tagged.groupBy("new", "id").agg(F.max(F.struct("at", F.coalesce("content_hash", F.lit("")).alias("hash"), "status", F.coalesce("file_path", F.lit("")).alias("file_path"))).alias("v")).select("new", "id", "v.hash", "v.status", F.expr("nullif(v.file_path, '')").alias("file_path"))
     return newest.where("not new"), newest.where("new")
 

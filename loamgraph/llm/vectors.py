@@ -203,7 +203,8 @@ def _near(asking: np.ndarray, stored: np.ndarray, k: int, min_cosine: float | No
 
 
 def _search(k: int, min_cosine: float | None):
-    """Candidate pairs of sorted bucket rows: the stored rows of a bucket come first, then its probes in batches."""
+    """Candidate pairs of sorted bucket rows: the stored rows of a bucket come first, then its probes in batches. Repeats of
+    a class, which lie side by side, are skipped: each class takes one place among the k nearest."""
 
     def words(b: pa.RecordBatch) -> np.ndarray:
         sketch = b["sketch"]
@@ -217,13 +218,19 @@ def _search(k: int, min_cosine: float | None):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sketches = None, np.empty(0, np.int64), np.empty((0, SKETCH_BITS // 64), np.uint64)
+        at, ids, sketches, last = None, np.empty(0, np.int64), np.empty((0, SKETCH_BITS // 64), np.uint64), None
         for b in batches:
+            if not len(b):
+                continue
+            key = np.stack([b[c].cast(pa.int64()).to_numpy() for c in ("bucket", "part", "asks", "cid")], 1)
+            fresh = np.concatenate([[last is None or (key[0] != last).any()], (key[1:] != key[:-1]).any(axis=1)])
+            last = key[-1]
+            b = b.filter(pa.array(fresh)) if not fresh.all() else b
             bucket, part = b["bucket"].to_numpy(), b["part"].to_numpy()
             asks, cid, sketch = b["asks"].to_numpy(zero_copy_only=False), b["cid"].to_numpy(), words(b)
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
             found = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(bucket)]):
+            for lo, hi in zip([0, *cuts] if len(bucket) else [], [*cuts, len(bucket)]):
                 if at != (bucket[lo], part[lo]):
                     at, ids, sketches = (bucket[lo], part[lo]), ids[:0], sketches[:0]
                 middle = lo + int((~asks[lo:hi]).sum())
@@ -256,7 +263,7 @@ def candidates(embeddings: DataFrame, k: int, min_cosine: float | None, dims: in
     more = tagged.where("not asks and parts > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "cid", "sketch", "parts")
     more = more.where(F.col("part") != F.pmod("cid", F.col("parts"))).drop("parts")
     placed = split.unionByName(more) if large.count() else split
-    sorted_rows = placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "asks")
+    sorted_rows = placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "asks", "cid")
     return sorted_rows.mapInArrow(_search(k, min_cosine), "u bigint, v bigint").distinct()
 
 

@@ -176,6 +176,17 @@ def test_copies_ties_bad_rows_and_split_buckets(spark, monkeypatch, bucket):
     assert vectors.most_similar(df.limit(0)).count() == 0
 
 
+def test_copies_of_different_batches_take_one_place(spark):
+    """Repeated rows that no batch holds together do not push the other neighbours out of a bucket."""
+    rng = np.random.default_rng(5)
+    base, noise = rng.standard_normal(768), rng.standard_normal((6, 768))
+    x = math.sqrt(0.92) * base / np.linalg.norm(base) + math.sqrt(0.08) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(f"r{i}", [float(v) for v in x[i].astype(np.float32)]) for i in range(6)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows * 12, 12), "entity_id string, embedding array<float>")  # one of each per task
+    got = {(r.entity_id, r.neighbour_id) for r in vectors.most_similar(df).collect()}
+    assert got == brute_neighbours(rows, 5, 0.8) and len(got) == 30
+
+
 def test_probe_sets_come_in_order_of_score():
     for k, n in ((4, 20), (6, 40)):
         sets = vectors.probe_sets(k, n)

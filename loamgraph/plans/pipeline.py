@@ -17,12 +17,26 @@ query = m.Catalog()
 LIMIT = r.LIMIT
 
 
-def copies(s, d) -> DataFrame:
-    """(id, other_id) of documents with the same text, the LIMIT + 1 smallest ids of a text on either side: more of one text
-    never come into one answer."""
-    rows = table(s, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
-    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= LIMIT + 1).select(F.col("id").alias("other_id"), "h")
-    return rows.join(few, "h").where("id <> other_id").select("id", "other_id")
+def texts(s, d) -> DataFrame:
+    """(id, h) of documents with a text, h naming the text."""
+    return table(s, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
+
+
+def copy_degree(s, d) -> DataFrame:
+    """(id, in_degree): of how many other documents a document with copies bears the text."""
+    rows = texts(s, d)
+    n = rows.groupBy("h").agg((F.count("*") - 1).alias("in_degree")).where("in_degree > 0")
+    return rows.join(n, "h").select("id", "in_degree")
+
+
+def copies(s, d, of: DataFrame) -> DataFrame:
+    """(id, other_id) of the documents `of` (id) and others with the same text, of a text its 2 LIMIT + 1 smallest ids: LIMIT
+    of them may be direct results, one is the document itself, and LIMIT more fill an answer."""
+    rows = texts(s, d)
+    asked = rows.join(of.select("id").distinct(), "id", "left_semi")
+    first = rows.join(asked.select("h").distinct(), "h", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id")))
+    few = first.where(F.col("n") <= 2 * LIMIT + 1).select(F.col("id").alias("other_id"), "h")
+    return asked.join(few, "h").where("id <> other_id").select("id", "other_id")
 
 
 def ranked(s, d, made) -> DataFrame:
@@ -30,7 +44,7 @@ def ranked(s, d, made) -> DataFrame:
     weights = durable(fusion.detect_shares(r.signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"))
     rows = fusion.merge_channels(r.fused(s, d, made), weights)
     rows = fusion.drift_demotion(rows, r.drifted(s, d))
-    rows = fusion.provenance_prior(rows, copies(s, d).groupBy("id").agg(F.count("*").alias("in_degree")))
+    rows = fusion.provenance_prior(rows, copy_degree(s, d))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     rows = fusion.reordered(rows.join(weights, "query_id").join(r.space(s, d).select("id", "embedding"), "id", "left"), "mmr")
     for step in ("slots", "quota"):
@@ -43,7 +57,7 @@ def search(s, d) -> DataFrame:
     made = r.ready(s, d)
     direct = durable(ranked(s, d, made))
     top = direct.where("rank = 1").select("query_id", F.col("score").alias("top"))
-    parts = direct.join(copies(s, d), "id").select("query_id", F.col("other_id").alias("id"), (F.col("score") * 0.3).alias("score"), F.lit(1).alias("order"), F.lit("graph").alias("channel"))
+    parts = direct.join(copies(s, d, direct), "id").select("query_id", F.col("other_id").alias("id"), (F.col("score") * 0.3).alias("score"), F.lit(1).alias("order"), F.lit("graph").alias("channel"))
     asked = r.questions(s, d)
     new = lexical.expansion_terms(r.feedback(s, d, made=made), asked).groupBy("query_id").agg(F.collect_list("term").alias("more"))
     wider = asked.join(new, "query_id").select("query_id", F.concat("terms", "more").alias("terms"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import norm_key
@@ -63,15 +65,61 @@ def _rejected(s, d):
     return rows.where("status = 'active'").join(bad, ["type", "f"]).select("id", "rejected_id")
 
 
+def active_vectors(s, d):
+    """(space, type, id, embedding): unit vectors of active records, one per record and space."""
+    live = m.records(s, d).where("status = 'active' and type is not null").select("id", "type")
+    space = lambda t: table(s, d, t).where("size(embedding) = 768").select(F.lit(t).alias("space"), norm_key(F.col("entity_id")).alias("id"), "embedding")
+    rows = space("code_embeddings").unionByName(space("knowledge_embeddings")).join(live, "id")
+    return consolidate.with_unit(rows).groupBy("space", "type", "id").agg(F.first("embedding").alias("embedding"))
+
+
+def near_by_type(s, d, k=None):
+    """(query_id, id, similarity, type) of active records of one type and space: exact, the k nearest or all at the threshold."""
+    from loamgraph.session import durable
+
+    vecs = durable(active_vectors(s, d))
+    parts = [vecs.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity"), "type")]
+    for space, kind in sorted(tuple(r) for r in vecs.select("space", "type").distinct().collect()):
+        own = vecs.where((F.col("space") == space) & (F.col("type") == kind)).select("id", "embedding")
+        parts.append(consolidate.near_pairs(own, own, consolidate.DUPLICATE, k).withColumn("type", F.lit(kind)))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.groupBy("query_id", "id", "type").agg(F.max("similarity").alias("similarity"))
+
+
+def type_candidates(s, d):
+    """(a_id, b_id, type, cosine): all pairs, the smaller id first, of active records of one type at the cosine threshold."""
+    near = near_by_type(s, d).where("query_id < id")
+    return near.select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "type", F.col("similarity").alias("cosine"))
+
+
+def with_texts(s, d, pairs):
+    rec = m.records(s, d).select("id", "content")
+    return pairs.join(rec.select(F.col("id").alias("a_id"), F.col("content").alias("a_text")), "a_id").join(rec.select(F.col("id").alias("b_id"), F.col("content").alias("b_text")), "b_id")
+
+
 def contradiction_pairs(s, d):
     """Records that an edge says to contradict or support each other, with their texts; no cosine is known here."""
-    rec = m.records(s, d).select("id", "content")
     e = m.edges(s, d).where("edge_type in ('contradicts', 'supports')").select(F.col("source_id").alias("a_id"), F.col("target_id").alias("b_id")).distinct()
-    return e.join(rec.select(F.col("id").alias("a_id"), F.col("content").alias("a_text")), "a_id").join(rec.select(F.col("id").alias("b_id"), F.col("content").alias("b_text")), "b_id").withColumn("cosine", F.lit(None).cast("double"))
+    return with_texts(s, d, e).withColumn("cosine", F.lit(None).cast("double"))
 
 
-query("con7_contradictions", None)(lambda s, d: consolidate.contradictions(contradiction_pairs(s, d)).select("a_id", "b_id", "verdict"))
-query("con8_numeric_gate", None)(lambda s, d: contradiction_pairs(s, d).select("a_id", "b_id", consolidate.numeric_gate("a_text", "b_text").alias("decision")))
+def candidate_pairs(s, d):
+    """The candidates by type with their texts and cosines, and the pairs of edges that are not among them."""
+    from loamgraph.session import durable
+
+    near = durable(type_candidates(s, d).select("a_id", "b_id", "cosine"))
+    known = near.select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
+    linked = contradiction_pairs(s, d)
+    new = linked.join(known, (F.least("a_id", "b_id") == F.col("x")) & (F.greatest("a_id", "b_id") == F.col("y")), "left_anti")
+    return with_texts(s, d, near).unionByName(new)
+
+
+query("con6_candidates")(type_candidates)
+query("con7_contradictions", None)(lambda s, d: consolidate.contradictions(candidate_pairs(s, d)).select("a_id", "b_id", "verdict"))
+query("con8_numeric_gate", None)(lambda s, d: candidate_pairs(s, d).select("a_id", "b_id", consolidate.numeric_gate("a_text", "b_text").alias("decision")))
+query("con5_found_duplicates")(
+    lambda s, d: candidate_pairs(s, d).where(F.greatest(*[consolidate.mock_nli(F.col(a), F.col(b))["entailment"] for a, b in (("a_text", "b_text"), ("b_text", "a_text"))]) >= 0.55).select("a_id", "b_id")
+)
 _NEG = " or ".join(f"contains(lower({{0}}), '{n}')" for n in consolidate.NEGATIONS)
 query("con6_candidates_by_type", m.sql("edge", "select r.type, count(*) as n from edge join rec r on r.id = source_id join rec t on t.id = target_id where edge_type in ('contradicts', 'supports') and r.type = t.type and r.status = 'active' and t.status = 'active' group by 1"))(lambda s, d: _same_type(s, d))
 

@@ -29,24 +29,24 @@ def json_type(value: Column) -> Column:
     )
 
 
-def json_objects(df: DataFrame, table: str, kind: Column, text: str, file: str) -> DataFrame:
-    """Rows (record_table, kind, export_file, doc) whose text is a JSON object; all other texts count as no row.
+def json_objects(df: DataFrame, table: str, kind: Column, text: str, file: str, *keys: Column) -> DataFrame:
+    """Rows (record_table, kind, export_file, doc) whose text is a JSON object, with `keys`; all other texts count as no row.
 
     Rows without kind or file belong to no series and are left out.
     """
-    rows = df.select(F.lit(table).alias("record_table"), kind.alias("kind"), F.col(file).alias("export_file"), F.try_parse_json(F.col(text)).alias("doc"))
+    rows = df.select(F.lit(table).alias("record_table"), kind.alias("kind"), F.col(file).alias("export_file"), *keys, F.try_parse_json(F.col(text)).alias("doc"))
     return rows.where(F.col("kind").isNotNull() & F.col("export_file").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT"))
 
 
-def path_values(objects: DataFrame) -> DataFrame:
-    """One row per object and top-level path: field, json_type (null for JSON null) and the VARIANT value.
+def path_values(objects: DataFrame, *keys: str) -> DataFrame:
+    """One row per object and top-level path: field, json_type (null for JSON null) and the VARIANT value, with `keys`.
 
     An empty object gives one row with a null field, so that it still counts as a row of its file.
     """
     spark = objects.sparkSession
     pairs = spark.tvf.variant_explode_outer(F.col("doc").outer())
     flat = objects.lateralJoin(pairs)
-    return flat.select("record_table", "kind", "export_file", F.col("key").alias("field"), json_type(F.col("value")).alias("json_type"), "value")
+    return flat.select("record_table", "kind", "export_file", *keys, F.col("key").alias("field"), json_type(F.col("value")).alias("json_type"), "value")
 
 
 def path_statistics(values: DataFrame) -> DataFrame:
@@ -125,8 +125,18 @@ def typed_columns(stats: DataFrame) -> DataFrame:
     return total.groupBy("record_table", "kind", "field").agg(F.max_by("json_type", F.struct("n", "json_type")).alias("column_type"))
 
 
+def _fits() -> Column:
+    """Whether a value can be cast to its column's type."""
+    return (
+        F.when(F.col("column_type") == "string", True)
+        .when(F.col("column_type") == "number", F.try_variant_get("value", "$", "double").isNotNull())
+        .when(F.col("column_type") == "boolean", F.try_variant_get("value", "$", "boolean").isNotNull())
+        .otherwise(F.col("json_type") == F.col("column_type"))
+    )
+
+
 def typed_values(objects: DataFrame) -> DataFrame:
-    """One consistent long table: per field and file the rows that fit the field's column type and those that do not.
+    """Per field and file the numbers of rows that fit the field's column type and of those that do not.
 
     A value fits if it can be cast: numbers and booleans from their texts too, anything to string; arrays and objects only
     from themselves.
@@ -134,17 +144,32 @@ def typed_values(objects: DataFrame) -> DataFrame:
     values = path_values(objects).where("field is not null and json_type is not null")
     types = typed_columns(path_statistics(values))
     rows = values.join(types, ["record_table", "kind", "field"])
-    fits = (
-        F.when(F.col("column_type") == "string", True)
-        .when(F.col("column_type") == "number", F.try_variant_get("value", "$", "double").isNotNull())
-        .when(F.col("column_type") == "boolean", F.try_variant_get("value", "$", "boolean").isNotNull())
-        .otherwise(F.col("json_type") == F.col("column_type"))
-    )
     return rows.groupBy("record_table", "kind", "export_file", "field", "column_type").agg(
-        F.count("*").alias("n_rows"), F.sum(F.when(fits, 0).otherwise(1)).alias("n_failed_casts")
+        F.count("*").alias("n_rows"), F.sum(F.when(_fits(), 0).otherwise(1)).alias("n_failed_casts")
     )
 
 
+def typed_table(objects: DataFrame, stats: DataFrame, *keys: str) -> DataFrame:
+    """One consistent long table of all kinds: one row per object, named by `keys`, and field, in the field's column type.
+
+    Of string_value, number_value, boolean_value and json_value (arrays and objects as JSON) the one of the type holds the
+    value. One that does not fit leaves all four null, sets failed_cast and stays in raw_value as JSON. JSON null is null; an
+    empty object gives one row without a field. `stats` are the path statistics of the objects.
+    """
+    types = F.broadcast(durable(typed_columns(stats)))  # as large as the schemas
+    rows = path_values(objects, *keys).join(types, ["record_table", "kind", "field"], "left")
+    held = F.col("json_type").isNotNull()
+    rows = rows.withColumn("failed_cast", held & ~_fits())
+    of = lambda *kinds: held & F.col("column_type").isin(*kinds) & ~F.col("failed_cast")
+    text = F.when(F.col("json_type").isin("array", "object"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
+    return rows.select(
+        "record_table", "kind", "export_file", *keys, "field", "column_type",
+        F.when(of("string"), text).alias("string_value"), F.when(of("number"), F.try_variant_get("value", "$", "double")).alias("number_value"),
+        F.when(of("boolean"), F.try_variant_get("value", "$", "boolean")).alias("boolean_value"), F.when(of("array", "object"), F.to_json("value")).alias("json_value"),
+        F.coalesce("failed_cast", F.lit(False)).alias("failed_cast"), F.when(F.col("failed_cast"), F.to_json("value")).alias("raw_value"),
+    )
+
+
 def consistent_table(objects: DataFrame, table: str, kind: str, columns: dict[str, str]) -> DataFrame:
     """Rows of one kind as typed columns `{field: SQL type}`; a value that does not fit its type becomes null and its field
     is named in `failed_casts` (comma-separated, in the order of `columns`). Fields that a row lacks are null."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.operators import orphans, schema_drift
@@ -32,10 +32,10 @@ def p2_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return timers.session_report(timers.sessions(timers.keyed_events(table(spark, folder, "event_log"))))
 
 
-def _objects(spark: SparkSession, folder: str) -> DataFrame:
+def _objects(spark: SparkSession, folder: str, *keys: Column) -> DataFrame:
     log, entities = table(spark, folder, "event_log"), table(spark, folder, "entities")
-    events = schema_drift.json_objects(log, "event_log", F.regexp_replace(F.lower("event_type"), "-", "_"), "payload", "export_file")
-    return events.unionByName(schema_drift.json_objects(entities, "entities", F.col("type"), "properties", "export_file"))
+    events = schema_drift.json_objects(log, "event_log", F.regexp_replace(F.lower("event_type"), "-", "_"), "payload", "export_file", *keys)
+    return events.unionByName(schema_drift.json_objects(entities, "entities", F.col("type"), "properties", "export_file", *keys))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +46,13 @@ def p3_field_types(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.typed_values(_objects(spark, folder))
 
 
+def p3_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every object of both tables: row_number numbers a table's rows as they are read, since ids are repeated or null."""
+    stats = schema_drift.path_statistics(schema_drift.path_values(_objects(spark, folder)))
+    rows = _objects(spark, folder, F.col("id").cast("string").alias("id"), F.monotonically_increasing_id().alias("row_number"))
+    return schema_drift.typed_table(rows, stats, "id", "row_number")
+
+
 def p3_file_saves(spark: SparkSession, folder: str) -> DataFrame:
     columns = {"file_path": "string", "file_path_rel": "string", "encoding": "string", "size": "double"}
     return schema_drift.consistent_table(_objects(spark, folder), "event_log", "file_save", columns)
@@ -70,7 +77,7 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, folder))
 
 
-QUERIES |= {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_field_types, p3_file_saves, p5_found, p5_report)}
+QUERIES |= {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_field_types, p3_table, p3_file_saves, p5_found, p5_report)}
 
 _EVENTS = f"""
 ev as (select id, lower(trim(workspace)) as ws, {micros_sql("created_at")} as us, replace(lower(trim(coalesce(event_type, ''))), '-', '_') as kind from event_log),

@@ -96,6 +96,43 @@ def test_consistent_table_reports_failed_casts(spark):
     assert sorted(r["failed_casts"] for r in out) == ["", "", "", "n"]
 
 
+def test_typed_table_holds_every_object_of_every_kind(spark):
+    folder = "/root/testdata/sf0.001"
+    want, types = [], defaultdict(lambda: defaultdict(int))
+    for name, kind, text in (("event_log", "event_type", "payload"), ("entities", "type", "properties")):
+        for r in pq.read_table(f"{folder}/{name}.parquet").to_pylist():
+            try:
+                doc = json.loads(r[text])
+            except (TypeError, ValueError):
+                continue
+            k = r[kind].lower().replace("-", "_") if name == "event_log" and r[kind] else r[kind]
+            if isinstance(doc, dict) and k is not None:
+                want += [(name, k, r["export_file"], str(r["id"]), f) for f in doc or [None]]
+                for f, v in doc.items():
+                    if v is not None:
+                        types[name, k, f][kind_of(v)] += 1
+    out = problems.QUERIES["p3_table"](spark, folder).collect()
+    key = lambda t: tuple(map(str, t))
+    assert sorted(((r.record_table, r.kind, r.export_file, r.id, r.field) for r in out), key=key) == sorted(want, key=key)
+    assert len({(r.record_table, r.row_number, r.field) for r in out}) == len(out)
+    for r in out:
+        held = types.get((r.record_table, r.kind, r.field))
+        assert r.column_type == (max(held, key=lambda t: (held[t], t)) if held else None)
+        filled = [c for c in ("string", "number", "boolean", "json") if r[f"{c}_value"] is not None]
+        assert filled in ([], ["json" if r.column_type in ("array", "object") else r.column_type]) and r.failed_cast == (r.raw_value is not None) and not (filled and r.failed_cast)
+
+
+def test_typed_table_values_and_failed_casts(spark):
+    rows = [("t", "k", "f1", '{"n": 1, "s": "a", "o": {"x": [1]}}'), ("t", "k", "f1", '{"n": "2.5", "s": {"y": 1}}'), ("t", "k", "f2", '{"n": 3, "s": "b", "o": 7}'), ("t", "k", "f2", '{"n": "many", "s": null, "o": {}}'), ("t", "k", "f2", '{"n": 4}'), ("t", "k2", "f2", "{}")]
+    df = objects(spark, rows)
+    out = schema_drift.typed_table(df, schema_drift.path_statistics(schema_drift.path_values(df))).collect()
+    got = sorted((r.kind, str(r.field), r.export_file, str(next((v for v in (r.string_value, r.number_value, r.json_value) if v is not None), None)), str(r.raw_value)) for r in out)
+    assert got == sorted([
+        ("k", "n", "f1", "1.0", "None"), ("k", "n", "f1", "2.5", "None"), ("k", "n", "f2", "3.0", "None"), ("k", "n", "f2", "4.0", "None"), ("k", "n", "f2", "None", '"many"'), ("k", "s", "f1", "a", "None"),
+        ("k", "s", "f1", '{"y":1}', "None"), ("k", "s", "f2", "b", "None"), ("k", "s", "f2", "None", "None"), ("k", "o", "f1", '{"x":[1]}', "None"), ("k", "o", "f2", "None", "7"), ("k", "o", "f2", "{}", "None"), ("k2", "None", "f2", "None", "None"),
+    ])
+
+
 def brute_sessions(events, gap):
     by = defaultdict(list)
     for key, at, i, _ in events:

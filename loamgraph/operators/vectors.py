@@ -43,10 +43,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int | None = 10, max_dist
             continue
         rows, q = _matrix(block["embedding"].combine_chunks() if isinstance(block["embedding"], pa.ChunkedArray) else block["embedding"])
         ids = block["id"].to_numpy()[rows]
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+        narrow = q.astype(np.float32)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, narrow if (narrow == q).all() else q))  # half the size where nothing is lost
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            q = q.astype(np.float64)
             for batch in batches:
                 rows, x = _matrix(batch["embedding"], q.shape[1])
                 if not len(rows) or not len(ids):

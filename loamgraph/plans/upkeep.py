@@ -16,6 +16,7 @@ from loamgraph.plans.relational import _VOL_SQL
 from loamgraph.sources.tables import table
 
 query = m.Catalog()
+DEDUP_NEIGHBOURS = 20
 NEAR = 0.4  # no two of the 64-dimensional vectors reach the usual 0.85
 
 # Consolidation.
@@ -54,7 +55,7 @@ query("con9_merge_candidates", m.sql("rec", _OBS + " select survivor_id, superse
 query("con10_merged_records", m.sql("rec", _OBS + " select rec.id, case when sb.by is not null then 'superseded' else status end as status, sb.by as superseded_by from rec left join (select superseded_id, min(survivor_id) as by from merges group by 1) sb on sb.superseded_id = rec.id"))(
     lambda s, d: consolidate.merged_records(m.records(s, d), consolidate.merge_candidates(near_observations(s, d), m.records(s, d)))
 )
-query("con3_duplicates", None)(lambda s, d: consolidate.duplicates(m.records(s, d).where("status = 'active'"), near_observations(s, d)))
+query("con3_duplicates", None)(lambda s, d: consolidate.duplicates(m.records(s, d).where("status = 'active'"), near_by_type(s, d, DEDUP_NEIGHBOURS).drop("type")))
 query("con4_rejected_matches", m.sql("rec", f""", t as (select id, {_TITLE} as f, status, type from rec where title is not null) select a.id, min(b.id) as rejected_id from t a join t b on b.f = a.f and b.type = a.type and b.status = 'rejected' and a.status = 'active' and a.f <> '' group by a.id"""))(lambda s, d: _rejected(s, d))
 
 

@@ -54,3 +54,8 @@ def test_contradictions_without_edges(spark, folder):
     assert found(spark, folder, "con8_numeric_gate")[0] == ("a1", "a2", "contradiction")
     assert [r[:3] for r in found(spark, folder, "con6_candidates")] == [("a1", "a2", "rule"), ("b1", "b2", "observation"), ("c1", "c2", "function")]
     assert found(spark, folder, "con5_found_duplicates") == [("b1", "b2")]
+
+
+def test_duplicates_of_every_type_by_vector(spark, folder):
+    got = [(a, b, kind) for a, b, _, kind in found(spark, folder, "con3_duplicates")]
+    assert got == [(a, b, "embedding") for p, q in (("a1", "a2"), ("b1", "b2"), ("c1", "c2")) for a, b in ((p, q), (q, p))]

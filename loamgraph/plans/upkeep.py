@@ -40,10 +40,11 @@ def observation_vectors(s, d):
 
 
 def near_observations(s, d):
+    """All pairs at the threshold, as the SQL has them; the reference looks at 10 neighbours each."""
     from loamgraph.session import durable
 
     vecs = durable(observation_vectors(s, d))
-    return consolidate.near_pairs(vecs, vecs, consolidate.DUPLICATE, 10)
+    return consolidate.near_pairs(vecs, vecs, consolidate.DUPLICATE)
 
 
 _OBS = """, obs as (select lower(trim(entity_id)) as id, any_value(embedding::double[]) as v from knowledge_embeddings where len(embedding) = 768 and not list_contains(list_transform(embedding, lambda x: isnan(x) or x is null), true) and list_sum(list_transform(embedding, lambda x: x * x)) > 0

@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pytest
 from edge_tables import SMALL
+from parity import compare, connect
 
 from loamgraph.plans import upkeep
 
@@ -24,27 +25,30 @@ RECORDS = {
 }
 
 
-@pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
-    out = str(tmp_path_factory.mktemp("upkeep"))
+def tables(spark, out, records):
     own = {"entities", "edges", "code_embeddings", "knowledge_embeddings"}
     for f in os.listdir(SMALL):
         if f.split(".")[0] not in own:
             os.symlink(f"{SMALL}/{f}", f"{out}/{f}")
     rng = np.random.default_rng(1)
-    bases = rng.standard_normal((3, 768))
+    bases = rng.standard_normal((4, 768))
     unit = lambda x: x / np.linalg.norm(x)
     vector = lambda g: (math.sqrt(0.9) * unit(bases[g]) + math.sqrt(0.1) * unit(rng.standard_normal(768))).tolist()
     schema = {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in own}
-    entities = [{"id": i, "type": t, "title": f"title of {i}", "content": c, "status": s, "created_at": TIME, "updated_at": TIME, "export_file": "f1"} for i, (t, s, c, _) in RECORDS.items()]
-    code = [{"entity_id": i, "embedding": vector(g)} for i, (t, _, _, g) in RECORDS.items() if t == "function"]
-    knowledge = [{"entity_id": i, "embedding": vector(g)} for i, (t, _, _, g) in RECORDS.items() if t != "function"]
+    entities = [{"id": i, "type": t, "title": f"title of {i}", "content": c, "status": s, "created_at": TIME, "updated_at": TIME, "export_file": "f1"} for i, (t, s, c, _) in records.items()]
+    code = [{"entity_id": i, "embedding": vector(g)} for i, (t, _, _, g) in records.items() if t == "function"]
+    knowledge = [{"entity_id": i, "embedding": vector(g)} for i, (t, _, _, g) in records.items() if t != "function"]
     for t, rows in {"entities": entities, "edges": [], "code_embeddings": code, "knowledge_embeddings": knowledge}.items():
         columns = schema[t].columns
         spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema[t].schema).write.parquet(f"{out}/{t}.parquet")
     return out
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    return tables(spark, str(tmp_path_factory.mktemp("upkeep")), RECORDS)
+
+
 def found(spark, folder, name):
     return sorted(tuple(r) for r in upkeep.QUERIES[name](spark, folder).collect())
 
@@ -59,3 +63,10 @@ def test_contradictions_without_edges(spark, folder):
 def test_duplicates_of_every_type_by_vector(spark, folder):
     got = [(a, b, kind) for a, b, _, kind in found(spark, folder, "con3_duplicates")]
     assert got == [(a, b, "embedding") for p, q in (("a1", "a2"), ("b1", "b2"), ("c1", "c2")) for a, b in ((p, q), (q, p))]
+
+
+def test_merges_of_a_large_topic(spark, tmp_path):
+    out = tables(spark, str(tmp_path), {f"o{i:02}": ("observation", "active", f"note {i}", 3) for i in range(30)} | {"c1": RECORDS["c1"]})
+    con = connect(out)
+    assert compare(spark, con, out, "con9_merge_candidates") == (30 * 29 // 2, "")
+    assert compare(spark, con, out, "con10_merged_records") == (31, "")

@@ -22,7 +22,7 @@ from loamgraph.session import durable
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
 BANDS, ROWS = 56, 4  # a pair of similarity 0.6 is missed with a probability of 4e-4, one of 0.8 with 1e-13
-#: Buckets up to this size are joined within; members of larger ones must agree in a second band.
+#: Buckets up to this size are joined within; larger ones are cut into blocks of about this size, which are joined in pairs.
 BUCKET = 256
 
 
@@ -126,6 +126,17 @@ def _pairs_within(rows: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b").select("a", "b")
 
 
+def _pairs_in_blocks(rows: DataFrame) -> DataFrame:
+    """All pairs within the buckets of rows (cid, key, n), in blocks of about BUCKET: each pair of blocks is one join key."""
+    blocks = F.ceil(F.col("n") / BUCKET)
+    own = rows.select("cid", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).alias("own"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    spread = spread.select("cid", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    on = ["key", "low", "high"]
+    a, b = spread.select(*on, F.col("cid").alias("a"), F.col("own").alias("p")), spread.select(*on, F.col("cid").alias("b"), F.col("own").alias("q"))
+    return a.join(b, on).where("a < b and (low = high or p <> q)").select("a", "b")
+
+
 def similar_classes(classes: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity) of different classes, a < b, whose sets have a Jaccard similarity of `similarity` or more."""
     keyed = durable(classes.mapInArrow(_banding(bands, rows), "cid binary, keys array<bigint>"))
@@ -133,11 +144,7 @@ def similar_classes(classes: DataFrame, similarity: float = SIMILARITY, bands: i
     sizes = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = flat.join(sizes, "key")
     pairs = _pairs_within(shared.where(F.col("n") <= BUCKET))
-    large = durable(shared.where(F.col("n") > BUCKET).select("cid", F.col("key").alias("hot")))
-    if not large.isEmpty():
-        again = large.join(keyed, "cid").select("cid", "hot", F.explode("keys").alias("second")).where("second <> hot")
-        again = again.select("cid", F.xxhash64(F.least("hot", "second"), F.greatest("hot", "second")).alias("key")).distinct()
-        pairs = pairs.unionByName(_pairs_within(again.join(again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")))
+    pairs = pairs.unionByName(_pairs_in_blocks(shared.where(F.col("n") > BUCKET)))
     left, right = classes.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), classes.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
     both = pairs.distinct().join(left, "a").join(right, "b")
     least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))

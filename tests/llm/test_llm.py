@@ -112,6 +112,15 @@ def test_similar_pairs_match_brute_force(spark, monkeypatch, bucket):
     assert neardup.similar_pairs(df.limit(0), 0.6).count() == 0 == neardup.groups(df.limit(0), 0.6).count()
 
 
+def test_one_common_band_is_enough_in_large_buckets(spark, monkeypatch):
+    sets = [(bytes([i]), [*range(100), 1000 + i]) for i in range(40)]
+    df = spark.createDataFrame(sets, "cid binary, shingles array<bigint>")
+    found = lambda: {(bytes(r.a), bytes(r.b)) for r in neardup.similar_classes(df, 0.6, 1, 1).collect()}
+    small = found()
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    assert len(small) > 500 and found() == small
+
+
 def test_signatures_estimate_probability_jaccard():
     """Equal components of weighted sets are as frequent as their probability Jaccard similarity says."""
     rng = np.random.default_rng(0)

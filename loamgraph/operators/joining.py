@@ -111,6 +111,31 @@ def mentions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return texts.where("text is not null").select("source_id", "text").mapInPandas(scan, "source_id string, target_id string").distinct()
 
 
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern): texts (id, text) that hold a pattern anywhere, exactly as written. The automaton of the distinct patterns
+    is broadcast, so they are bounded as for mentions()."""
+    rows = patterns.where("pattern <> ''").select("pattern").distinct().limit(MENTION_SCAN_PATTERNS + 1).collect()
+    if len(rows) > MENTION_SCAN_PATTERNS:
+        raise ValueError(f"more than {MENTION_SCAN_PATTERNS} patterns: scan them in blocks")
+    shared = texts.sparkSession.sparkContext.broadcast([r.pattern for r in rows])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in shared.value:
+            automaton.add_word(p, p)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for b in batches:
+            out = [(i, p) for i, text in zip(b["id"], b["text"]) for p in {p for _, p in automaton.iter(text)}]
+            yield pd.DataFrame(out, columns=["id", "pattern"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.where("id is not null and text is not null").select("id", "text").mapInPandas(scan, f"id {kind}, pattern string")
+
+
 def _leftmost_longest(automaton, text: str, patterns: list) -> list[tuple[int, int]]:
     """(end, pattern) of all matches, by start, longest first."""
     found = [(e + 1, i) for e, i in automaton.iter(text)]

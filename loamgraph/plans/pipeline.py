@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.operators import fusion, lexical, metrics
+from loamgraph.operators import fusion, joining, lexical, metrics
 from loamgraph.plans import model as m
 from loamgraph.plans import retrieval as r
 from loamgraph.session import durable
@@ -78,11 +78,20 @@ query("rnk14_search")(search)
 query("snk4_json_answers")(lambda s, d: sinks.as_json(search(s, d).join(r.docs(s, d).select(F.col("doc_id").alias("id"), "title"), "id"), "query_id", "results", ["rank"]))
 
 
+def expected_answers(s, d) -> DataFrame:
+    """(query_id, id) of the documents that bear a question's whole title in their text or as their title; id is null for a
+    question without any."""
+    asked = r.questions(s, d).select("query_id", F.col("text").alias("pattern")).where("trim(pattern) <> ''")
+    docs = r.docs(s, d).select(F.col("doc_id").alias("id"), "title", "text")
+    patterns = asked.select("pattern").distinct()
+    bearing = docs.select("id", F.col("title").alias("pattern")).join(patterns, "pattern", "left_semi").select("id", "pattern").unionByName(joining.containing(docs, patterns))
+    expected = asked.join(bearing, "pattern").where("query_id <> id").select("query_id", "id").distinct()
+    return r.questions(s, d).select("query_id").join(expected, "query_id", "left")
+
+
 def evaluated(s, d) -> DataFrame:
     """Search held against the documents that bear a question's whole title in their text or as their title."""
-    asked = r.questions(s, d)
-    expected = asked.select("query_id", "text").join(r.docs(s, d).select(F.col("doc_id").alias("id"), F.col("title").alias("text")), "text").where("query_id <> id").select("query_id", "id")
-    expected = asked.select("query_id").join(expected, "query_id", "left")
+    expected = expected_answers(s, d)
     results = search(s, d).withColumn("direct", F.col("channel") == "direct")
     return metrics.summary(metrics.scores(results, expected))
 

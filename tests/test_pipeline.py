@@ -6,7 +6,7 @@ import pytest
 from edge_tables import SMALL
 from pyspark.sql import functions as F
 
-from loamgraph.operators import fusion
+from loamgraph.operators import fusion, joining
 from loamgraph.plans import pipeline
 
 COPIES = 40
@@ -39,3 +39,16 @@ def test_copies_fill_the_expansions_and_count_in_full(spark, copied, monkeypatch
     direct = {r.id for r in found if r.channel == "direct"}
     graph = sorted(r.id for r in found if r.channel == "graph")
     assert len(direct & bearing) > 1 and graph == sorted(bearing - direct)[: pipeline.LIMIT]
+
+
+def test_expected_answers_bear_the_title_in_their_text_too(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    want = {
+        (q.doc_id, x.doc_id) for q in rows if q.doc_id % 20 == 0 and (q.title or "").strip(" ") for x in rows if x.doc_id != q.doc_id and (x.title == q.title or q.title in (x.text or ""))
+    }
+    asked = {q.doc_id for q in rows if q.doc_id % 20 == 0 and q.title is not None}
+    got = [(r.query_id, r.id) for r in pipeline.expected_answers(spark, SMALL).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(q, None) for q in asked - {q for q, _ in want}}
+    texts = spark.createDataFrame([(1, "say Fix the cache. now"), (2, "fix the cache"), (3, None), (4, "the cache")], "id bigint, text string")
+    patterns = spark.createDataFrame([("Fix the cache",), ("the cache",), ("",)], "pattern string")
+    assert sorted(tuple(r) for r in joining.containing(texts, patterns).collect()) == [(1, "Fix the cache"), (1, "the cache"), (2, "the cache"), (4, "the cache")]

@@ -98,30 +98,27 @@ def probe_sets(k: int, probes: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _key(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each row of integer codes."""
-    key = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
-    for j in range(codes.shape[1]):
-        key = (key ^ codes[:, j].astype(np.int64).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
+@lru_cache(16)
+def _borders(k: int, probes: int) -> np.ndarray:
+    """(2k, 1 + probes): whether a perturbation set holds the border of a position; the first set is empty."""
+    sets = [(), *(probe_sets(k, probes) if k and probes else [])]
+    out = np.zeros((2 * k, len(sets)), np.int8)
+    for i, chosen in enumerate(sets):
+        out[list(chosen), i] = 1
+    return out
 
 
 def probe_keys(own: np.ndarray, x: np.ndarray, probes: int, table: int = 0) -> np.ndarray:
     """Keys (vector, 1 + probes) of hash values `own` and their places `x` between the borders: the own one first."""
     n, k = own.shape
-    sets = probe_sets(k, probes) if k and probes else []
-    order = np.argsort(np.concatenate([x, 1 - x], axis=1), axis=1)
-    rows = np.arange(n)
-    codes = np.empty((n, k + 1), np.int64)
-    out = np.empty((n, 1 + len(sets)), np.int64)
-    for i, chosen in enumerate([(), *sets]):
-        codes[:, 0], codes[:, 1:] = table, own
-        for j in chosen:
-            at = order[:, j]
-            codes[rows, 1 + at % k] += np.where(at < k, -1, 1)
-        out[:, i] = _key(codes)
-    return out
+    borders = _borders(k, probes)
+    position = np.argsort(np.argsort(np.concatenate([x, 1 - x], axis=1), axis=1), axis=1)
+    key = np.full((n, borders.shape[1]), (0x9E3779B97F4A7C15 * (table + 1)) & (2**64 - 1), np.uint64)
+    for f in range(k):
+        code = own[:, f, None] + borders[position[:, k + f]] - borders[position[:, f]]
+        key = (key ^ code.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
 
 
 def buckets(unit: np.ndarray, how: Settings) -> np.ndarray:

@@ -114,7 +114,7 @@ def test_similar_pairs_match_brute_force(spark, monkeypatch, bucket):
 
 
 def test_one_common_band_is_enough_in_large_buckets(spark, monkeypatch):
-    sets = [(bytes([i]), [*range(100), 1000 + i]) for i in range(40)]
+    sets = [(bytes([i]) * 16, [*range(100), 1000 + i]) for i in range(40)]
     df = spark.createDataFrame(sets, "cid binary, shingles array<bigint>")
     found = lambda: {(bytes(r.a), bytes(r.b)) for r in neardup.similar_classes(df, 0.6, 1, 1).collect()}
     small = found()
@@ -122,6 +122,19 @@ def test_one_common_band_is_enough_in_large_buckets(spark, monkeypatch):
     assert len(small) > 500 and found() == small
 
 
+def test_meetings_are_all_pairs_of_all_buckets():
+    """Whatever the batches cut: small buckets give pairs, large ones their rows once each."""
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(k), int(s)) for k, s in zip(rng.choice(12, 400, p=[0.4, 0.2, *[0.04] * 10]), rng.integers(0, 150, 400))})
+    rows = [r for r in rows for _ in range(1 + r[1] % 2)]
+    for cut in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[a : a + cut]], "short": [s for _, s in rows[a : a + cut]]}) for a in range(0, len(rows), cut)]
+        out = [tuple(r.values()) for b in neardup._meetings(20)(iter(batches)) for r in b.to_pylist()]
+        of = {k: sorted({s for q, s in rows if q == k}) for k, _ in rows}
+        assert sorted((k, a) for a, b, k in out if b is None) == [(k, s) for k in sorted(of) if len(of[k]) > 20 for s in of[k]]
+        assert {(a, b) for a, b, k in out if b is not None} == {(x, y) for v in of.values() if len(v) <= 20 for i, x in enumerate(v) for y in v[i + 1 :]}
+
+
 def test_signatures_estimate_probability_jaccard():
     """Equal components of weighted sets are as frequent as their probability Jaccard similarity says."""
     rng = np.random.default_rng(0)

@@ -66,11 +66,6 @@ def _graphs(window: int, min_tf: int):
                 continue
             width = len(coded.dictionary)
             owner, code = np.repeat(np.arange(len(lengths)), lengths), coded.indices.to_numpy().astype(np.int64)
-            if min_tf > 1:  # records without a term that is frequent enough need no graph
-                cell, count = np.unique(owner * width + code, return_counts=True)
-                wanted = np.zeros(len(lengths), bool)
-                wanted[cell[count >= min_tf] // width] = True
-                owner, code = owner[wanted[owner]], code[wanted[owner]]
             record, term, tf, degree = word_graph(owner, code, width, window)
             keep = tf >= min_tf
             yield pa.RecordBatch.from_arrays(
@@ -84,7 +79,8 @@ def term_scores(records: DataFrame, window: int = WINDOW, min_tf: int = 1, min_d
     """(entity_id, term, tf, degree, df, score) of every term of every record of (entity_id, terms).
 
     score = degree * ln(N / df); a term that all records share, or that has no neighbour, scores 0. Ids must be unique.
-    Records without terms give no rows. `min_tf`, `min_df` and `max_df` (None: no bound) restrict the rows, not the counts.
+    Records without terms give no rows. Every record's graph is built. `min_tf`, `min_df` and `max_df`
+    (None: no bound) leave out rows of the result, they change neither counts nor degrees.
     """
     records = durable(records)
     n = records.count()

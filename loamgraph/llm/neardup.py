@@ -237,15 +237,16 @@ def similar_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per record with a set: id, class_id, group_id (name of the linked classes' component), n_links (classes linked
-    to the record's class), n_copies (records of its class). Records whose text has too few words have no set and no row."""
+    """One row per record with a set: id, class_id (smallest id of the records with an equal set), group_id (smallest id of the
+    linked classes' component), n_links (classes linked to the record's class), n_copies (records of its class). Records
+    whose text has too few words have no set and no row."""
     sets = durable(sets)
     members = sets.select("id", "cid")
     links = durable(similar_classes(sets, similarity).select("a", "b"))
     named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("cid"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    copies = members.groupBy("cid").agg(F.count("*").alias("n_copies"))
-    facts = copies.join(named, "cid", "left").join(degree, "cid", "left")
-    return members.join(facts, "cid").select(
-        "id", F.hex("cid").alias("class_id"), F.hex(F.coalesce("component", "cid")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies"
-    )
+    copies = members.groupBy("cid").agg(F.count("*").alias("n_copies"), F.min("id").alias("class_id"))
+    facts = durable(copies.join(named, "cid", "left").join(degree, "cid", "left"))
+    heads = facts.where("component is not null").groupBy("component").agg(F.min("class_id").alias("head"))
+    facts = facts.join(heads, "component", "left")
+    return members.join(facts, "cid").select("id", "class_id", F.coalesce("head", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")

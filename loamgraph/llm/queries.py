@@ -18,8 +18,9 @@ def query(f):
 
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of three occurrences that two to six records share, from the scored rows."""
     records = distinctive.record_terms(table(spark, folder, "entities"))
-    return distinctive.term_scores(records, min_tf=3, min_df=2, max_df=6).select("entity_id", "term")
+    return distinctive.term_scores(records, min_tf=3, min_df=2, max_df=6).where("score >= 0").select("entity_id", "term")
 
 
 @query
@@ -103,6 +104,15 @@ n as (select id, count(*) as n from s group by id),
 common as (select a.id as id_a, b.id as id_b, count(*) as c from s a join s b on a.g = b.g and a.id < b.id group by all)"""
 SQL["p4_found"] = f"with {_SETS} select id_a, id_b from common join n x on x.id = id_a join n y on y.id = id_b where c * 1.0 / (x.n + y.n - c) >= 0.6"
 
+SQL["p4_groups"] = f"""with recursive {_SETS},
+sig as (select id, string_agg(g, chr(10) order by g) as h from s group by id), cls as (select id, min(id) over (partition by h) as class_id, count(*) over (partition by h) as n_copies from sig),
+link as (select distinct x.class_id as a, y.class_id as b from (select id_a, id_b from common join n p on p.id = id_a join n q on q.id = id_b where c * 1.0 / (p.n + q.n - c) >= 0.6) l
+  join cls x on x.id = l.id_a join cls y on y.id = l.id_b where x.class_id <> y.class_id),
+both_ways as (select a, b from link union select b, a from link),
+reach as (select distinct class_id as a, class_id as b from cls union select r.a, w.b from reach r join both_ways w on w.a = r.b),
+head as (select a, min(b) as group_id from reach group by a), deg as (select a, count(*) as n_links from both_ways group by a)
+select id, class_id, group_id, coalesce(n_links, 0) as n_links, n_copies from cls join head on head.a = class_id left join deg on deg.a = class_id"""
+
 
 def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"

@@ -131,9 +131,10 @@ b4 as (select *, case when text is null or trim(regexp_replace(text, '\\s+', ' '
 h0 as (select source, 'chars' as unit, chars as length from b0 where text is not null union all select source, 'bytes', octets from b0 where text is not null), h as (select source, unit, length, count(*) as n from h0 group by all),
 h2 as (select *, max(n) over (partition by source, unit order by length range between {_T.SPIKE_NEAR} preceding and 4 preceding) as lo, max(n) over (partition by source, unit order by length range between 1 following and {_T.SPIKE_NEAR} following) as hi,
   sum(n) over (partition by source, unit) - sum(n) over (partition by source, unit order by length) as longer, sum(n) over (partition by source, unit) as total from h),
-sp as (select source, unit, length from h2 where n >= {_T.SPIKE_LEAST} and n >= {_T.SPIKE_TIMES} * coalesce(greatest(lo, hi), 0) and longer <= {_T.SPIKE_LONGER} * total),
-fl as (select b4.*, exists (select 1 from sp where sp.source = b4.source and case when unit = 'chars' then length = chars else octets between length - 3 and length end) as hit from b4),
-ca as (select *, case when hit and kind <> 'full' then 'limit' when kind = 'cut' then 'transfer' end as cause from fl)"""
+sp as (select source, unit, length, 1 - coalesce(greatest(lo, hi), 0) / n as sure from h2 where n >= {_T.SPIKE_LEAST} and n >= {_T.SPIKE_TIMES} * coalesce(greatest(lo, hi), 0) and longer <= {_T.SPIKE_LONGER} * total),
+fl as (select b4.*, (select max(sure) from sp where sp.source = b4.source and case when unit = 'chars' then length = chars else octets between length - 3 and length end) as sure from b4),
+ca as (select *, case when sure is not null and kind <> 'full' then 'limit' when kind = 'cut' then 'transfer' end as cause from fl)"""
 SQL["p9_found"] = f"with {_ENDS} select doc_id from ca where cause is not null"
-SQL["p9_report"] = f"""with {_ENDS} select source, count(kind) as n_texts, count(cause) as n_cut, count(*) filter (cause = 'limit') as n_limit, count(*) filter (cause = 'transfer') as n_transfer,
+SQL["p9_report"] = f"""with {_ENDS} select source, count(kind) as n_texts, count(kind) filter (sure is not null) as n_at_limit, count(cause) as n_cut, count(*) filter (cause = 'limit') as n_limit,
+count(*) filter (cause = 'limit' and kind = 'weak') as n_limit_only, count(*) filter (cause = 'transfer') as n_transfer, round(avg(case when cause = 'limit' then sure end), 6) as confidence,
 round(case when count(kind) > 0 then count(cause) / count(kind) end, 6) as share_cut from ca group by source"""

@@ -355,10 +355,10 @@ ENDS = {
 
 
 def test_ends(spark):
-    out = {r.t: r.e for r in spark.createDataFrame([(t,) for t in ENDS], "t string").select("t", truncation.end_of(F.col("t"), F.lit("notes/x")).alias("e")).collect()}
+    out = {r.t: r.e for r in truncation.with_ends(spark.createDataFrame([(t, t, "notes/x") for t in ENDS], "t string, text string, source string")).withColumnRenamed("end", "e").collect()}
     assert out == ENDS
     commits = {"Fix the thing": "weak", "x" * 73: "cut", "Fix the…": "cut", "two\nlines": "cut"}
-    out = {r.t: r.e for r in spark.createDataFrame([(t,) for t in commits], "t string").select("t", truncation.end_of(F.col("t"), F.lit("commits/x")).alias("e")).collect()}
+    out = {r.t: r.e for r in truncation.with_ends(spark.createDataFrame([(t, t, "commits/x") for t in commits], "t string, text string, source string")).withColumnRenamed("end", "e").collect()}
     assert out == commits
 
 
@@ -372,4 +372,10 @@ def test_spikes_and_causes(spark):
     assert out[300] == out[301] == out[302] == (True, "transfer") and out[303] == out[304] == (False, None) and out[305] == (True, "limit")
     report = {r.source: (r.n_texts, r.n_cut, r.n_limit, r.share_cut) for r in truncation.truncation_report(truncation.flagged(df)).collect()}
     assert report["free"] == (2, 1, 0, 0.5) and report["lim"][1:3] == (22, 21)
+    sure = {r.doc_id: r.confidence for r in truncation.flagged(df).collect()}
+    assert 0.7 < sure[0] <= 1 and sure[0] == sure[305] and sure[300] is None
+    only = {r.source: (r.n_limit_only, r.n_at_limit) for r in truncation.truncation_report(truncation.flagged(df)).collect()}
+    assert only["lim"][0] == 1 and only["lim"][1] >= 21 and only["free"] == (0, 0)  # 305 is found by the histogram alone
+    apart = df.withColumn("source", F.concat(F.lit("own"), F.col("doc_id").cast("string")))  # the same texts without a histogram
+    assert {r.doc_id for r in truncation.flagged(apart).where("cut").collect()} == {i for i, v in out.items() if v[0]} - {305}
     assert truncation.flagged(df.limit(0)).count() == 0

@@ -1,7 +1,8 @@
 """Evaluation texts inside training texts.
 
 The n-grams of all evaluation items form a hash set that is broadcast; its size is checked first. The token windows of
-every document are looked up in it, and hits are verified word by word. Beyond the bound the n-grams are joined by shuffle.
+every document are looked up in it, and hits are verified word by word. Beyond the bound the windows of both sides are hashed
+to 128 bits by the same tokeniser and joined by shuffle, salted by document; the hits are the same.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamgraph.functions.text import words
+from loamgraph.session import durable
 
 SPAN = 12
 #: Words of all evaluation items together up to which their n-grams are broadcast (about 100 bytes a word).
 BROADCAST_WORDS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Parts over which the documents' windows of one n-gram are spread where they are joined by shuffle.
+SALTS = 32
+KEYS = ("loamgraph-window", "window-loamgraph")  # two independent hashes of a word; 16 bytes each
 HITS = "doc_id bigint, item_id bigint, first_word int"
 
 
@@ -99,21 +104,16 @@ def _words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _item_words(items: DataFrame) -> DataFrame:
-    return items.where("item_id is not null").select("item_id", words(F.col("text")).alias("words"))
-
-
 def passages(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, item_id, first_word): every window of `span` words of a document that an item has too.
+    """Distinct (doc_id, item_id, first_word): every window of `span` words of a document that an item has too.
 
     Null, blank and shorter texts have no windows; items shorter than `span` words cannot leak. Long texts are scanned
-    whole. Repeated rows give repeated hits.
+    whole. Repeated rows count once.
     """
-    coded = _item_words(items)
-    size = coded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    if size > BROADCAST_WORDS:
-        return _passages_by_shuffle(documents, coded, span)
-    grams = documents.sparkSession.sparkContext.broadcast(GramSet([(r.item_id, list(r.words)) for r in coded.collect()], span))
+    items = items.where("item_id is not null and text is not null").select("item_id", "text")
+    if items.agg(F.coalesce(F.sum(F.size(words(F.col("text")))), F.lit(0))).first()[0] > BROADCAST_WORDS:
+        return _passages_by_shuffle(documents, items, span)
+    grams = documents.sparkSession.sparkContext.broadcast(GramSet([(r.item_id, _words(r.text)) for r in items.collect()], span))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -123,20 +123,37 @@ def passages(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
                 if len(text):
                     yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "item_id": item, "first_word": first.astype(np.int32)})
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, HITS)
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, HITS).distinct()
 
 
-def _windows(df: DataFrame, key: str, span: int) -> DataFrame:
-    """(key, first_word, gram) of every window."""
-    n = F.size("words") - span + 1
-    rows = df.where(n > 0).select(key, "words", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    return rows.select(key, (F.col("i") - 1).cast("int").alias("first_word"), F.array_join(F.slice("words", F.col("i"), span), " ").alias("gram"))
+def _windows(texts: DataFrame, span: int) -> DataFrame:
+    """(id, first_word, g, h) of every window of texts (id, text): two hashes of 64 bits each."""
 
-
-def _passages_by_shuffle(documents: DataFrame, coded: DataFrame, span: int) -> DataFrame:
-    docs = documents.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words"))
-    grams = _windows(coded, "item_id", span).select("item_id", "gram").distinct()
-    return _windows(docs, "doc_id", span).join(grams, "gram").select("doc_id", "item_id", "first_word")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                lists = [_words(t) for t in part["text"]]
+                lengths = np.array([len(x) for x in lists], np.int64)
+                if lengths.sum() < span:
+                    continue
+                code, known = pd.factorize(np.array([w for x in lists for w in x], object))
+                owner = np.repeat(np.arange(len(lists)), lengths)
+                n = len(code) - span + 1
+                start = np.flatnonzero(owner[span - 1 :] == owner[:n])
+                both = [_grams(pd.util.hash_array(known, hash_key=k)[code], span)[start].view(np.int64) for k in KEYS]
+                first = start - (np.cumsum(lengths) - lengths)[owner[start]]
+                yield pd.DataFrame({"id": part["id"].to_numpy()[owner[start]], "first_word": first.astype(np.int32), "g": both[0], "h": both[1]})
+
+    return texts.mapInPandas(run, "id bigint, first_word int, g bigint, h bigint")
+
+
+def _passages_by_shuffle(documents: DataFrame, items: DataFrame, span: int) -> DataFrame:
+    docs = _windows(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text"), span).select(F.col("id").alias("doc_id"), "first_word", "g", "h")
+    grams = _windows(items.select(F.col("item_id").alias("id"), "text"), span).select(F.col("id").alias("item_id"), "g", "h").distinct()
+    grams = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return docs.join(grams, ["g", "h", "salt"]).select("doc_id", "item_id", "first_word").distinct()
 
 
 def leaked_pairs(hits: DataFrame) -> DataFrame:
@@ -161,18 +178,22 @@ def _cut(text: str, firsts: list[int], span: int) -> str:
 
 
 def without_leaks(documents: DataFrame, hits: DataFrame, mode: str = "spans", span: int = SPAN) -> DataFrame:
-    """(doc_id, text, removed_chars): documents without leaked spans, or without leaked documents (`mode` "documents")."""
+    """(doc_id, text, removed_chars): documents without leaked spans, or without leaked documents (`mode` "documents").
+
+    Only documents with hits are cleaned, the others pass as they are.
+    """
     if mode == "documents":
         kept = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
         return kept.select("doc_id", "text", F.lit(0).cast("bigint").alias("removed_chars"))
     if mode != "spans":
         raise ValueError(f"mode is spans or documents, not {mode}")
-    firsts = hits.groupBy("doc_id").agg(F.collect_set("first_word").alias("firsts"))
+    firsts = durable(hits.groupBy("doc_id").agg(F.collect_set("first_word").alias("firsts")))
 
     @F.pandas_udf(T.StringType())
     def clean(text: pd.Series, firsts: pd.Series) -> pd.Series:
-        return pd.Series([t if f is None or t is None else _cut(t, list(f), span) for t, f in zip(text, firsts)])
+        return pd.Series([_cut(t, list(f), span) for t, f in zip(text, firsts)], dtype=object)
 
-    rows = documents.select("doc_id", "text").join(firsts, "doc_id", "left")
-    cleaned = rows.withColumn("clean", F.when(F.col("firsts").isNull(), F.col("text")).otherwise(clean("text", "firsts")))
-    return cleaned.select("doc_id", F.col("clean").alias("text"), F.coalesce(F.length("text") - F.length("clean"), F.lit(0)).cast("bigint").alias("removed_chars"))
+    rows = documents.select("doc_id", "text")
+    cleaned = rows.join(firsts, "doc_id").withColumn("clean", clean("text", "firsts"))
+    cleaned = cleaned.select("doc_id", F.col("clean").alias("text"), (F.length("text") - F.length("clean")).cast("bigint").alias("removed_chars"))
+    return cleaned.unionByName(rows.join(firsts, "doc_id", "left_anti").select("doc_id", "text", F.lit(0).cast("bigint").alias("removed_chars")))

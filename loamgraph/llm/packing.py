@@ -161,3 +161,16 @@ def pack_fills(packed: DataFrame) -> DataFrame:
     """(budget_id, capacity, pack_id, n_items, fill, unused) of every pack."""
     rows = packed.where("pack_id is not null")
     return rows.groupBy("budget_id", "capacity", "pack_id").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("fill")).withColumn("unused", F.col("capacity") - F.col("fill"))
+
+
+def invariants(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Per budget: n_texts placed; n_wrongly_placed texts with a piece placed twice, or in pieces though they fit; n_overfull
+    packs beyond the capacity; n_misstated packs whose fill is not the sum of their tokens. All but the first should be 0."""
+    per_text = packed.groupBy("budget_id", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"), F.sum("tokens").alias("t"), F.max("capacity").alias("c"))
+    wrong = (F.col("n") != F.col("pieces")) | (F.col("n") != F.greatest(F.ceil(F.col("t") / F.col("c")), F.lit(1)))
+    texts = per_text.groupBy("budget_id").agg(F.count("*").alias("n_texts"), F.count_if(wrong).alias("n_wrongly_placed"))
+    per_pack = packed.where("pack_id is not null").groupBy("budget_id", "pack_id").agg(F.sum("tokens").alias("t"), F.max("fill").alias("f"), F.min("fill").alias("g"), F.max("capacity").alias("c"))
+    fills = per_pack.groupBy("budget_id").agg(F.count_if(F.col("t") > F.col("c")).alias("n_overfull"), F.count_if((F.col("t") != F.col("f")) | (F.col("f") != F.col("g"))).alias("n_misstated"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = budgets.select("budget_id").distinct().join(texts, "budget_id", "left").join(fills, "budget_id", "left")
+    return rows.select("budget_id", *[zero(c) for c in ("n_texts", "n_wrongly_placed", "n_overfull", "n_misstated")])

@@ -56,6 +56,12 @@ def p7_fills(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_fills(p7_packs(spark, folder))
 
 
+@query
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per budget what must hold of the packs: texts placed, texts placed twice or cut without need, overfull and misstated packs."""
+    return packing.invariants(p7_packs(spark, folder), table(spark, folder, "pack_budgets"))
+
+
 @query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_pairs(leaks.passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
@@ -90,11 +96,24 @@ near as (select distinct a.entity_id, a.term, b.term as other from flat a join f
 deg as (select entity_id, term, count(*) as degree from near group by all)
 select entity_id, term, tf, coalesce(degree, 0) as degree, df, round(coalesce(degree, 0) * ln((select count(*) from rec) * 1.0 / df), 6) as score
 from tf join df using (term) left join deg using (entity_id, term)"""
+SQL["p7_invariants"] = "select distinct budget_id, (select count(doc_id) from documents) as n_texts, 0 as n_wrongly_placed, 0 as n_overfull, 0 as n_misstated from pack_budgets"
 SQL["p8_found"] = """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
 dg as (select doc_id, w, unnest(range(1, len(w) - 10)) as p from d where len(w) >= 12),
 ig as (select item_id, w, unnest(range(1, len(w) - 10)) as p from i where len(w) >= 12)
 select distinct doc_id, item_id from (select doc_id, array_to_string(w[p:p + 11], ' ') as g from dg) join (select item_id, array_to_string(w[p:p + 11], ' ') as g from ig) using (g)"""
+SQL["p8_cleaned"] = """with d as (select doc_id, text, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') as ts from documents where text is not null),
+w as (select doc_id, list_filter(ts, lambda t: regexp_matches(t, '[\\p{L}\\p{N}]')) as ws from d),
+i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from eval_items),
+dg as (select doc_id, lower(array_to_string(ws[p + 1:p + 12], ' ')) as g, p from (select doc_id, ws, unnest(range(0, len(ws) - 11)) as p from w where len(ws) >= 12)),
+ig as (select distinct array_to_string(ws[p:p + 11], ' ') as g from (select ws, unnest(range(1, len(ws) - 10)) as p from i where len(ws) >= 12)),
+hits as (select distinct doc_id, p from dg join ig using (g)),
+tok as (select doc_id, unnest(ts) as t, unnest(range(len(ts))) as n from d where doc_id in (select doc_id from hits)),
+num as (select *, regexp_matches(t, '[\\p{L}\\p{N}]') as is_word, sum(case when regexp_matches(t, '[\\p{L}\\p{N}]') then 1 else 0 end) over (partition by doc_id order by n) - 1 as wn from tok),
+gone as (select doc_id, n from num where exists (select 1 from hits h where h.doc_id = num.doc_id and h.p <= wn and wn + case when is_word then 0 else 1 end <= h.p + 11)),
+kept as (select doc_id, string_agg(t, '' order by n) as text from num anti join gone using (doc_id, n) group by doc_id)
+select doc_id, text, 0 as removed_chars from documents where doc_id not in (select doc_id from hits)
+union all select h.doc_id, coalesce(kept.text, ''), length(documents.text) - length(coalesce(kept.text, '')) from (select distinct doc_id from hits) h join documents using (doc_id) left join kept using (doc_id)"""
 _SETS = """
 rec as (select id, arg_max(coalesce(title, '') || ' ' || coalesce(content, ''), struct_pack(u := updated_us, t := coalesce(title, ''), c := coalesce(content, ''))) as text
   from (select *, epoch_us(cast(case when regexp_matches(updated_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') then updated_at else updated_at || 'Z' end as timestamptz)) as updated_us from entities) where id is not null group by id),

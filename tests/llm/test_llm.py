@@ -329,10 +329,13 @@ def test_leaks_small(spark, monkeypatch):
         [(1, f"Before this. {body} After that."), (2, " ".join(f"word{i}" for i in range(11))), (3, None), (4, ""), (5, "lorem ipsum " * 10_000 + item), (6, "y x " * 7), (None, item), (7, "word0 " + item)], "doc_id bigint, text string"
     )
     want = {(1, 1), (5, 1), (5, 5), (6, 4), (7, 1), (7, 5)}
+    same = []
     for bound in (leaks.BROADCAST_WORDS, 0):
         monkeypatch.setattr(leaks, "BROADCAST_WORDS", bound)
-        hits = leaks.passages(docs, items)
+        hits = leaks.passages(docs.unionByName(docs.where("doc_id = 1")), items)
+        same.append(sorted(map(tuple, hits.collect())))
         assert {(r.doc_id, r.item_id) for r in leaks.leaked_pairs(hits).collect()} == want
+    assert same[0] == same[1] and len(same[0]) == len(set(same[0]))
     clean = {r.doc_id: r.text for r in leaks.without_leaks(docs, hits).collect()}
     assert clean[1] == "Before this. ! After that." and clean[2] == " ".join(f"word{i}" for i in range(11)) and clean[3] is None and clean[7] == "word0 "
     assert {r.doc_id for r in leaks.without_leaks(docs, hits, "documents").collect()} == {2, 3, 4, None}

@@ -69,21 +69,24 @@ def _steps(stats: DataFrame) -> DataFrame:
 def _renamings(objects: DataFrame, steps: DataFrame) -> DataFrame:
     """Pairs (old_field, field) of a step with the share of the added field's distinct values that the removed one had.
 
-    Only fields that can take part in a renaming are read again; their number is bounded by the schemas, not the rows.
+    Only fields that can take part in a renaming are read again. Pairs arise from the values they share, so fields without a
+    common value never meet, however many come and go in one step.
     """
     series = ["record_table", "kind", "export_file"]
     single = F.col("types").isin(*SCALARS)
     gone = steps.where("new_types is null").select(*series, "old_file", F.col("field").alias("old_field"), F.col("old_types").alias("types")).where(single)
     came = steps.where("old_types is null").select(*series, F.col("field"), F.col("new_types").alias("types")).where(single)
-    pairs = durable(gone.join(came, [*series, "types"]))
-    looked = pairs.select("record_table", "kind", F.col("old_file").alias("export_file"), F.col("old_field").alias("field")).unionByName(pairs.select(*series, "field")).distinct()
-    wanted = looked.groupBy(*series).agg(F.collect_set("field").alias("fields"))
+    both = came.select(*series, "types").distinct().join(gone.select(*series, "types").distinct(), [*series, "types"])
+    gone, came = durable(gone.join(both, [*series, "types"], "left_semi")), durable(came.join(both, [*series, "types"], "left_semi"))
+    looked = gone.select("record_table", "kind", F.col("old_file").alias("export_file"), F.col("old_field").alias("field")).unionByName(came.select(*series, "field")).distinct()
+    wanted = looked.select(*series).distinct()
     text = path_values(objects.join(wanted, series, "left_semi")).join(looked, [*series, "field"], "left_semi")
     text = text.where("json_type is not null").select(*series, "field", F.col("value").cast("string").alias("text")).distinct()
-    added = text.join(pairs, [*series, "field"]).select(*series, "old_file", "old_field", "field", "text")
-    removed = text.select("record_table", "kind", F.col("export_file").alias("old_file"), F.col("field").alias("old_field"), "text", F.lit(1).alias("hit"))
-    matched = added.join(removed, ["record_table", "kind", "old_file", "old_field", "text"], "left")
-    share = matched.groupBy(*series, "old_field", "field").agg((F.count("hit") / F.count("*")).alias("share"))
+    added = text.join(came, [*series, "field"])
+    n = added.groupBy(*series, "field").agg(F.count("*").alias("n"))
+    removed = text.select("record_table", "kind", F.col("export_file").alias("old_file"), F.col("field").alias("old_field"), "text").join(gone, ["record_table", "kind", "old_file", "old_field"])
+    hits = added.join(removed, [*series, "types", "text"]).groupBy(*series, "old_field", "field").agg(F.count("*").alias("hits"))
+    share = hits.join(n, [*series, "field"]).select(*series, "old_field", "field", (F.col("hits") / F.col("n")).alias("share"))
     return share.where("share >= 0.5")
 
 
@@ -119,6 +122,32 @@ def schema_changes(objects: DataFrame) -> DataFrame:
     return plain.unionByName(renamed).groupBy("record_table", "kind", "export_file").applyInPandas(_assign, CHANGES)
 
 
+NAMES = "record_table string, kind string, export_file string, field string, column string"
+
+
+def column_names(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    """(record_table, kind, export_file, field, column): the column that a field of a file belongs to. A field that is renamed
+    in a later file belongs to its successor's column, through any number of renamings; all others to their own."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = sorted(pdf[pdf["old_field"].notna()][["export_file", "old_field", "field"]].itertuples(index=False, name=None))
+        later: dict[str, list] = {}
+        for file, old, new in steps:
+            later.setdefault(old, []).append((file, new))
+        held = pdf[pdf["old_field"].isna()]
+        names = []
+        for file, name in zip(held["export_file"], held["field"]):
+            while step := next(((f, new) for f, new in later.get(name, []) if f > file), None):
+                file, name = step
+            names.append(name)
+        return held[["record_table", "kind", "export_file", "field"]].assign(column=names)
+
+    none = F.lit(None).cast("string").alias("old_field")
+    fields = stats.where("field is not null").select("record_table", "kind", "export_file", "field", none).distinct()
+    renamed = changes.where("change = 'renamed'").select("record_table", "kind", "export_file", "field", "old_field")
+    return fields.unionByName(renamed).groupBy("record_table", "kind").applyInPandas(run, NAMES)
+
+
 def typed_columns(stats: DataFrame) -> DataFrame:
     """The column type of every field of a kind: its most frequent JSON type over all files (ties by name)."""
     total = stats.where("field is not null and json_type is not null").groupBy("record_table", "kind", "field", "json_type").agg(F.sum("n").alias("n"))
@@ -149,33 +178,28 @@ def typed_values(objects: DataFrame) -> DataFrame:
     )
 
 
-def typed_table(objects: DataFrame, stats: DataFrame, *keys: str) -> DataFrame:
-    """One consistent long table of all kinds: one row per object, named by `keys`, and field, in the field's column type.
+def typed_table(objects: DataFrame, stats: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """One consistent long table of all kinds: one row per object, named by `keys`, and field, under the field's column and in
+    the column's type.
 
-    Of string_value, number_value, boolean_value and json_value (arrays and objects as JSON) the one of the type holds the
-    value. One that does not fit leaves all four null, sets failed_cast and stays in raw_value as JSON. JSON null is null; an
-    empty object gives one row without a field. `stats` are the path statistics of the objects.
+    A field that was renamed later stands under its successor's column (`names`, of column_names). Of string_value,
+    number_value, boolean_value and json_value (arrays and objects as JSON) the one of the type holds the value. One that does
+    not fit leaves all four null, sets failed_cast and stays in raw_value as JSON. JSON null is null; an empty object gives
+    one row without a field. `stats` are the path statistics of the objects; names and types are as large as the schemas.
     """
-    types = F.broadcast(durable(typed_columns(stats)))  # as large as the schemas
-    rows = path_values(objects, *keys).join(types, ["record_table", "kind", "field"], "left")
+    at = ["record_table", "kind", "export_file", "field"]
+    names = durable(names)
+    folded = stats.join(names, at).withColumn("field", F.col("column")).drop("column")
+    types = typed_columns(folded).withColumnRenamed("field", "column")
+    known = durable(names.join(types, ["record_table", "kind", "column"], "left"))
+    rows = path_values(objects, *keys).join(known, at, "left")
     held = F.col("json_type").isNotNull()
     rows = rows.withColumn("failed_cast", held & ~_fits())
     of = lambda *kinds: held & F.col("column_type").isin(*kinds) & ~F.col("failed_cast")
     text = F.when(F.col("json_type").isin("array", "object"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
     return rows.select(
-        "record_table", "kind", "export_file", *keys, "field", "column_type",
+        *at, "column", *keys, "column_type",
         F.when(of("string"), text).alias("string_value"), F.when(of("number"), F.try_variant_get("value", "$", "double")).alias("number_value"),
         F.when(of("boolean"), F.try_variant_get("value", "$", "boolean")).alias("boolean_value"), F.when(of("array", "object"), F.to_json("value")).alias("json_value"),
         F.coalesce("failed_cast", F.lit(False)).alias("failed_cast"), F.when(F.col("failed_cast"), F.to_json("value")).alias("raw_value"),
     )
-
-
-def consistent_table(objects: DataFrame, table: str, kind: str, columns: dict[str, str]) -> DataFrame:
-    """Rows of one kind as typed columns `{field: SQL type}`; a value that does not fit its type becomes null and its field
-    is named in `failed_casts` (comma-separated, in the order of `columns`). Fields that a row lacks are null."""
-    rows = objects.where((F.col("record_table") == table) & (F.col("kind") == kind))
-    path = {c: "$['" + c.replace("'", "\\'") + "']" for c in columns}
-    cast = {c: F.try_variant_get("doc", path[c], t) for c, t in columns.items()}
-    raw = {c: json_type(F.try_variant_get("doc", path[c], "variant")) for c in columns}
-    failed = F.concat_ws(",", *[F.when(raw[c].isNotNull() & cast[c].isNull(), F.lit(c)) for c in columns])
-    return rows.select("export_file", *[v.alias(c) for c, v in cast.items()], failed.alias("failed_casts"))

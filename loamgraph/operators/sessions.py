@@ -1,8 +1,9 @@
-"""Sessions of a key's events, by keyed timers over ordered events.
+"""Sessions of a key's events, by keyed inactivity timers over ordered events.
 
-Every event of a key sets the key's timer to its own time plus the gap; the first later time at which the timer has run
-out closes the session. Events are range-partitioned by (key, time, id), so a key that holds a third of all rows is spread
-over many tasks; sessions that touch a partition's edge are stitched afterwards (two rows per partition at most).
+Every event of a key updates the key's open session and resets its timer to the event's own time plus the gap; a session is
+emitted when its timer expires, that is when time in the key passes the deadline. Events are range-partitioned by
+(key, time, id), so a key that holds a third of all rows is spread over many tasks; a timer that has not expired at a range's
+end is handed on: sessions that touch an edge are stitched afterwards (two rows per partition at most).
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ ARROW = pa.schema(
 
 
 class SessionTimers:
-    """The timers of one ordered stream of events. `update` takes a batch and gives the sessions whose timers ran out;
-    `flush` gives the session that is still open. All steps are array operations."""
+    """The keyed timers of one ordered stream of events. State: the open session and the deadline of its timer. `update` takes
+    a batch, resets the timer with every event and gives the sessions whose timers expired; `flush` gives the session whose
+    timer still runs. As events come in order, all timers of a batch are followed by array operations."""
 
     def __init__(self, gap_us: int = GAP_US):
         self.gap = gap_us
         self.open: pa.RecordBatch | None = None
+        self.deadline: int | None = None
         self.first = True
 
     def update(self, key: pa.Array, at: np.ndarray, ids: np.ndarray, kinds: pa.Array) -> pa.RecordBatch | None:
@@ -51,11 +54,12 @@ class SessionTimers:
             owner = np.concatenate([np.zeros(len(seen), np.int64), owner + 1])
             amount = np.concatenate([np.array([v for _, v in seen], np.int64), amount])
         codes = key.dictionary_encode().indices.to_numpy()
-        opens = np.ones(len(start), bool)
-        opens[1:] = (codes[1:] != codes[:-1]) | (start[1:] - end[:-1] > self.gap)
-        head = np.flatnonzero(opens)
+        deadline = end + self.gap  # what every event resets its key's timer to
+        expired = np.ones(len(start), bool)  # whether the timer of the row before has run out, or its key is over
+        expired[1:] = (codes[1:] != codes[:-1]) | (start[1:] > deadline[:-1])
+        head = np.flatnonzero(expired)
         tail = np.append(head[1:], len(start)) - 1
-        session = np.cumsum(opens) - 1
+        session = np.cumsum(expired) - 1
         kind = kinds.dictionary_encode()
         width = max(1, len(kind.dictionary))
         cell, inverse = np.unique(session[owner] * width + kind.indices.to_numpy(), return_inverse=True)
@@ -71,14 +75,14 @@ class SessionTimers:
         )
         if len(out) > 1:
             self.first = False
-        self.open = out.slice(len(out) - 1)
+        self.open, self.deadline = out.slice(len(out) - 1), int(deadline[-1])
         return out.slice(0, len(out) - 1) if len(out) > 1 else None
 
     def flush(self) -> pa.RecordBatch | None:
         if self.open is None:
             return None
         out = self.open.set_column(len(ARROW) - 1, "edge", pa.array([True]))
-        self.open = None
+        self.open = self.deadline = None
         return out
 
 
@@ -133,8 +137,9 @@ def sessions(events: DataFrame, gap_us: int = GAP_US) -> DataFrame:
     return parts.where("not edge").drop("edge").unionByName(stitched)
 
 
-def session_report(found: DataFrame) -> DataFrame:
-    """Readable sessions: workspace, start, end, duration in seconds, events in all and per type (`type=n;...`)."""
+def session_report(found: DataFrame, gap_us: int = GAP_US) -> DataFrame:
+    """Readable sessions: workspace, start, end, when the timer expired, duration in seconds, events in all and per type
+    (`type=n;...`)."""
     entries = F.array_sort(F.map_entries("types"))
     return found.select(
         F.col("key").alias("workspace"),
@@ -142,6 +147,7 @@ def session_report(found: DataFrame) -> DataFrame:
         "last_id",
         utc_text(F.col("start_us")).alias("started_at"),
         utc_text(F.col("end_us")).alias("ended_at"),
+        utc_text(F.col("end_us") + gap_us).alias("expired_at"),
         F.round((F.col("end_us") - F.col("start_us")) / 1e6, 6).alias("duration_s"),
         "n_events",
         F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("type_counts"),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import orphans, schema_drift
 from loamgraph.operators import sessions as timers
+from loamgraph.session import durable
 from loamgraph.sources.tables import table
+from loamgraph.streaming.sessions import drained
 
 QUERIES, SQL = {}, {}
 
@@ -32,6 +34,13 @@ def p2_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return timers.session_report(timers.sessions(timers.keyed_events(table(spark, folder, "event_log"))))
 
 
+def p2_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sessions from the stream operator with event-time timers, run until every timer has expired."""
+    events = timers.keyed_events(table(spark, folder, "event_log"))
+    found = drained(events.select("key", F.timestamp_micros("at").alias("at"), "id"))
+    return found.select(F.col("key").alias("workspace"), "first_id", "last_id", "n_events")
+
+
 def _objects(spark: SparkSession, folder: str, *keys: Column) -> DataFrame:
     log, entities = table(spark, folder, "event_log"), table(spark, folder, "entities")
     events = schema_drift.json_objects(log, "event_log", F.regexp_replace(F.lower("event_type"), "-", "_"), "payload", "export_file", *keys)
@@ -48,14 +57,19 @@ def p3_field_types(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
     """Every object of both tables: row_number numbers a table's rows as they are read, since ids are repeated or null."""
-    stats = schema_drift.path_statistics(schema_drift.path_values(_objects(spark, folder)))
+    objects = _objects(spark, folder)
+    stats = durable(schema_drift.path_statistics(schema_drift.path_values(objects)))
+    names = schema_drift.column_names(stats, schema_drift.schema_changes(objects))
     rows = _objects(spark, folder, F.col("id").cast("string").alias("id"), F.monotonically_increasing_id().alias("row_number"))
-    return schema_drift.typed_table(rows, stats, "id", "row_number")
+    return schema_drift.typed_table(rows, stats, names, "id", "row_number")
 
 
-def p3_file_saves(spark: SparkSession, folder: str) -> DataFrame:
-    columns = {"file_path": "string", "file_path_rel": "string", "encoding": "string", "size": "double"}
-    return schema_drift.consistent_table(_objects(spark, folder), "event_log", "file_save", columns)
+def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent table per column: rows by the field they came under, in how many files, and failed casts."""
+    rows = p3_table(spark, folder).where("field is not null")
+    return rows.groupBy("record_table", "kind", "column", "column_type", "field").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("export_file").alias("n_files"), F.count_if("failed_cast").alias("n_failed_casts")
+    )
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +91,7 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, folder))
 
 
-QUERIES |= {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_field_types, p3_table, p3_file_saves, p5_found, p5_report)}
+QUERIES |= {f.__name__: f for f in (p2_found, p2_sessions, p2_stream, p3_found, p3_field_types, p3_table, p3_columns, p5_found, p5_report)}
 
 _EVENTS = f"""
 ev as (select id, lower(trim(workspace)) as ws, {micros_sql("created_at")} as us, replace(lower(trim(coalesce(event_type, ''))), '-', '_') as kind from event_log),
@@ -86,13 +100,23 @@ flat as (select id, e.a as us, e.b as ws, e.c as kind from once),
 marked as (select *, case when us - lag(us) over w > 1800000000 or lag(us) over w is null then 1 else 0 end as opens from flat window w as (partition by ws order by us, id)),
 numbered as (select *, sum(opens) over (partition by ws order by us, id rows unbounded preceding) as s from marked)"""
 SQL["p2_found"] = f"with {_EVENTS} select ws as workspace, arg_min(id, struct_pack(a := us, b := id)) as first_id, arg_max(id, struct_pack(a := us, b := id)) as last_id from numbered group by ws, s"
+SQL["p2_stream"] = f"with {_EVENTS} select ws as workspace, arg_min(id, struct_pack(a := us, b := id)) as first_id, arg_max(id, struct_pack(a := us, b := id)) as last_id, count(*) as n_events from numbered group by ws, s"
 SQL["p2_sessions"] = f"""with {_EVENTS},
 per as (select ws, s, kind, count(*) as n from numbered group by all),
 types as (select ws, s, string_agg(kind || '=' || n, ';' order by kind) as type_counts from per group by all),
 whole as (select ws, s, arg_min(id, struct_pack(a := us, b := id)) as first_id, arg_max(id, struct_pack(a := us, b := id)) as last_id, min(us) as a, max(us) as b, count(*) as n_events from numbered group by all)
-select ws as workspace, first_id, last_id, strftime(make_timestamp(a), '%Y-%m-%d %H:%M:%S.%f') as started_at, strftime(make_timestamp(b), '%Y-%m-%d %H:%M:%S.%f') as ended_at,
+select ws as workspace, first_id, last_id, strftime(make_timestamp(a), '%Y-%m-%d %H:%M:%S.%f') as started_at, strftime(make_timestamp(b), '%Y-%m-%d %H:%M:%S.%f') as ended_at, strftime(make_timestamp(b + 1800000000), '%Y-%m-%d %H:%M:%S.%f') as expired_at,
 round((b - a) / 1e6, 6) as duration_s, n_events, type_counts from whole join types using (ws, s)"""
 
+_OBJECTS = """
+src as (select 'event_log' as record_table, replace(lower(event_type), '-', '_') as kind, export_file, payload as j from event_log union all select 'entities', type, export_file, properties from entities),
+obj as (select record_table, kind, export_file, j from src where kind is not null and export_file is not null and json_valid(j) and json_type(case when json_valid(j) then j end) = 'OBJECT'),
+pv as (select record_table, kind, export_file, e.key as field, e.value as v, case e.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as t
+  from obj, json_each(obj.j) e),
+ct as (select record_table, kind, field, arg_max(t, struct_pack(n := n, t := t)) as column_type from (select record_table, kind, field, t, count(*) as n from pv where t is not null group by all) group by all)"""
+SQL["p3_field_types"] = f"""with {_OBJECTS} select record_table, kind, export_file, field, column_type, count(*) as n_rows, count(*) filter (case column_type when 'string' then false
+when 'number' then t <> 'number' and try_cast(json_extract_string(v, '$') as double) is null when 'boolean' then t <> 'boolean' and t <> 'number' and try_cast(json_extract_string(v, '$') as boolean) is null
+else t <> column_type end) as n_failed_casts from pv join ct using (record_table, kind, field) where t is not null group by all"""
 _ORPHANS = f"""
 rec as (select lower(trim(id)) as id, arg_max(struct_pack(st := lower(trim(status)), cr := {micros_sql("created_at")}), struct_pack(a := {micros_sql("updated_at")}, s := coalesce(status, ''), c := coalesce(created_at, ''))) as r from entities where lower(trim(id)) <> '' group by 1),
 refs as (

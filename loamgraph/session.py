@@ -26,13 +26,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "loamg
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a private one is set only where none is named (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a private one is set only where none is named and the master is
+    local (tests). Elsewhere a machine's own folder would lose data with the machine, so that is an error."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = tempfile.mkdtemp(prefix="loamgraph-checkpoint-")
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()

@@ -7,6 +7,7 @@ same rule over whole tables and is the one for hot keys, as a stream keeps each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loamgraph.session import shared_folder
+
 OUT = "key string, first_id bigint, last_id bigint, started_at timestamp, ended_at timestamp, n_events bigint"
 STATE = "first_id bigint, last_id bigint, started_us bigint, ended_us bigint, n_events bigint"
 
@@ -60,6 +63,31 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str =
     return rows.groupBy("key").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def drained(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
+    """All sessions of a table (key, at timestamp, id), by running it through the stream until every timer has expired.
+
+    The events are written to the shared folder and read as a stream; one event of a key of its own, far in the future,
+    moves the watermark beyond all timers, so that a last trigger without data closes what is open. A trigger holds a key's
+    events of its slice in one task, as streams do: for hot keys of whole tables there is `operators.sessions`.
+    """
+    spark = events.sparkSession
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    rows = events.select("key", "at", "id").where("key is not null and at is not null and id is not null")
+    first = rows.agg(F.unix_micros(F.min("at"))).first()[0]
+    moved = max(0, 86_400_000_000 - (first or 0))  # a stream's watermark begins in 1970 and drops what is older
+    rows.withColumn("at", F.timestamp_micros(F.unix_micros("at") + moved)).write.parquet(f"{home}/in")
+    last = spark.range(1).select(F.lit("").alias("key"), F.lit("2250-01-01 00:00:00").cast("timestamp").alias("at"), F.lit(-1).cast("bigint").alias("id"))
+    last.write.mode("append").parquet(f"{home}/in")
+    source = spark.readStream.schema(last.schema).parquet(f"{home}/in")
+    job = stream_sessions(source, gap, lateness).writeStream.format("parquet").option("checkpointLocation", f"{home}/state").option("path", f"{home}/out").trigger(availableNow=True).start()
+    try:
+        job.awaitTermination()
+    finally:
+        job.stop()
+    back = lambda c: F.timestamp_micros(F.unix_micros(c) - moved).alias(c)
+    return spark.read.schema(OUT).parquet(f"{home}/out").select("key", "first_id", "last_id", back("started_at"), back("ended_at"), "n_events")
+
+
 def stream_saves(events: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """(path, window, saves) of a stream of saves (path, at): counts per tumbling window, late events up to `lateness`."""
     return events.where("path is not null").withWatermark("at", lateness).groupBy("path", F.window("at", window)).agg(F.count("*").alias("saves"))

@@ -89,11 +89,22 @@ def test_schema_changes_edge_cases(spark):
     assert schema_drift.schema_changes(objects(spark, [])).count() == 0
 
 
-def test_consistent_table_reports_failed_casts(spark):
-    rows = [("t", "k", "f1", '{"n": 1, "s": "a"}'), ("t", "k", "f1", '{"n": "2.5"}'), ("t", "k", "f2", '{"n": "many", "s": null}'), ("t", "k", "f2", "{}")]
-    out = schema_drift.consistent_table(objects(spark, rows), "t", "k", {"n": "double", "s": "string"}).collect()
-    assert sorted((r["export_file"], r["n"], r["s"], r["failed_casts"]) for r in out if r["n"] is not None) == [("f1", 1.0, "a", ""), ("f1", 2.5, None, "")]
-    assert sorted(r["failed_casts"] for r in out) == ["", "", "", "n"]
+def test_renamed_fields_share_their_last_name(spark):
+    rows = [("t", "k", "f1", '{"a": "x", "n": 1}'), ("t", "k", "f2", '{"b": "x", "n": "2"}'), ("t", "k", "f3", '{"c": "x", "a": 5, "n": "many"}'), ("t", "k2", "f1", '{"a": "x"}')]
+    df = objects(spark, rows)
+    stats = schema_drift.path_statistics(schema_drift.path_values(df))
+    names = schema_drift.column_names(stats, schema_drift.schema_changes(df))
+    assert {(r.kind, r.export_file, r.field): r.column for r in names.collect() if r.field != "n"} == {("k", "f1", "a"): "c", ("k", "f2", "b"): "c", ("k", "f3", "c"): "c", ("k", "f3", "a"): "a", ("k2", "f1", "a"): "a"}
+    out = schema_drift.typed_table(df, stats, names).where("kind = 'k'").collect()
+    assert sorted((r.column, r.field, r.string_value, r.number_value, r.failed_cast) for r in out if r.column in "ac") == [("a", "a", None, 5.0, False), ("c", "a", "x", None, False), ("c", "b", "x", None, False), ("c", "c", "x", None, False)]
+
+
+def test_renamings_of_fields_named_by_data(spark):
+    """Thousands of fields come and go in one step; only those that share values meet."""
+    n = 1500
+    rows = [("t", "k", "f1", json.dumps({f"u{i}": f"value {i}" for i in range(n)})), ("t", "k", "f2", json.dumps({f"v{i}": f"value {i}" if i % 2 else "else" for i in range(n)}))]
+    out = schema_drift.schema_changes(objects(spark, rows)).collect()
+    assert {(r.old_field, r.field) for r in out if r.change == "renamed"} == {(f"u{i}", f"v{i}") for i in range(1, n, 2)} and len(out) == n // 2 + n
 
 
 def test_typed_table_holds_every_object_of_every_kind(spark):
@@ -115,9 +126,13 @@ def test_typed_table_holds_every_object_of_every_kind(spark):
     key = lambda t: tuple(map(str, t))
     assert sorted(((r.record_table, r.kind, r.export_file, r.id, r.field) for r in out), key=key) == sorted(want, key=key)
     assert len({(r.record_table, r.row_number, r.field) for r in out}) == len(out)
+    columns = defaultdict(set)
+    for r in out:
+        columns[r.record_table, r.kind, r.column].add(r.field)
     for r in out:
         held = types.get((r.record_table, r.kind, r.field))
-        assert r.column_type == (max(held, key=lambda t: (held[t], t)) if held else None)
+        if columns[r.record_table, r.kind, r.column] == {r.field} and r.field not in {f for k, fs in columns.items() for f in fs if k[:2] == (r.record_table, r.kind) and k[2] != r.field}:
+            assert r.column_type == (max(held, key=lambda t: (held[t], t)) if held else None)
         filled = [c for c in ("string", "number", "boolean", "json") if r[f"{c}_value"] is not None]
         assert filled in ([], ["json" if r.column_type in ("array", "object") else r.column_type]) and r.failed_cast == (r.raw_value is not None) and not (filled and r.failed_cast)
 
@@ -125,7 +140,8 @@ def test_typed_table_holds_every_object_of_every_kind(spark):
 def test_typed_table_values_and_failed_casts(spark):
     rows = [("t", "k", "f1", '{"n": 1, "s": "a", "o": {"x": [1]}}'), ("t", "k", "f1", '{"n": "2.5", "s": {"y": 1}}'), ("t", "k", "f2", '{"n": 3, "s": "b", "o": 7}'), ("t", "k", "f2", '{"n": "many", "s": null, "o": {}}'), ("t", "k", "f2", '{"n": 4}'), ("t", "k2", "f2", "{}")]
     df = objects(spark, rows)
-    out = schema_drift.typed_table(df, schema_drift.path_statistics(schema_drift.path_values(df))).collect()
+    stats = schema_drift.path_statistics(schema_drift.path_values(df))
+    out = schema_drift.typed_table(df, stats, schema_drift.column_names(stats, schema_drift.schema_changes(df))).collect()
     got = sorted((r.kind, str(r.field), r.export_file, str(next((v for v in (r.string_value, r.number_value, r.json_value) if v is not None), None)), str(r.raw_value)) for r in out)
     assert got == sorted([
         ("k", "n", "f1", "1.0", "None"), ("k", "n", "f1", "2.5", "None"), ("k", "n", "f2", "3.0", "None"), ("k", "n", "f2", "4.0", "None"), ("k", "n", "f2", "None", '"many"'), ("k", "s", "f1", "a", "None"),
@@ -180,6 +196,29 @@ def test_timers_do_not_depend_on_batches():
         assert [sorted(r[6]) for r in rows] == [[("x", 1), ("y", 1)], [("x", 2)], [("", 1)], [("x", 1)], [("y", 2)]]
 
 
+def test_stream_drains_to_the_batch_operators_sessions(spark):
+    from loamgraph.streaming.sessions import drained
+
+    events = [(k, a, i) for i, (k, a) in enumerate([("a", 0), ("a", 1800), ("a", 3601), ("b", 50), ("b", 50), ("a", 9000), ("c", 0)])]
+    df = spark.createDataFrame(events, "key string, s bigint, id bigint")
+    got = {(r.key, r.first_id, r.last_id, r.n_events) for r in drained(df.select("key", F.timestamp_seconds("s").alias("at"), "id")).collect()}
+    batch = timers.sessions(df.select("key", (F.col("s") * 1_000_000).alias("at"), "id", F.lit("x").alias("kind"))).collect()
+    assert got == {(r.key, r.first_id, r.last_id, r.n_events) for r in batch} == {("a", 0, 1, 2), ("a", 2, 2, 1), ("a", 5, 5, 1), ("b", 3, 4, 2), ("c", 6, 6, 1)}
+
+
+def test_no_private_folder_off_local_masters(spark):
+    from loamgraph.session import shared_folder
+
+    class Named:
+        def __init__(self, **k):
+            self.__dict__ |= k
+
+    none = Named(isDefined=lambda: False)
+    context = Named(master="spark://host:7077", _jsc=Named(sc=lambda: Named(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        shared_folder(Named(sparkContext=context, conf=Named(get=lambda *_: None)))
+
+
 LOG = "id bigint, event_type string, created_at string, workspace string, workspaceX string"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from loamgraph.operators import vectors
 from loamgraph.operators.filters import RECORD_CATEGORIES
 
 EXACT, FUZZY, DUPLICATE, CONTRADICTION, LENGTH_RATIO, PROMOTION = 1.0, 0.95, 0.85, 0.70, 5.0, 3
-# Units of time in seconds and of size in bytes; words that do not tell a slot; marks of a negation; legal
+# Units with their kind and factor (seconds, bytes); words that do not tell a slot; marks of a negation; legal
 # changes of status.
-TIME_UNITS = {"second": 1.0, "sec": 1.0, "m": 0.001, "millisecond": 0.001, "minute": 60.0, "min": 60.0, "hour": 3600.0, "day": 86400.0, "month": 2_592_000.0, "year": 31_536_000.0}
-SIZE_UNITS = {"byte": 1.0, "kb": 1024.0, "mb": 1_048_576.0, "gb": 1_073_741_824.0}
+UNITS = {
+    "second": ("time", 1.0), "sec": ("time", 1.0), "m": ("time", 0.001), "millisecond": ("time", 0.001), "minute": ("time", 60.0), "min": ("time", 60.0), "hour": ("time", 3600.0), "day": ("time", 86400.0),
+    "month": ("time", 2_592_000.0), "year": ("time", 31_536_000.0), "byte": ("size", 1.0), "kb": ("size", 1024.0), "mb": ("size", 1_048_576.0), "gb": ("size", 1_073_741_824.0), "%": ("%", 1.0), "percent": ("%", 1.0),
+}
+WORDS, EPSILON = re.compile("[a-z]+"), 2.0**-52
 QUANTITY = re.compile(
     r"(?:^|[^A-Za-z0-9.])(\d+(?:\.\d+)?)\s*(seconds?|secs?|minutes?|mins?|hours?|days?|months?|years?|ms|milliseconds?|kb|mb|gb|bytes?|%|percent|hops?|tokens?|chars?|queries|files?|tasks?|terms?|docs?|seeds?)?",
     re.ASCII,
@@ -145,55 +149,57 @@ def mock_nli(premise: Column, hypothesis: Column) -> Column:
     return F.when(F.lower(premise) == F.lower(hypothesis), probabilities(0.01, 0.98, 0.01)).when(has_negation(premise) != has_negation(hypothesis), probabilities(0.95, 0.02, 0.03)).otherwise(probabilities(0.05, 0.10, 0.85))
 
 
-def _quantity(value: float, unit_name: str | None) -> tuple[float, str | None]:
-    """Value in base units and its class: %, time, size, the unit's own name, or None."""
-    name = (unit_name or "").lower()
-    name = name[:-1] if name.endswith("s") else name
-    if name in ("%", "percent"):
-        return value, "%"
-    for kind, units in (("time", TIME_UNITS), ("size", SIZE_UNITS)):
-        if name in units:
-            return value * units[name], kind
-    return value, name or None
+QUANTITIES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("near", T.ArrayType(T.StringType()))]))
 
 
-def _slots(text: str) -> list[tuple[float, str | None, frozenset]]:
-    words = [(w.start(), w.end(), w.group()) for w in re.finditer(r"[a-z]+", text.lower())]
+@F.pandas_udf(QUANTITIES)
+def quantities(texts: pd.Series) -> pd.Series:
+    """The numbers of a text, each as (kind, value, near): kind and value by the table of units, `near` the words that end or
+    begin less than SLOT_CHARS characters away. Null gives an empty list."""
     out = []
-    for q in QUANTITY.finditer(text):
-        near = frozenset(w for a, b, w in words if (b <= q.start(1) and q.start(1) - b < SLOT_CHARS or a >= q.end() and a - q.end() < SLOT_CHARS) and w not in SLOT_STOP and len(w) > 2)
-        out.append((*_quantity(float(q.group(1)), q.group(2)), near))
-    return out
-
-
-def numeric_decision(a: str, b: str) -> str | None:
-    """`contradiction` if two texts put different quantities into the same slot, `equivalent` if they put the same ones, None
-    if their numbers cannot be compared. A slot is the words around a number; quantities of one unit class are compared in
-    base units. Contradiction wins; texts that overlap enough are compared by their typed quantities alone."""
-    x, y = _slots(a), _slots(b)
-    same = differ = False
-    typed = []
-    for v, c, near in x:
-        for w, d, other in y:
-            if c != d:
-                continue
-            if c in ("time", "size", "%"):
-                typed.append(abs(v - w) > 2.0**-52)
-            if near and other and len(near & other) / len(near | other) >= SLOT_SIMILARITY:
-                differ |= abs(v - w) > 2.0**-52
-                same |= abs(v - w) <= 2.0**-52
-    if differ or same:
-        return "contradiction" if differ else "equivalent"
-    tokens = lambda t: {w for w in re.findall(r"[a-z]+", t.lower()) if w not in SLOT_STOP and len(w) > 2}
-    p, q = tokens(a), tokens(b)
-    if typed and len(p & q) / max(len(p | q), 1) >= TEXT_SIMILARITY:
-        return "contradiction" if any(typed) else "equivalent"
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def numeric_gate(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else numeric_decision(x, y) for x, y in zip(a, b)], dtype=object)
+    for text in texts.fillna(""):
+        spans = [(m.group(), *m.span()) for m in WORDS.finditer(text.lower())]
+        ends, starts = np.array([e for _, _, e in spans], np.int64), np.array([b for _, b, _ in spans], np.int64)
+        telling = np.array([len(w) > 2 and w not in SLOT_STOP for w, *_ in spans], bool)
+        row = []
+        for q in QUANTITY.finditer(text):
+            kind, factor = UNITS.get((q[2] or "").lower().removesuffix("s"), ((q[2] or "").lower().removesuffix("s"), 1.0))
+            left = (ends <= q.start(1)) & (ends > q.start(1) - SLOT_CHARS)
+            right = (starts >= q.end()) & (starts < q.end() + SLOT_CHARS)
+            row.append({"kind": kind, "value": float(q[1]) * factor, "near": sorted({spans[i][0] for i in np.flatnonzero((left | right) & telling)})})
+        out.append(row)
+    return pd.Series(out, dtype=object)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct values; 0 where either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+
+
+def telling_words(text: Column) -> Column:
+    every = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1)))
+    return F.filter(every, lambda w: (F.length(w) > 2) & ~w.isin(sorted(SLOT_STOP)))
+
+
+def with_numeric_gate(pairs: DataFrame) -> DataFrame:
+    """pairs (…, a_text, b_text) with `gate`: `contradiction` if the texts put different quantities into one slot, `equivalent`
+    if they put equal ones, null if their numbers cannot be compared.
+
+    Quantities of one kind are joined; two of them share a slot if the words near them are similar. A differing slot wins over
+    an equal one. Without a common slot, texts of similar words are compared by their quantities of time, size and percent.
+    """
+    rows = pairs.withColumn("_a", quantities("a_text")).withColumn("_b", quantities("b_text"))
+    met = lambda x, y: F.struct((F.abs(x["value"] - y["value"]) > EPSILON).alias("differs"), x["kind"].isin("time", "size", "%").alias("typed"), (_alike(x["near"], y["near"]) >= SLOT_SIMILARITY).alias("slot"))
+    joined = F.flatten(F.transform("_a", lambda x: F.transform(F.filter("_b", lambda y: x["kind"] == y["kind"]), lambda y: met(x, y))))
+    rows = rows.withColumn("_met", joined)
+    some = lambda test: F.exists("_met", test)
+    close = _alike(telling_words(F.col("a_text")), telling_words(F.col("b_text"))) >= TEXT_SIMILARITY
+    gate = (
+        F.when(some(lambda p: p["slot"] & p["differs"]), "contradiction")
+        .when(some(lambda p: p["slot"]), "equivalent")
+        .when(some(lambda p: p["typed"]) & close, F.when(some(lambda p: p["typed"] & p["differs"]), "contradiction").otherwise("equivalent"))
+    )
+    return rows.withColumn("gate", gate).drop("_a", "_b", "_met")
 
 
 def contradictions(pairs: DataFrame) -> DataFrame:
@@ -205,6 +211,6 @@ def contradictions(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("verdict", cheap)
     decided = rows.where("verdict is not null")
     model = F.greatest(mock_nli(F.col("a_text"), F.col("b_text"))["contradiction"], mock_nli(F.col("b_text"), F.col("a_text"))["contradiction"])
-    left = rows.where("verdict is null").withColumn("gate", numeric_gate("a_text", "b_text"))
+    left = with_numeric_gate(rows.where("verdict is null"))
     left = left.withColumn("verdict", F.coalesce("gate", F.when(model >= CONTRADICTION, "contradiction").otherwise("none"))).drop("gate")
     return decided.unionByName(left)

@@ -46,9 +46,8 @@ def ranked(s, d, made) -> DataFrame:
     rows = fusion.drift_demotion(rows, r.drifted(s, d))
     rows = fusion.provenance_prior(rows, copy_degree(s, d))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    rows = fusion.reordered(rows.join(weights, "query_id").join(r.space(s, d).select("id", "embedding"), "id", "left"), "mmr")
-    for step in ("slots", "quota"):
-        rows = fusion.reordered(rows.join(weights, "query_id"), step, LIMIT)
+    rows = fusion.diversified(rows.join(weights, "query_id").join(r.space(s, d).select("id", "embedding"), "id", "left"))
+    rows = fusion.with_quotas(fusion.with_slots(rows, LIMIT), LIMIT)
     return fusion.silence_gate(rows.where(F.col("rank") <= LIMIT), r.coverage(s, d, made))
 
 

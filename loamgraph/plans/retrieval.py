@@ -242,9 +242,25 @@ def weighted(s, d):
     return merged(s, d, made).join(fusion.detect_shares(signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"), "query_id")
 
 
-query("rnk9_mmr", None)(lambda s, d: fusion.reordered(weighted(s, d).join(space(s, d).select("id", "embedding"), "id", "left"), "mmr"))
-query("rnk10_diversity_slots", None)(lambda s, d: fusion.reordered(weighted(s, d), "slots", LIMIT))
-query("rnk11_window_quota", None)(lambda s, d: fusion.reordered(weighted(s, d), "quota", LIMIT))
+_SHARED = f"""{_MERGE}, sh as (select merged.*, cw, 1 - cw as kw, case when channel = 'code' then cw else 1 - cw end as share, count(*) over (partition by query_id) as n,
+  min(rank) over (partition by query_id, channel) as first from merged join det using (query_id))"""
+_SLOTS = f"""{_SHARED}, sl as (select *, max(case when share >= 0.2 and first > least(5, n) and (n > 1 or share > 0.5) then first end) over (partition by query_id) as came, least(5, n) as w from sh)
+select query_id, id, channel, case when rank = came then w when rank between w and came - 1 then rank + 1 else rank end as rank from sl"""
+
+
+def _quota(source: str, channel: str, weight: str) -> str:
+    lack = f"case when {weight} >= 0.2 and n > {LIMIT} then greatest(floor({weight} * {LIMIT}) - count(*) filter (channel = '{channel}' and rank <= {LIMIT}) over (partition by query_id), 0) else 0 end"
+    behind = f"channel = '{channel}' and rank > {LIMIT}"
+    return f"""{channel}0 as (select *, {lack} as lack, case when {behind} then row_number() over (partition by query_id, {behind} order by rank) end as b from {source}),
+{channel}1 as (select *, coalesce(b <= lack, false) as up from {channel}0), {channel}2 as (select *, case when up then 1 when rank <= {LIMIT} - count(*) filter (up) over (partition by query_id) then 0 else 2 end as grp from {channel}1),
+{channel}3 as (select query_id, channel, id, cw, kw, n, row_number() over (partition by query_id order by grp, rank) as rank from {channel}2)"""
+
+
+query("rnk9_mmr", None)(lambda s, d: fusion.diversified(weighted(s, d).join(space(s, d).select("id", "embedding"), "id", "left")))
+query("rnk10_diversity_slots", f"with {_SLOTS}")(lambda s, d: fusion.with_slots(weighted(s, d), LIMIT).select("query_id", "id", "channel", "rank"))
+query("rnk11_window_quota", f"with {_SHARED}, {_quota('sh', 'code', 'cw')}, {_quota('code3', 'knowledge', 'kw')} select query_id, id, channel, rank from knowledge3")(
+    lambda s, d: fusion.with_quotas(weighted(s, d), LIMIT).select("query_id", "id", "channel", "rank")
+)
 query("rnk12_silence_gate", f"with {_MERGE}, {_COV.split(_FTS + ', ')[1]} select query_id, id, rank from merged where query_id in (select query_id from cov where coverage >= 0.45)")(
     lambda s, d: fusion.silence_gate(merged(s, d), coverage(s, d)).select("query_id", "id", "rank")
 )

@@ -118,7 +118,7 @@ def candidate_pairs(s, d):
 
 query("con6_candidates")(type_candidates)
 query("con7_contradictions", None)(lambda s, d: consolidate.contradictions(candidate_pairs(s, d)).select("a_id", "b_id", "verdict"))
-query("con8_numeric_gate", None)(lambda s, d: candidate_pairs(s, d).select("a_id", "b_id", consolidate.numeric_gate("a_text", "b_text").alias("decision")))
+query("con8_numeric_gate", None)(lambda s, d: consolidate.with_numeric_gate(candidate_pairs(s, d)).select("a_id", "b_id", F.col("gate").alias("decision")))
 query("con5_found_duplicates")(
     lambda s, d: candidate_pairs(s, d).where(F.greatest(*[consolidate.mock_nli(F.col(a), F.col(b))["entailment"] for a, b in (("a_text", "b_text"), ("b_text", "a_text"))]) >= 0.55).select("a_id", "b_id")
 )

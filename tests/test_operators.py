@@ -184,14 +184,24 @@ def test_rrf_ties_by_id_and_zero_lists(spark):
     assert values(fusion.normalised(zero, ["query_id"]), "id", "score") == [("a", 0.0), ("b", 0.0)]
 
 
-def test_reorderings_keep_all_items():
+def ranked(spark, channels, code, knowledge):
+    rows = [("q", c, i, 1.0 - i / 100, i + 1, code, knowledge) for i, c in enumerate(channels)]
+    return spark.createDataFrame(rows, "query_id string, channel string, id int, score double, rank int, code_weight double, knowledge_weight double")
+
+
+def order(df):
+    return [r.id for r in sorted(df.collect(), key=lambda r: r.rank)]
+
+
+def test_reorderings_keep_all_items(spark):
     code_first = ["code"] * 25 + ["knowledge"] * 6
-    quota = fusion.quota_order(code_first, 0.5, 0.5, 0.2, 10)
-    assert sorted(quota) == list(range(31)) and [code_first[i] for i in quota[:10]].count("knowledge") == 5
-    assert quota[:5] == [0, 1, 2, 3, 4] and quota[5:10] == [25, 26, 27, 28, 29]
-    slots = fusion.slot_order(code_first, 0.7, 0.3, 0.2, 20)
-    assert slots[4] == 25 and sorted(slots) == list(range(31))
-    assert fusion.slot_order(code_first, 0.9, 0.1, 0.2, 20) == list(range(31)) == fusion.quota_order(code_first, 0, 0, 0.2, 10)
+    quota = order(fusion.with_quotas(ranked(spark, code_first, 0.5, 0.5), 10))
+    assert sorted(quota) == list(range(31)) and quota[:10] == [0, 1, 2, 3, 4, 25, 26, 27, 28, 29]
+    slots = order(fusion.with_slots(ranked(spark, code_first, 0.7, 0.3), 20))
+    assert slots == [0, 1, 2, 3, 25, *range(4, 25), *range(26, 31)]
+    assert order(fusion.with_slots(ranked(spark, code_first, 0.9, 0.1), 20)) == list(range(31)) == order(fusion.with_quotas(ranked(spark, code_first, 0.0, 0.0), 10))
+    assert order(fusion.with_slots(ranked(spark, ["code", "knowledge"], 0.4, 0.6), 1)) == [1, 0] and order(fusion.with_slots(ranked(spark, ["code", "knowledge"], 0.6, 0.4), 1)) == [0, 1]
+    assert fusion.with_slots(ranked(spark, code_first, 0.7, 0.3).limit(0)).count() == 0 == fusion.with_quotas(ranked(spark, code_first, 0.7, 0.3).limit(0)).count()
 
 
 def test_mmr_prefers_the_different_one():
@@ -248,8 +258,9 @@ def test_title_matches(spark):
         ("The retry limit is 5 percent.", "The weather took 9 days.", None),
     ],
 )
-def test_numeric_gate(a, b, want):
-    assert consolidate.numeric_decision(a, b) == want == consolidate.numeric_decision(b, a)
+def test_numeric_gate(spark, a, b, want):
+    pairs = spark.createDataFrame([(a, b), (b, a), (a, None), ("", b)], "a_text string, b_text string")
+    assert [r.gate for r in consolidate.with_numeric_gate(pairs).collect()] == [want, want, None, None]
 
 
 def test_contradictions(spark):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,11 +70,21 @@ def near_pairs(vecs: DataFrame, queries: DataFrame, threshold: float, k: int | N
 
 
 def with_unit(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows whose vector has a finite length above 0, scaled to length 1. The length goes in as an array beside the vector:
-    inside the transformation it would be computed for every element."""
-    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    scaled = F.zip_with(column, F.array_repeat(norm, F.size(column)), lambda x, n: F.when((n > 0) & (n < float("inf")), (x.cast("double") / n).cast("float")))
-    return rows.withColumn(column, scaled).where(F.try_element_at(column, F.lit(1)).isNotNull())
+    """Rows whose vector has a finite length above 0, scaled to length 1; rows with nulls inside are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b[column]
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(n)), n)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            norm = np.sqrt(np.bincount(owner, x * x, len(n)))
+            row = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+            kept = pa.array((x / norm[owner]).astype(np.float32)[np.isin(owner, row)])
+            scaled = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[row])), pa.int32()), kept)
+            yield pa.RecordBatch.from_arrays([scaled if c == column else b[c].take(pa.array(row)) for c in b.schema.names], b.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {'array<float>' if c == column else k}" for c, k in rows.dtypes))
 
 
 def duplicates(records: DataFrame, near: DataFrame, threshold: float = DUPLICATE) -> DataFrame:

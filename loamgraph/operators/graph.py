@@ -101,24 +101,25 @@ def orphans(edges: DataFrame, records: DataFrame, kinds: list[str], is_test: Col
     return records.where(F.col("type").isin(kinds) & (F.col("status") == "active")).where(~is_test).join(used, "id", "left_anti")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | None = None, per_seed: bool = False) -> DataFrame:
-    """(seed, node, depth, path, types): traversal from all seeds (seed) at once, each node claimed once, or, `per_seed`,
-    once for every seed. path: ids from the seed on, types: the edge types between them.
+def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | None = None, per_seed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, seed, node, depth, path, types): traversal from all seeds (by…, seed) of a group at once, each node claimed once
+    per group, or, `per_seed`, once for every seed. path: ids from the seed on, types: the edge types between them.
 
     Where several edges lead from the frontier to a node, the heaviest type claims it, then the smallest source, target and
     type. Both directions are followed.
     """
     used = edges if kinds is None else edges.where(F.col("edge_type").isin(kinds))
     links = both_ways(used).withColumn("w", edge_weight(F.col("edge_type")))
-    scope = ["seed", "node"] if per_seed else ["node"]
-    found = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("types")).distinct()
+    scope = [*by, "seed", "node"] if per_seed else [*by, "node"]
+    found = seeds.select(*by, "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("types")).distinct()
     frontier = found
     for depth in range(1, hops + 1):
         step = frontier.drop("depth").join(links, F.col("node") == F.col("here")).drop("node").withColumnRenamed("there", "node")
         new = step.join(found.select(*scope), scope, "left_anti")
         claim = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("w"), "source_id", "target_id", "edge_type", "seed"))
         taken = new.withColumn("claim", claim).where("claim = 1")
-        frontier = durable(taken.select("seed", "node", F.lit(depth).alias("depth"), F.array_append("path", F.col("node")).alias("path"), F.array_append("types", F.col("edge_type")).alias("types")))
+        frontier = taken.select(*by, "seed", "node", F.lit(depth).alias("depth"), F.array_append("path", F.col("node")).alias("path"), F.array_append("types", F.col("edge_type")).alias("types"))
+        frontier = durable(frontier) if depth < hops else frontier
         found = found.unionByName(frontier)
     return found.where("depth > 0")
 
@@ -127,14 +128,14 @@ def path_weight(types: Column) -> Column:
     return F.aggregate(F.transform(types, edge_weight), F.lit(1.0), lambda a, w: a * w)
 
 
-def graph_first(seeds: DataFrame, edges: DataFrame, exclude: DataFrame | None = None, hops: int = 2, decay: float = HOP_DECAY) -> DataFrame:
-    """(node, score, direct): nodes reached from weighted seeds (seed, weight, direct) over curated edges, scored by the sum of
-    weight * decay ** hops * edge weights over the seeds that reach them; scores below SCORE_FLOOR and excluded ids (id) are
-    left out."""
-    paths = expand(seeds.select("seed"), edges, hops, CURATED, per_seed=True).join(seeds, "seed")
+def graph_first(seeds: DataFrame, edges: DataFrame, exclude: DataFrame | None = None, hops: int = 2, decay: float = HOP_DECAY, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, node, score, direct): nodes reached from weighted seeds (by…, seed, weight, direct) over curated edges, scored by
+    the sum of weight * decay ** hops * edge weights over the seeds that reach them; scores below SCORE_FLOOR and excluded ids
+    (by…, id) are left out. A seed's paths do not depend on its group and are made once."""
+    paths = expand(seeds.select("seed").distinct(), edges, hops, CURATED, per_seed=True).join(seeds, "seed")
     part = F.col("weight") * F.pow(F.lit(decay), F.col("depth")) * path_weight(F.col("types"))
-    rows = paths.groupBy("node").agg(F.round(F.sum(part), 9).alias("score"), F.max("direct").alias("direct")).where(F.col("score") >= SCORE_FLOOR)
-    return rows if exclude is None else rows.join(exclude.select(F.col("id").alias("node")).distinct(), "node", "left_anti")
+    rows = paths.groupBy(*by, "node").agg(F.round(F.sum(part), 9).alias("score"), F.max("direct").alias("direct")).where(F.col("score") >= SCORE_FLOOR)
+    return rows if exclude is None else rows.join(exclude.select(*by, F.col("id").alias("node")).distinct(), [*by, "node"], "left_anti")
 
 
 def seed_weights(lists: list[DataFrame], most: int = 20, keep: int = 60) -> DataFrame:

@@ -6,93 +6,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.operators import fusion, joining, lexical, metrics
+from loamgraph.operators import joining, metrics
 from loamgraph.plans import model as m
-from loamgraph.plans import retrieval as r
+from loamgraph.plans import search
 from loamgraph.session import durable
 from loamgraph.sources import markdown, sinks
-from loamgraph.sources.tables import table
 
 query = m.Catalog()
-LIMIT = r.LIMIT
-
-
-def texts(s, d) -> DataFrame:
-    """(id, h) of documents with a text, h naming the text."""
-    return table(s, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
-
-
-def copy_degree(s, d) -> DataFrame:
-    """(id, in_degree): of how many other documents a document with copies bears the text."""
-    rows = texts(s, d)
-    n = rows.groupBy("h").agg((F.count("*") - 1).alias("in_degree")).where("in_degree > 0")
-    return rows.join(n, "h").select("id", "in_degree")
-
-
-def copies(s, d, of: DataFrame) -> DataFrame:
-    """(id, other_id) of the documents `of` (id) and others with the same text, of a text its 2 LIMIT + 1 smallest ids: LIMIT
-    of them may be direct results, one is the document itself, and LIMIT more fill an answer."""
-    rows = texts(s, d)
-    asked = rows.join(of.select("id").distinct(), "id", "left_semi")
-    first = rows.join(asked.select("h").distinct(), "h", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id")))
-    few = first.where(F.col("n") <= 2 * LIMIT + 1).select(F.col("id").alias("other_id"), "h")
-    return asked.join(few, "h").where("id <> other_id").select("id", "other_id")
-
-
-def ranked(s, d, made) -> DataFrame:
-    """Direct results: merged channels, demoted by drift, lifted by provenance, diversified, with slots and quotas."""
-    weights = durable(fusion.detect_shares(r.signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"))
-    rows = fusion.merge_channels(r.fused(s, d, made), weights)
-    rows = fusion.drift_demotion(rows, r.drifted(s, d))
-    rows = fusion.provenance_prior(rows, copy_degree(s, d))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    rows = fusion.diversified(rows.join(weights, "query_id").join(r.space(s, d).select("id", "embedding"), "id", "left"))
-    rows = fusion.with_quotas(fusion.with_slots(rows, LIMIT), LIMIT)
-    return fusion.silence_gate(rows.where(F.col("rank") <= LIMIT), r.coverage(s, d, made))
-
-
-def search(s, d) -> DataFrame:
-    """(query_id, id, channel, rank, relevance): direct results, then expansions by copies, feedback terms and deep ranks."""
-    made = r.ready(s, d)
-    direct = durable(ranked(s, d, made))
-    top = direct.where("rank = 1").select("query_id", F.col("score").alias("top"))
-    parts = direct.join(copies(s, d, direct), "id").select("query_id", F.col("other_id").alias("id"), (F.col("score") * 0.3).alias("score"), F.lit(1).alias("order"), F.lit("graph").alias("channel"))
-    asked = r.questions(s, d)
-    new = lexical.expansion_terms(r.feedback(s, d, made=made), asked).groupBy("query_id").agg(F.collect_list("term").alias("more"))
-    wider = asked.join(new, "query_id").select("query_id", F.concat("terms", "more").alias("terms"))
-    first = made[0]
-    novel = lexical.bm25(r.docs(s, d), wider, r.WEIGHTS, LIMIT).join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    prf = novel.join(top, "query_id").select("query_id", F.col("doc_id").alias("id"), (F.col("top") * 0.3).alias("score"), F.lit(2).alias("order"), F.lit("feedback").alias("channel"))
-    deep = first.select("query_id", F.col("doc_id").alias("id"), "rank").unionByName(made[1].select("query_id", "id", "rank")).where(F.col("rank") > LIMIT)
-    deep = fusion.corroborated(deep).join(top, "query_id").select("query_id", "id", (F.col("top") * 0.25).alias("score"), F.lit(3).alias("order"), F.lit("deep").alias("channel"))
-    rows = parts.unionByName(prf).unionByName(deep).join(direct.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    claimed = rows.groupBy("query_id", "id").agg(F.min(F.struct("order", (-F.col("score")).alias("less"), "channel")).alias("c")).select("query_id", "id", (-F.col("c.less")).alias("score"), "c.channel")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    more = claimed.where(F.col("score") >= fusion.MIN_RELEVANCE).withColumn("rank", rank).where(F.col("rank") <= LIMIT)
-    out = direct.select("query_id", "id", F.lit("direct").alias("channel"), "rank", F.round("score", 6).alias("relevance"))
-    return out.unionByName(more.select("query_id", "id", "channel", (F.col("rank") + LIMIT).alias("rank"), F.round("score", 6).alias("relevance")))
-
-
-query("rnk14_search")(search)
-query("snk4_json_answers")(lambda s, d: sinks.as_json(search(s, d).join(r.docs(s, d).select(F.col("doc_id").alias("id"), "title"), "id"), "query_id", "results", ["rank"]))
-
-
-def expected_answers(s, d) -> DataFrame:
-    """(query_id, id) of the documents that bear a question's whole title in their text or as their title; id is null for a
+PACK_TOKENS = 8192
+
+
+query("rnk14_search")(search.search)
+
+
+def answers(s, d) -> DataFrame:
+    """(query_id, results): each question's results as JSON, with titles."""
+    titles = m.records(s, d).select("id", "title")
+    return sinks.as_json(search.search(s, d).join(titles, "id"), "query_id", "results", ["rank"])
+
+
+query("snk4_json_answers")(answers)
+
+
+def expected_answers(c: search.Corpus) -> DataFrame:
+    """(query_id, id) of the records that bear a question's whole title in their content or as their title; id is null for a
     question without any."""
-    asked = r.questions(s, d).select("query_id", F.col("text").alias("pattern")).where("trim(pattern) <> ''")
-    docs = r.docs(s, d).select(F.col("doc_id").alias("id"), "title", "text")
+    asked = c.questions.select("query_id", F.col("text").alias("pattern")).where("trim(pattern) <> ''")
     patterns = asked.select("pattern").distinct()
-    bearing = docs.select("id", F.col("title").alias("pattern")).join(patterns, "pattern", "left_semi").select("id", "pattern").unionByName(joining.containing(docs, patterns))
+    same = c.records.select("id", F.col("title").alias("pattern")).join(patterns, "pattern", "left_semi").select("id", "pattern")
+    bearing = same.unionByName(joining.containing(c.records.select("id", F.col("content").alias("text")), patterns))
     expected = asked.join(bearing, "pattern").where("query_id <> id").select("query_id", "id").distinct()
-    return r.questions(s, d).select("query_id").join(expected, "query_id", "left")
+    return c.questions.select("query_id").join(expected, "query_id", "left")
+
+
+def packed(c: search.Corpus, results: DataFrame, budget: int = PACK_TOKENS) -> DataFrame:
+    """(query_id, id) of the results that fit, best first, into a pack of `budget` tokens (four characters each)."""
+    sized = results.join(c.records.select("id", F.floor((F.length("title") + F.length("content")) / 4).alias("tokens")), "id")
+    upto = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return sized.withColumn("upto", upto).where(F.col("upto") <= budget).select("query_id", "id")
 
 
 def evaluated(s, d) -> DataFrame:
-    """Search held against the documents that bear a question's whole title in their text or as their title."""
-    expected = expected_answers(s, d)
-    results = search(s, d).withColumn("direct", F.col("channel") == "direct")
-    return metrics.summary(metrics.scores(results, expected))
+    """Search held against expected_answers(): means over the questions, recall of a pack, and the bounds of the mean reciprocal
+    rank."""
+    c = search.corpus(s, d)
+    expected, results = durable(expected_answers(c)), durable(search.search(s, d, c).withColumn("direct", F.col("channel") == "direct"))
+    return metrics.summary(durable(metrics.scores(results, expected, packed=packed(c, results))))
 
 
 query("agg15_retrieval_metrics")(evaluated)

@@ -1,54 +1,80 @@
-"""Search over documents with many copies."""
+"""The whole search over records, and its evaluation."""
 
-import os
+from collections import Counter, defaultdict
 
 import pytest
 from edge_tables import SMALL
-from pyspark.sql import functions as F
 
-from loamgraph.operators import fusion, joining
-from loamgraph.plans import pipeline
-
-COPIES = 40
+from loamgraph.operators import graph, joining, metrics
+from loamgraph.plans import pipeline, search
 
 
 @pytest.fixture(scope="module")
-def copied(spark, tmp_path_factory):
-    """The small tables with COPIES more documents of the text and title of a question; their ids come last."""
-    folder = str(tmp_path_factory.mktemp("copied"))
-    for f in os.listdir(SMALL):
-        if f != "documents.parquet":
-            os.symlink(f"{SMALL}/{f}", f"{folder}/{f}")
-    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
-    alone = documents.groupBy("text").count().where("count = 1").select("text")
-    one = documents.where("doc_id % 20 = 0 and title is not null and text <> ''").join(alone, "text", "left_semi").orderBy("doc_id").limit(1)
-    first = one.first().doc_id
-    more = one.withColumn("doc_id", F.explode(F.sequence(F.lit(10_001).cast("bigint"), F.lit(10_000 + COPIES).cast("bigint")))).select(documents.columns)
-    documents.unionByName(more).coalesce(1).write.parquet(f"{folder}/documents.parquet")
-    return folder, first
-
-
-def test_copies_fill_the_expansions_and_count_in_full(spark, copied, monkeypatch):
-    folder, first = copied
-    degrees = []
-    prior = fusion.provenance_prior
-    monkeypatch.setattr(fusion, "provenance_prior", lambda rows, degree: degrees.append(degree) or prior(rows, degree))
-    found = [r for r in pipeline.search(spark, folder).collect() if r.query_id == first]
-    bearing = {first, *range(10_001, 10_001 + COPIES)}
-    assert {r.id: r.in_degree for r in degrees[0].collect() if r.id in bearing} == dict.fromkeys(bearing, COPIES)
-    direct = {r.id for r in found if r.channel == "direct"}
-    graph = sorted(r.id for r in found if r.channel == "graph")
-    assert len(direct & bearing) > 1 and graph == sorted(bearing - direct)[: pipeline.LIMIT]
-
-
-def test_expected_answers_bear_the_title_in_their_text_too(spark):
-    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    want = {
-        (q.doc_id, x.doc_id) for q in rows if q.doc_id % 20 == 0 and (q.title or "").strip(" ") for x in rows if x.doc_id != q.doc_id and (x.title == q.title or q.title in (x.text or ""))
-    }
-    asked = {q.doc_id for q in rows if q.doc_id % 20 == 0 and q.title is not None}
-    got = [(r.query_id, r.id) for r in pipeline.expected_answers(spark, SMALL).collect()]
-    assert len(got) == len(set(got)) and set(got) == want | {(q, None) for q in asked - {q for q, _ in want}}
+def small(spark):
+    c = search.corpus(spark, SMALL)
+    return c, search.search(spark, SMALL, c).collect()
+
+
+def test_search_gives_every_id_once_within_its_caps(small):
+    c, rows = small
+    asked = {r.query_id for r in c.questions.collect()}
+    assert rows and {r.query_id for r in rows} <= asked
+    assert max(Counter((r.query_id, r.id) for r in rows).values()) == 1 and all(r.relevance >= 0.05 for r in rows if r.channel != "direct")
+    by = defaultdict(list)
+    for r in rows:
+        by[r.query_id].append(r)
+    for found in by.values():
+        direct = sorted(r.rank for r in found if r.channel == "direct")
+        assert direct == list(range(1, len(direct) + 1)) and len(direct) <= search.LIMIT
+        more = [r for r in found if r.channel != "direct"]
+        assert sorted(r.rank for r in more) == list(range(search.LIMIT + 1, search.LIMIT + 1 + len(more))) and len(more) <= search.LIMIT
+        assert sum(r.channel == "co-change" for r in more) <= search.LIMIT // 4
+
+
+def test_what_leads_on_follows_edges(small):
+    c, rows = small
+    links = {frozenset((e.source_id, e.target_id)) for e in c.edges.collect()}
+    near = defaultdict(set)
+    for a, b in (tuple(x) for x in links if len(x) == 2):
+        near[a].add(b)
+        near[b].add(a)
+    direct = defaultdict(set)
+    for r in rows:
+        if r.channel == "direct":
+            direct[r.query_id].add(r.id)
+    for r in rows:
+        if r.channel == "path":
+            assert any(r.id in near[x] or near[x] & near[r.id] for x in direct[r.query_id])
+
+
+def test_curated_in_degree_lifts(spark, small):
+    c, _ = small
+    want = Counter(e.target_id for e in c.edges.collect() if e.edge_type in graph.CURATED)
+    assert {r.id: r.in_degree for r in c.curated.collect()} == want
+
+
+def test_expand_by_group_claims_per_group(spark):
+    edges = spark.createDataFrame([("a", "b", "references", 1.0), ("b", "c", "calls", 1.0), ("x", "b", "calls", 1.0)], "source_id string, target_id string, edge_type string, weight double")
+    seeds = spark.createDataFrame([(1, "a"), (1, "x"), (2, "x")], "q int, seed string")
+    out = {(r.q, r.node): (r.seed, r.depth) for r in graph.expand(seeds, edges, 2, by=("q",)).collect()}
+    assert out == {(1, "b"): ("a", 1), (1, "c"): ("a", 2), (2, "b"): ("x", 1), (2, "a"): ("x", 2), (2, "c"): ("x", 2)}
+
+
+def test_expected_answers_bear_the_title_in_their_content_too(spark, small):
+    c, _ = small
+    records, asked = c.records.collect(), c.questions.collect()
+    want = {(q.query_id, x.id) for q in asked if q.text.strip(" ") for x in records if x.id != q.query_id and (x.title == q.text or q.text in (x.content or ""))}
+    got = [(r.query_id, r.id) for r in pipeline.expected_answers(c).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(q.query_id, None) for q in asked if q.query_id not in {q for q, _ in want}}
     texts = spark.createDataFrame([(1, "say Fix the cache. now"), (2, "fix the cache"), (3, None), (4, "the cache")], "id bigint, text string")
     patterns = spark.createDataFrame([("Fix the cache",), ("the cache",), ("",)], "pattern string")
     assert sorted(tuple(r) for r in joining.containing(texts, patterns).collect()) == [(1, "Fix the cache"), (1, "the cache"), (2, "the cache"), (4, "the cache")]
+
+
+def test_metrics_with_packs_and_bounds(spark):
+    results = spark.createDataFrame([("q", "a", 1, 0.9, True), ("q", "b", 2, 0.5, True), ("q", "c", 11, 0.1, False)], "query_id string, id string, rank int, relevance double, direct boolean")
+    expected = spark.createDataFrame([("q", "b"), ("q", "c"), ("n", None)], "query_id string, id string")
+    packed = spark.createDataFrame([("q", "b"), ("q", "a")], "query_id string, id string")
+    rows = {r.query_id: r for r in metrics.scores(results, expected, packed=packed).collect()}
+    assert (rows["q"].mrr, rows["q"].recall, rows["q"].pack_recall, rows["n"].negative_ok) == (0.5, 1.0, 0.5, True)
+    assert metrics.interval({1.0: 1}) is None and metrics.interval({0.0: 50, 1.0: 50})[0] < 0.5 < metrics.interval({0.0: 50, 1.0: 50})[1]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.code import is_identifier_shaped
-from loamgraph.operators.ordered import running_sum
+from loamgraph.operators.ordered import running_sum, running_sums
+from loamgraph.session import durable
 
 BIN = 64
 
@@ -34,17 +37,18 @@ def siblings(edges: DataFrame) -> DataFrame:
 
 
 def between_boundaries(log: DataFrame, anchors: DataFrame, wanted: DataFrame, boundary, key: str, most: int = 25) -> DataFrame:
-    """(anchor id, wanted row): rows of `wanted` after an anchor and before the next boundary event of the same key.
+    """(anchor id, wanted row): the first `most` rows of `wanted`, by id, after an anchor and before the next boundary event of
+    the same key.
 
-    log, anchors and wanted have (key, id); `boundary` is a condition on log. A segment number, the count of boundaries
-    before a row, turns the range into an equality; the first `most` rows by id count.
+    log, anchors and wanted have (key, id), the latter two of rows of log; `boundary` is a condition on log. The wanted rows
+    of a key are numbered through, so an anchor meets its next `most` numbers and nothing else; of these it keeps those in its
+    segment, the count of boundaries before a row.
     """
-    marks = running_sum(log, key, "id", boundary.cast("int"), "segment").select(key, "id", "segment")
+    marked = log.select(key, "id", boundary.alias("_bound")).join(wanted.select(key, "id").distinct().withColumn("_wanted", F.lit(1)), [key, "id"], "left")
+    marks = running_sums(marked, key, "id", {"segment": F.col("_bound").cast("int"), "number": F.col("_wanted")}).select(key, "id", "segment", "number")
     a = anchors.join(marks, [key, "id"]).withColumnRenamed("id", "anchor_id")
-    w = wanted.join(marks, [key, "id"])
-    pairs = a.join(w, [key, "segment"]).where(F.col("id") > F.col("anchor_id"))
-    rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy("id"))
-    return pairs.withColumn("n", rank).where(F.col("n") <= most).drop("n", "segment")
+    a = a.withColumn("number", F.explode(F.sequence(F.col("number") + 1, F.col("number") + most)))
+    return a.join(wanted.join(marks, [key, "id"]), [key, "number", "segment"]).drop("segment", "number")
 
 
 def first_successor(calls: DataFrame, order_key: str, window: int = 20) -> DataFrame:
@@ -68,78 +72,101 @@ def resolve_names(raw: DataFrame, names: DataFrame) -> DataFrame:
     return second.withColumn("target_id", F.coalesce("by_name", "target_id")).drop("name", "by_name")
 
 
-MENTION_SCAN_PATTERNS = 2_000_000
+#: Patterns of one automaton, which is broadcast (about 100 bytes a pattern and what it holds of text); more go in blocks.
+PATTERNS = 500_000
+_BUILT: dict[str, object] = {}
 
 
-def mentions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(source_id, target_id): code that a text mentions. texts: (source_id, text); patterns: (pattern, target_id, is_path).
+def _blocks(patterns: DataFrame, texts: DataFrame, scan, schema: str, alone=None) -> DataFrame:
+    """The union of scan(automaton, texts' batch) over blocks of the distinct rows (pattern, …). The driver holds one block at
+    a time; a worker builds each block's automaton once. An automaton's values are whole rows. `alone`, a pair of a function
+    and its schema, is applied to what scan() gives if there is one block only."""
+    listed = durable(patterns)
+    blocks = max(1, -(-listed.count() // PATTERNS))
+    after, schema = alone if alone and blocks == 1 else (lambda x: x, schema)
+    parts = []
+    for b in range(blocks):
+        rows = listed.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
-    Leftmost-longest, non-overlapping matches of all patterns in one pass of an automaton. A path counts anywhere, an
-    identifier-shaped name between word boundaries, a bare word only in a code-like place too (after an odd number of
-    backticks, before `(`, after `::` or `.`). The automaton is broadcast; up to MENTION_SCAN_PATTERNS patterns, beyond
-    which the patterns are cut into blocks by hash, whose longest matches are reconciled by the caller.
-    """
-    listed = patterns.where("pattern <> ''").withColumn("identifier", is_identifier_shaped(F.col("pattern")))
-    rows = listed.groupBy("pattern").agg(F.max(F.struct("is_path", "target_id", "identifier")).alias("p")).limit(MENTION_SCAN_PATTERNS + 1).collect()
-    if len(rows) > MENTION_SCAN_PATTERNS:
-        raise ValueError(f"more than {MENTION_SCAN_PATTERNS} patterns: scan them in blocks")
-    shared = texts.sparkSession.sparkContext.broadcast([(r.pattern, r.p.target_id, r.p.is_path, r.p.identifier) for r in rows])
+        def run(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(name, shared)
+            for batch in batches if len(automaton) else ():
+                yield after(scan(automaton, batch))
+
+        parts.append(texts.mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, parts)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _automaton(name: str, shared):
+    """The automaton of a broadcast block, built once per worker."""
+    if name not in _BUILT:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for i, (p, *_) in enumerate(shared.value):
-            automaton.add_word(p, i)
-        if not len(automaton):
-            return
-        automaton.make_automaton()
-        for b in batches:
-            out = []
-            for source, text in zip(b["source_id"], b["text"]):
-                taken = 0
-                for end, i in _leftmost_longest(automaton, text, shared.value):
-                    pattern, target, path, identifier = shared.value[i]
-                    start = end - len(pattern)
-                    if start < taken:
-                        continue
-                    taken = end
-                    if path or _bounded(text, start, end) and (identifier or _code_like(text, start, end)):
-                        out.append((source, target))
-            yield pd.DataFrame(sorted(set(out)), columns=["source_id", "target_id"])
-
-    return texts.where("text is not null").select("source_id", "text").mapInPandas(scan, "source_id string, target_id string").distinct()
+        for row in shared.value:
+            automaton.add_word(row[0], row)
+        if len(automaton):
+            automaton.make_automaton()
+        if len(_BUILT) > 1:
+            _BUILT.clear()
+        _BUILT[name] = automaton
+    return _BUILT[name]
 
 
-def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, pattern): texts (id, text) that hold a pattern anywhere, exactly as written. The automaton of the distinct patterns
-    is broadcast, so they are bounded as for mentions()."""
-    rows = patterns.where("pattern <> ''").select("pattern").distinct().limit(MENTION_SCAN_PATTERNS + 1).collect()
-    if len(rows) > MENTION_SCAN_PATTERNS:
-        raise ValueError(f"more than {MENTION_SCAN_PATTERNS} patterns: scan them in blocks")
-    shared = texts.sparkSession.sparkContext.broadcast([r.pattern for r in rows])
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+def mentions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(source_id, target_id): code that a text mentions. texts: (source_id, text); patterns: (pattern, target_id, is_path).
 
-        automaton = ahocorasick.Automaton()
-        for p in shared.value:
-            automaton.add_word(p, p)
-        if not len(automaton):
-            return
-        automaton.make_automaton()
-        for b in batches:
-            out = [(i, p) for i, text in zip(b["id"], b["text"]) for p in {p for _, p in automaton.iter(text)}]
-            yield pd.DataFrame(out, columns=["id", "pattern"])
+    Leftmost-longest, non-overlapping matches of all patterns. A path counts anywhere, an identifier-shaped name between word
+    boundaries, a bare word only in a code-like place too (after an odd number of backticks, before `(`, after `::` or `.`).
+    Of equal patterns a path counts, then the largest target. Blocks of patterns give the longest match at every place of a
+    text, which are reconciled per text; one block does so at once.
+    """
+    listed = patterns.where("pattern <> ''").withColumn("identifier", is_identifier_shaped(F.col("pattern")))
+    rows = listed.groupBy("pattern").agg(F.max(F.struct("is_path", "target_id", "identifier")).alias("p")).select("pattern", "p.target_id", "p.is_path", "p.identifier")
+    columns = ["source_id", "start", "end", "target_id", "counts"]
+
+    def scan(automaton, batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for source, text in zip(batch["source_id"], batch["text"]):
+            longest = {}
+            for last, (pattern, target, path, identifier) in automaton.iter(text):
+                start = last + 1 - len(pattern)
+                if longest.get(start, (0,))[0] < last + 1:
+                    longest[start] = (last + 1, target, path, identifier)
+            for start, (end, target, path, identifier) in longest.items():
+                counts = path or _bounded(text, start, end) and (identifier or _code_like(text, start, end))
+                out.append((source, start, end, target, bool(counts)))
+        return pd.DataFrame(out, columns=columns)
+
+    def kept(matches: pd.DataFrame) -> pd.DataFrame:
+        """Of one or more texts: from left to right the longest match at the first place that is free."""
+        out, now, taken = [], None, 0
+        for source, start, end, target, counts in matches.sort_values(["source_id", "start", "end"], ascending=[True, True, False]).itertuples(index=False, name=None):
+            taken = taken if source == now else 0
+            now = source
+            if start >= taken:
+                taken = end
+                if counts:
+                    out.append((source, target))
+        return pd.DataFrame(out, columns=["source_id", "target_id"])
+
+    schema = "source_id string, target_id string"
+    asked = texts.where("text is not null and source_id is not null").select("source_id", "text")
+    found = _blocks(rows, asked, scan, "source_id string, start int, end int, target_id string, counts boolean", (kept, schema))
+    return (found.groupBy("source_id").applyInPandas(kept, schema) if "start" in found.columns else found).distinct()
 
-    kind = dict(texts.dtypes)["id"]
-    return texts.where("id is not null and text is not null").select("id", "text").mapInPandas(scan, f"id {kind}, pattern string")
 
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern): texts (id, text) that hold a pattern anywhere, exactly as written; overlapping ones all count."""
+
+    def scan(automaton, batch: pd.DataFrame) -> pd.DataFrame:
+        out = [(i, p) for i, text in zip(batch["id"], batch["text"]) for p in {p for _, (p,) in automaton.iter(text)}]
+        return pd.DataFrame(out, columns=["id", "pattern"])
 
-def _leftmost_longest(automaton, text: str, patterns: list) -> list[tuple[int, int]]:
-    """(end, pattern) of all matches, by start, longest first."""
-    found = [(e + 1, i) for e, i in automaton.iter(text)]
-    return sorted(found, key=lambda m: (m[0] - len(patterns[m[1]][0]), -len(patterns[m[1]][0])))
+    kind = dict(texts.dtypes)["id"]
+    rows = patterns.where("pattern <> ''").select("pattern").distinct()
+    return _blocks(rows, texts.where("id is not null and text is not null").select("id", "text"), scan, f"id {kind}, pattern string").distinct()
 
 
 def _bounded(text: str, start: int, end: int) -> bool:

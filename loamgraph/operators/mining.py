@@ -13,7 +13,7 @@ from loamgraph.operators.ordered import running_sum
 # Events that end a stretch of work; words that tell an error.
 BOUNDARIES = ["prompt_submit", "session_start", "session_end"]
 ERROR_WORDS = ["error", "failed", "panic", "traceback", "exception"]
-FIX_WINDOW, HOT_SAVES, HOT_DAYS, RECURRING_HITS = 20, 3, 2, 2
+FIX_WINDOW, HOT_SAVES, HOT_DAYS, RECURRING_HITS, SUGGESTIONS = 20, 3, 2, 2, 500
 
 
 def looks_failed(result: Column) -> Column:
@@ -43,11 +43,20 @@ def search_misses(log: DataFrame, records: DataFrame) -> DataFrame:
     return empty.join(n, F.col("id") == F.col("anchor_id")).select(F.col("id").alias("event_id"), "query", "n_files")
 
 
-def uncharted_edits(log: DataFrame, records: DataFrame) -> DataFrame:
-    """Prompts whose workspace then saved indexed files before its next boundary: event_id, n_files, n_indexed. A prompt is
-    itself a boundary, so the stretch begins behind it."""
-    packs = log.where("kind = 'prompt_submit'")
-    files = saves_after(log, packs).distinct()
+def uncharted_edits(log: DataFrame, records: DataFrame, steps: DataFrame) -> DataFrame:
+    """Prompts whose pack gave no hit and whose workspace then saved indexed files before its next boundary: event_id, n_files,
+    n_indexed.
+
+    A prompt is itself a boundary; the stretch behind it is its own. Its pack is what was delivered in it (steps, see
+    outcomes()): if one of the deliveries was hit, the prompt does not count.
+    """
+    packs = log.where("kind = 'prompt_submit' and workspace is not null")
+    given = steps.where("step in ('touch', 'pull', 'deliver', 'boundary')")
+    numbered = running_sum(given, "key", "at", (F.col("step") == "boundary").cast("int"), "stretch")
+    hits = outcomes(steps).where("outcome = 'hit'").select("key", F.col("delivery_id").alias("at")).distinct()
+    hit = numbered.where("step = 'deliver'").join(hits, ["key", "at"], "left_semi").select("key", "stretch").distinct()
+    charted = numbered.where("step = 'boundary'").join(hit, ["key", "stretch"], "left_semi").select(F.col("at").alias("id"))
+    files = saves_after(log, packs.join(charted, "id", "left_anti")).distinct()
     indexed = files.join(indexed_paths(records), "path", "left_semi").groupBy("anchor_id").agg(F.count("*").alias("n_indexed"))
     every = files.groupBy("anchor_id").agg(F.count("*").alias("n_files"))
     return indexed.join(every, "anchor_id").select(F.col("anchor_id").alias("event_id"), "n_files", "n_indexed")
@@ -72,17 +81,18 @@ def error_fixes(log: DataFrame, window: int = FIX_WINDOW) -> DataFrame:
     return first_successor(calls, "workspace", window)
 
 
-def suggestions(log: DataFrame, records: DataFrame, usage: DataFrame) -> DataFrame:
-    """All signals in their fixed order with a stable fingerprint `signal:anchor`: position, signal, fingerprint."""
+def suggestions(log: DataFrame, records: DataFrame, usage: DataFrame, steps: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
+    """The first `most` of all signals in their fixed order with a stable fingerprint `signal:anchor`: position, signal,
+    fingerprint. The anchor of an error's fix is the tool, and what is saved again under one fingerprint counts once."""
     row = lambda df, n, signal, anchor: df.select(F.lit(n).alias("position"), F.lit(signal).alias("signal"), F.concat(F.lit(f"{signal}:"), anchor.cast("string")).alias("fingerprint"))
     parts = [
-        row(uncharted_edits(log, records), 1, "uncharted_edit", F.col("event_id")),
+        row(uncharted_edits(log, records, steps), 1, "uncharted_edit", F.col("event_id")),
         row(search_misses(log, records), 2, "search_miss", F.col("event_id")),
         row(recurring_use(usage), 3, "recurring_use", F.col("entity_id")),
         row(hot_files(log, records), 4, "hot_file", F.col("path")),
         row(error_fixes(log), 5, "error_fix", F.col("tool")),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts).distinct().orderBy("position", "fingerprint").limit(most)
 
 
 def fresh(candidates: DataFrame, shown: DataFrame, as_of_us: int, hours: int = 24) -> DataFrame:
@@ -123,6 +133,13 @@ def nth_last(log: DataFrame, kind: str, n: int) -> DataFrame:
     return top.select("id", "us", F.row_number().over(Window.orderBy(F.desc("id"))).alias("n")).where(F.col("n") == n).drop("n")
 
 
+def surplus_tombstones(records: DataFrame, keep: int = 1000) -> DataFrame:
+    """Pruned records beyond the `keep` newest (ties: larger ids stay): (id). The newest are found as a top list."""
+    gone = records.where("status = 'pruned'").select("id", F.coalesce("updated_us", F.lit(-(2**62))).alias("us"))
+    newest = gone.orderBy(F.desc("us"), F.desc("id")).limit(keep)
+    return gone.join(newest.select("id"), "id", "left_anti").select("id")
+
+
 def expired(log: DataFrame, as_of_us: int, days: int = 30) -> DataFrame:
     """Events older than the retention."""
     return log.where(F.col("us") < as_of_us - days * 86_400_000_000)

@@ -64,9 +64,9 @@ def changed(s, d) -> DataFrame:
 
 
 query("src9_changed_files", f"{upkeep._SNAP}, a as (select f as path, min(h) as h from o where f is not null group by 1), b as (select f as path, min(h) as h from n where f is not null group by 1) select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'removed' else 'modified' end as change from a full join b on a.path = b.path where a.h is distinct from b.h")(changed)
-COMMITS = 2000
-query("src10_commit_window", f"select o_orderkey as commit_id, count(l_partkey) as n_hunks from (select * from orders order by o_orderdate desc, o_orderkey limit {COMMITS}) left join (select distinct l_orderkey, l_partkey from lineitem) on l_orderkey = o_orderkey group by 1")(
-    lambda s, d: table(s, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(COMMITS).select(F.col("o_orderkey").alias("commit_id")).join(table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), "l_partkey").distinct(), "commit_id", "left").groupBy("commit_id").agg(F.count("l_partkey").alias("n_hunks"))
+COMMITS = 20_000  # a log is walked so far back
+query("src10_commit_window", f"select o_orderkey as commit_id, count(l_partkey) as n_hunks from (select * from orders where o_orderstatus <> 'P' order by o_orderdate desc, o_orderkey limit {COMMITS}) left join (select distinct l_orderkey, l_partkey from lineitem) on l_orderkey = o_orderkey group by 1")(
+    lambda s, d: table(s, d, "orders").where("o_orderstatus <> 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(COMMITS).select(F.col("o_orderkey").alias("commit_id")).join(table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), "l_partkey").distinct(), "commit_id", "left").groupBy("commit_id").agg(F.count("l_partkey").alias("n_hunks"))
 )
 
 # Joins and aggregates.

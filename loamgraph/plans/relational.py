@@ -151,9 +151,17 @@ query("agg4_hit_rate_by_type", m.sql("delivery", "select p_brand as entity_type,
 query("agg5_usage_summary", m.sql("delivery", "select kind, count(*) filter (outcome = 'hit') as hits, count(*) filter (outcome = 'miss') as misses, count(*) filter (outcome = 'pending') as pending, count(distinct entity_id) filter (outcome = 'hit') as hit_entities from used join delivery using (delivery_id) group by kind"))(
     lambda s, d: m.usage(s, d).join(m.deliveries(s, d), "delivery_id").groupBy("kind").agg(_hits("hit").alias("hits"), _hits("miss").alias("misses"), _hits("pending").alias("pending"), F.countDistinct(F.when(F.col("outcome") == "hit", F.col("entity_id"))).alias("hit_entities"))
 )
-query("agg9_key_files", m.sql("edge", f"select source_id as id, n from (select source_id, count(*) as n from edge where edge_type = 'contains' group by 1) join rec on rec.id = source_id where status = 'active' and not coalesce({_TEST_SQL}, false) order by n desc, id limit 15"))(
-    lambda s, d: m.edges(s, d).where("edge_type = 'contains'").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n")).join(m.records(s, d).where("status = 'active'").where(~code.is_test_file(F.col("file_path"))), "id", "left_semi").orderBy(F.desc("n"), "id").limit(15)
-)
+query("agg9_key_files", m.sql("edge", f"""select id, n from (select rec.id, file_path, n from (select source_id, count(*) as n from edge where edge_type = 'contains' group by 1) join rec on rec.id = source_id where status = 'active' order by n desc, rec.id limit 50)
+where not coalesce({_TEST_SQL}, false) order by n desc, id limit 15"""))(lambda s, d: key_files(s, d))
+
+
+def key_files(s, d):
+    """The active files that contain most: of the first 50 those that are no tests, 15 at most."""
+    n = m.edges(s, d).where("edge_type = 'contains'").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
+    top = n.join(m.records(s, d).where("status = 'active'").select("id", "file_path"), "id").orderBy(F.desc("n"), "id").limit(50)
+    return top.where(~code.is_test_file(F.col("file_path"))).orderBy(F.desc("n"), "id").limit(15).select("id", "n")
+
+
 query("agg11_cochange_idf", m.sql("cochange", """, tf as (select term, count(distinct commit_id) as df from cochange where term in ('red', 'plate') and commit_ts < timestamp '1998-01-01' group by term)
 select entity_id, round(sum(1.0 / df), 6) as score, count(*) as cnt from cochange join tf using (term) where commit_ts < timestamp '1998-01-01' group by entity_id"""))(lambda s, d: _cochange_idf(m.cochange(s, d), ["red", "plate"], "1998-01-01"))
 
@@ -201,9 +209,10 @@ files as (select distinct anchor_id, anchor_kind, path, path in (select file_pat
 query("min1_search_misses", m.sql("rec ev", _SEG + " select anchor_id as event_id, (select query from ev where ev.id = anchor_id) as query, count(*) as n_files from files where anchor_kind = 'search_performed' and known group by anchor_id"))(
     lambda s, d: mining.search_misses(m.saves(s, d), m.records(s, d))
 )
-query("min2_uncharted_edits", m.sql("rec ev", _SEG + " select anchor_id as event_id, count(*) as n_files, count(*) filter (known) as n_indexed from files where anchor_kind = 'prompt_submit' group by anchor_id having count(*) filter (known) > 0"))(
-    lambda s, d: mining.uncharted_edits(m.saves(s, d), m.records(s, d))
-)
+_CHARTED = """, charted as (select distinct p.id from seg p join seg g on g.workspace = p.workspace and g.segment = p.segment and g.kind = 'search_performed' and g.entity_id is not null
+  join seg u on u.workspace = g.workspace and u.segment = g.segment and u.entity_id = g.entity_id and u.id > g.id and (u.kind = 'file_save' or (u.kind = 'pre_tool_use' and g.id % 2 = 1)) where p.kind = 'prompt_submit'),
+uncharted as (select anchor_id as event_id, count(*) as n_files, count(*) filter (known) as n_indexed from files where anchor_kind = 'prompt_submit' and anchor_id not in (select id from charted) group by anchor_id having count(*) filter (known) > 0)"""
+query("min2_uncharted_edits", m.sql("rec ev", _SEG + _CHARTED + " select * from uncharted"))(lambda s, d: mining.uncharted_edits(m.saves(s, d), m.records(s, d), _steps(s, d)))
 query("min3_recurring_use", m.sql("delivery", "select entity_id, count(*) as hits from used where outcome = 'hit' group by 1 having count(*) >= 2"))(lambda s, d: mining.recurring_use(m.usage(s, d)))
 _HOT = "select path, count(*) as saves, count(distinct us // 86400000000) as days from ev where kind = 'file_save' and path <> '' group by path having count(*) >= 3 and count(distinct us // 86400000000) >= 2"
 query("min4_hot_files", m.sql("ev", _HOT))(lambda s, d: mining.hot_files(m.saves(s, d)))
@@ -215,7 +224,12 @@ query("min5_error_fixes", m.sql("ev", _CALLS + " select e.id as error_id, e.tool
 query("min6_failed_calls", m.sql("ev", _CALLS + " select tool, count(*) as n_calls, count(*) filter (failed) as n_failed from calls group by tool"))(
     lambda s, d: m.saves(s, d).where("kind = 'post_tool_use' and workspace is not null").groupBy(F.coalesce("tool", F.lit("")).alias("tool")).agg(F.count("*").alias("n_calls"), F.sum(mining.looks_failed(F.coalesce("result", F.lit(""))).cast("int")).alias("n_failed"))
 )
-query("min7_suggestions", None)(lambda s, d: mining.suggestions(m.saves(s, d), m.records(s, d), m.usage(s, d)))
+_MIN7 = f"""{_SEG}{_CHARTED}{_CALLS}, all_signals as (select 1 as position, 'uncharted_edit' as signal, 'uncharted_edit:' || event_id as fingerprint from uncharted
+union select 2, 'search_miss', 'search_miss:' || anchor_id from files where anchor_kind = 'search_performed' and known union select 3, 'recurring_use', 'recurring_use:' || entity_id from used where outcome = 'hit' group by entity_id having count(*) >= 2
+union select 4, 'hot_file', 'hot_file:' || path from ({_HOT}) where path in (select file_path from rec where file_path is not null)
+union select 5, 'error_fix', 'error_fix:' || e.tool from calls e join calls f on f.workspace = e.workspace and f.tool = e.tool and not f.failed and f.n between e.n + 1 and e.n + 20 where e.failed and e.tool <> '')
+select * from all_signals order by position, fingerprint limit 500"""
+query("min7_suggestions", m.sql("rec ev delivery", _MIN7))(lambda s, d: mining.suggestions(m.saves(s, d), m.records(s, d), m.usage(s, d), _steps(s, d)))
 
 
 def _fresh(s, d):
@@ -243,15 +257,17 @@ num as (select *, sum(case when step = 'boundary' then 1 else 0 end) over (parti
 ends as (select key, max(stretch) as last from num group by key)
 select g.key, g.id as delivery_id, g.entity_id, g.tier, case when exists (select 1 from num u where u.key = g.key and u.stretch = g.stretch and u.entity_id = g.entity_id and u.id > g.id and (u.step = 'touch' or (u.step = 'pull' and g.tier = 'pointer'))) then 'hit' when g.stretch < last then 'miss' else 'pending' end as outcome
 from num g join ends using (key) where g.step = 'deliver'"""))(lambda s, d: mining.outcomes(_steps(s, d)))
-query("min10_mentioned_titles", None)(lambda s, d: _touched(s, d))
+query("min10_mentioned_titles", m.sql("rec ev", """, texts as (select id, result from ev where kind = 'post_tool_use' and result <> ''), pats as (select id, id as p from rec union select id, title from rec where octet_length(encode(title)) >= 8 union select id, file_path from rec where type = 'file' and file_path <> '')
+select distinct texts.id as event_id, pats.id as target_id from texts join pats on contains(result, p)"""))(lambda s, d: touched(s, d))
 
 
-def _touched(s, d):
-    """Records whose title (8 bytes or more) or id a tool's result names: (source_id = event, target_id = record)."""
+def touched(s, d):
+    """(event_id, target_id): every record whose title (8 bytes or more), id or path, if it is a file, a tool's result holds."""
     rec = m.records(s, d)
-    texts = m.saves(s, d).where("kind = 'post_tool_use' and result <> ''").select(F.col("id").cast("string").alias("source_id"), F.col("result").alias("text"))
-    named = rec.where(F.octet_length("title") >= 8).groupBy("title").agg(F.min("id").alias("target_id")).select(F.col("title").alias("pattern"), "target_id", F.lit(True).alias("is_path"))
-    return joining.mentions(texts, named.unionByName(rec.select(F.col("id").alias("pattern"), F.col("id").alias("target_id"), F.lit(True).alias("is_path"))))
+    texts = m.saves(s, d).where("kind = 'post_tool_use' and result <> ''").select("id", F.col("result").alias("text"))
+    by = lambda c, rows: rows.select(F.col(c).alias("pattern"), F.col("id").alias("target_id"))
+    named = by("id", rec).unionByName(by("title", rec.where(F.octet_length("title") >= 8))).unionByName(by("file_path", rec.where("type = 'file' and file_path <> ''"))).distinct()
+    return joining.containing(texts, named).join(named, "pattern").select(F.col("id").alias("event_id"), "target_id").distinct()
 
 
 query("min11_never_delivered", m.sql("delivery", f"select p_partkey as entity_id from part where p_partkey not in (select entity_id from used join delivery using (delivery_id) where created_at >= timestamp '{SESSION_SINCE}')"))(
@@ -259,5 +275,12 @@ query("min11_never_delivered", m.sql("delivery", f"select p_partkey as entity_id
 )
 query("min11_session_cutoff", m.sql("ev", "select id, us from ev where kind = 'session_start' order by id desc limit 1 offset 9"))(lambda s, d: mining.nth_last(m.events(s, d), "session_start", 10))
 query("drf13_expired_events", m.sql("ev", f"select id from ev where us < {AS_OF_US} - 30 * 86400000000"))(lambda s, d: mining.expired(m.events(s, d), AS_OF_US, 30).select("id"))
+query("drf13_expired_deliveries", m.sql("delivery", "select delivery_id, count(entity_id) as n_usage from delivery left join used using (delivery_id) where created_at < timestamp '1998-01-01' - interval 30 day group by 1"))(
+    lambda s, d: m.deliveries(s, d).where("created_at < timestamp_ntz'1998-01-01' - interval 30 days").join(m.usage(s, d), "delivery_id", "left").groupBy("delivery_id").agg(F.count("entity_id").alias("n_usage"))
+)
+TOMBSTONES = 10  # kept of the small tables here; 1,000 by default
+query("drf13_surplus_tombstones", m.sql("rec", f"select id from rec where status = 'pruned' qualify row_number() over (order by coalesce(updated_us, -4611686018427387904) desc, id desc) > {TOMBSTONES}"))(
+    lambda s, d: mining.surplus_tombstones(m.records(s, d), TOMBSTONES)
+)
 
 QUERIES, SQL = query.queries, query.sql

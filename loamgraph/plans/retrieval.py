@@ -232,11 +232,6 @@ _DRIFT = "dr as (select min(doc_id) as id, count(*) - 1 as n_drift from document
 query("rnk7_drift_demotion", f"with {_MERGE}, {_DRIFT} select query_id, id, round(score * pow(0.7, coalesce(n_drift, 0)), 6) as score from merged left join dr using (id)")(
     lambda s, d: fusion.drift_demotion(merged(s, d), drifted(s, d)).select("query_id", "id", F.round("score", 6).alias("score"))
 )
-query("rnk8_provenance_prior", f"with {_MERGE}, {_DRIFT} select query_id, id, round(score * (1 + 0.3 * ln(1.0 + coalesce(n_drift, 0))), 6) as score from merged left join dr using (id)")(
-    lambda s, d: fusion.provenance_prior(merged(s, d), drifted(s, d).withColumnRenamed("n_drift", "in_degree")).select("query_id", "id", F.round("score", 6).alias("score"))
-)
-
-
 def weighted(s, d):
     made = ready(s, d)
     return merged(s, d, made).join(fusion.detect_shares(signals(s, d, made)).select("query_id", "code_weight", "knowledge_weight"), "query_id")
@@ -276,6 +271,17 @@ def cold_scores(s, d):
     return rows.withColumn("score", fusion.cold_start_score(F.col("confidence"), F.col("type"), F.col("access_count"), F.col("created_us"), AS_OF_US))
 
 
+_PRIOR = m.sql("edge", _COLD[_COLD.index(", acc as"):_COLD.index("select id, round(")] + f""", cold as (select id, 0.3 * coalesce(confidence, case when type = 'rule' then 0.8 else 0.5 end) + 0.1 * ln(coalesce(n, 0) + 1.0)
+  + 0.2 * coalesce(pow(2.0, -((1746057600000000 - created_us) / 86400000000.0) / 14.0), 0) as score from rec left join acc using (id)),
+deg as (select target_id as id, count(*) as k from edge where edge_type in ('{"', '".join(m.CURATED)}') group by 1) select id, round(score * (1 + 0.3 * ln(1.0 + coalesce(k, 0))), 6) as score from cold left join deg using (id)""")
+query("rnk8_provenance_prior", _PRIOR)(lambda s, d: fusion.provenance_prior(cold_scores(s, d), curated_degree(s, d)).select("id", F.round("score", 6).alias("score")))
+
+
+def curated_degree(s, d):
+    """(id, in_degree): edges written by people that lead to a record."""
+    return m.edges(s, d).where(F.col("edge_type").isin(m.CURATED)).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("in_degree"))
+
+
 query("rnk15_bands", f"with {_FTS} select query_id, doc_id, case when rank <= {LIMIT} then 'direct' else 'deep' end as band from fts where rank <= {3 * LIMIT}")(lambda s, d: fusion.bands(fts(s, d), LIMIT).select("query_id", "doc_id", "band"))
 query("gra18_corroborated", f"with {_FTS}, {_KNN}, deep as (select query_id, doc_id as id from fts where rank between {LIMIT + 1} and {3 * LIMIT} union all select query_id, id from knn where rank between {LIMIT + 1} and {3 * LIMIT}) select query_id, id from deep group by all having count(*) >= 2")(
     lambda s, d: fusion.corroborated(fts(s, d).select("query_id", F.col("doc_id").alias("id"), "rank").unionByName(knn(s, d).select("query_id", "id", "rank")).where(F.col("rank") > LIMIT))

@@ -112,11 +112,28 @@ def test_failed_results(spark):
     assert out == rows
 
 
-def test_mentions_leftmost_longest(spark):
+def test_mentions_leftmost_longest(spark, monkeypatch):
     patterns = spark.createDataFrame([("src/hybrid.rs", "P", True), ("hybrid", "B", False), ("run_all", "I", False), ("open", "O", False)], "pattern string, target_id string, is_path boolean")
     texts = spark.createDataFrame([("1", "see src/hybrid.rs"), ("2", "the hybrid way"), ("3", "call `hybrid` now"), ("4", "run_all, open()"), ("5", "run_allx reopen()"), ("6", None), ("7", "")], "source_id string, text string")
     assert values(joining.mentions(texts, patterns), "source_id", "target_id") == [("1", "P"), ("3", "B"), ("4", "I"), ("4", "O")]
     assert joining.mentions(texts, patterns.limit(0)).count() == 0
+    held = values(joining.containing(texts.select(F.col("source_id").alias("id"), "text"), patterns), "id", "pattern")
+    monkeypatch.setattr(joining, "PATTERNS", 1)  # every pattern a block of its own
+    assert values(joining.mentions(texts, patterns), "source_id", "target_id") == [("1", "P"), ("3", "B"), ("4", "I"), ("4", "O")]
+    assert values(joining.containing(texts.select(F.col("source_id").alias("id"), "text"), patterns), "id", "pattern") == held
+
+
+def test_between_boundaries_takes_the_next_of_the_segment(spark):
+    rnd = np.random.default_rng(3)
+    log = [("k" if i % 5 else "other", i, str(rnd.choice(["b", "a", "w", "w", "x"], p=[0.02, 0.2, 0.3, 0.3, 0.18]))) for i in range(600)]
+    df = spark.createDataFrame(log, "key string, id bigint, kind string")
+    out = joining.between_boundaries(df, df.where("kind = 'a'").select("key", "id"), df.where("kind = 'w'").select("key", "id"), F.col("kind") == "b", "key", 7)
+    want = set()
+    for k, i, t in log:
+        if t == "a":
+            end = next((j for q, j, u in log if q == k and j > i and u == "b"), 10**9)
+            want |= {(i, j) for j in [j for q, j, u in log if q == k and u == "w" and i < j < end][:7]}
+    assert {(r.anchor_id, r.id) for r in out.collect()} == want and len(want) > 200
 
 
 def test_search_terms(spark):

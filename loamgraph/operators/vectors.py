@@ -110,8 +110,8 @@ def mean_pool(rows: DataFrame, key: str) -> DataFrame:
 
 
 def mock_embedding(text: Column, dims: int = 64) -> Column:
-    """A deterministic stand-in for a model: the bits of the text's 64-bit hash as floats."""
-    h = F.xxhash64(text)
+    """A deterministic stand-in for a model: the bits of a 64-bit hash of the text (the first of its SHA-256) as floats."""
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("bigint")
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.getbit(h, F.pmod(i, F.lit(64))).cast("float"))
 
 

@@ -70,9 +70,8 @@ query("src10_commit_window", f"select o_orderkey as commit_id, count(l_partkey)
 )
 
 # Joins and aggregates.
-query("joi2_cochange_with_files", m.sql("cochange", """, tf as (select term, count(distinct commit_id) as df from cochange where term in ('red', 'plate') and commit_ts < timestamp '1998-01-01' group by term), c as (select entity_id, round(sum(1.0 / df), 6) as score from cochange join tf using (term) where commit_ts < timestamp '1998-01-01' group by 1)
-select entity_id, score, (select min(l_partkey) from lineitem where l_suppkey = entity_id) as file_id from c"""))(
-    lambda s, d: rel._cochange_idf(m.cochange(s, d), ["red", "plate"], "1998-01-01").select("entity_id", "score").join(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.min("l_partkey").alias("file_id")), "entity_id", "left")
+query("joi2_cochange_with_files", m.sql("cochange", f"{rel._IDF} select term, entity_id, round(score, 6) as score, (select min(l_partkey) from lineitem where l_suppkey = entity_id) as file_id from idf"))(
+    lambda s, d: rel.cochange_idf(m.cochange(s, d)).select("term", "entity_id", "score").join(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.min("l_partkey").alias("file_id")), "entity_id", "left")
 )
 query("joi5_delivered_if_exists", m.sql("rec ev", "select id, entity_id from ev where entity_id in (select id from rec)"))(
     lambda s, d: m.events(s, d).where("entity_id is not null").join(m.records(s, d).select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("id", "entity_id")

@@ -8,7 +8,7 @@ from loamgraph.functions import code
 from loamgraph.operators import graph, joining
 from loamgraph.plans import model as m
 from loamgraph.plans import retrieval as r
-from loamgraph.plans.relational import _TEST_SQL, _cochange_idf
+from loamgraph.plans.relational import _IDF, _TEST_SQL, cochange_idf
 from loamgraph.sources.tables import table
 
 query = m.Catalog()
@@ -107,13 +107,15 @@ select sibling, (max(struct_pack(s := score, a := anchor))).a as anchor, round(m
 
 
 def cochange_expansions(s, d):
-    rows = _cochange_idf(m.cochange(s, d), ["red", "plate"], "1998-01-01")
-    return rows.select("entity_id", F.round(graph.cochange_score(F.col("score"), F.lit(0), F.col("cnt")), 6).alias("score"))
+    """(term, entity_id, score): what changed under every term, as expansions of the term asked alone."""
+    titles = table(s, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("title"))
+    rows = cochange_idf(m.cochange(s, d)).join(titles, "entity_id", "left")
+    overlap = F.coalesce(graph.title_overlap(F.col("title"), F.array("term")), F.lit(0))
+    return rows.select("term", "entity_id", F.round(graph.cochange_score(F.col("score"), overlap, F.col("cnt")), 6).alias("score"))
 
 
-query("gra14_cochange_expansion", m.sql("cochange", """, tf as (select term, count(distinct commit_id) as df from cochange where term in ('red', 'plate') and commit_ts < timestamp '1998-01-01' group by term),
-idf as (select entity_id, round(sum(1.0 / df), 6) as score, count(*) as cnt from cochange join tf using (term) where commit_ts < timestamp '1998-01-01' group by entity_id)
-select entity_id, round(0.07 + 0.08 * score / (score + 3.0) + 0.005 * least(cnt, 8), 6) as score from idf"""))(cochange_expansions)
+query("gra14_cochange_expansion", m.sql("cochange", f"""{_IDF}, named as (select s_suppkey as entity_id, {r._CAMEL.format("s_name")} as own from supplier)
+select term, entity_id, round(0.07 + 0.08 * round(score, 6) / (round(score, 6) + 3.0) + 0.05 * least(coalesce(len(list_filter(own, lambda t: t = term)), 0), 3) + 0.005 * least(cnt, 8), 6) as score from idf left join named using (entity_id)"""))(cochange_expansions)
 
 
 def capped_expansions(s, d):
@@ -145,6 +147,19 @@ query("gra17_contains_edges", m.sql("rec", "select f.source_id, m.id as target_i
 )
 
 
+def call_edges(s, d):
+    """(source_id, target_id): functions whose text calls a name that one code record alone bears."""
+    rec = m.records(s, d).where("space = 'code' and status = 'active'")
+    called = rec.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))).alias("raw_name"))
+    found = joining.resolve_names(called, rec.select(F.col("title").alias("name"), "id")).where("target_id is not null and target_id <> id")
+    return found.select(F.col("id").alias("source_id"), "target_id").distinct()
+
+
+query("gra17_call_edges", m.sql("rec", """, code as (select id, title, content from rec where space = 'code' and status = 'active'), names as (select title as name, min(id) as target_id from code where title is not null group by title having count(*) = 1),
+called as (select id, unnest(list_distinct(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1))) as name from code)
+select distinct id as source_id, target_id from called join names using (name) where id <> target_id"""))(call_edges)
+
+
 def corpus_components(s, d):
     """Connected components of the graph by size."""
     from loamgraph.operators.components import components

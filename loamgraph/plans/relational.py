@@ -61,7 +61,10 @@ query("fil12_secret_scan", m.sql("rec", f"select id, coalesce({', '.join(_SECRET
 query("fil12_secrets_in_documents", f"select doc_id, coalesce({', '.join(_SECRET_SQL)}) as kind from (select doc_id, text as t from documents)")(
     lambda s, d: table(s, d, "documents").select("doc_id", filters.first_secret(F.col("text")).alias("kind"))
 )
-query("fil13_redacted", None)(lambda s, d: table(s, d, "documents").select("doc_id", filters.redact(F.col("text")).alias("text")))
+_REDACTED = "text"
+for _kind, _pattern in filters.SECRETS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern.replace(chr(39), chr(39) * 2)}', '[redacted: {_kind}]', 'g')"
+query("fil13_redacted", f"select doc_id, {_REDACTED} as text from documents")(lambda s, d: table(s, d, "documents").select("doc_id", filters.redact(F.col("text")).alias("text")))
 _PIPE = r"(^|[^|])[|]\s*(sh|bash|zsh|dash|fish|ksh|csh|pwsh|powershell|python|python3|perl|ruby|node)([^\p{L}\p{N}_]|$)"
 query("fil14_rule_lint", m.sql("rec", f"select id, concat_ws(',', case when contains(content, 'http://') or contains(content, 'https://') then 'URL' end, case when regexp_matches(content, '{_PIPE}') then 'pipe-to-shell' end) as markers from rec where type = 'rule'"))(
     lambda s, d: m.records(s, d).where("type = 'rule'").select("id", filters.rule_markers(F.col("content")).alias("markers"))
@@ -162,15 +165,17 @@ def key_files(s, d):
     return top.where(~code.is_test_file(F.col("file_path"))).orderBy(F.desc("n"), "id").limit(15).select("id", "n")
 
 
-query("agg11_cochange_idf", m.sql("cochange", """, tf as (select term, count(distinct commit_id) as df from cochange where term in ('red', 'plate') and commit_ts < timestamp '1998-01-01' group by term)
-select entity_id, round(sum(1.0 / df), 6) as score, count(*) as cnt from cochange join tf using (term) where commit_ts < timestamp '1998-01-01' group by entity_id"""))(lambda s, d: _cochange_idf(m.cochange(s, d), ["red", "plate"], "1998-01-01"))
+_IDF = """, tf as (select term, count(distinct commit_id) as df from cochange group by term), idf as (select term, entity_id, sum(1.0 / df) as score, count(*) as cnt from cochange join tf using (term) group by all)"""
+query("agg11_cochange_idf", m.sql("cochange", _IDF + " select term, entity_id, round(score, 6) as score, cnt from idf"))(lambda s, d: cochange_idf(m.cochange(s, d)))
 
 
-def _cochange_idf(rows, terms, before):
-    """Entities by the summed inverse document frequency of the terms they changed under, before a time."""
-    past = rows.where(F.col("term").isin(terms) & (F.col("commit_ts") < F.lit(before).cast("timestamp_ntz")))
+def cochange_idf(rows, before=None):
+    """(term, entity_id, score, cnt): entities by the inverse document frequency of every term they changed under, summed over
+    their changes [before a time]. A question of several terms adds up its terms' rows."""
+    past = rows if before is None else rows.where(F.col("commit_ts") < F.lit(before).cast("timestamp_ntz"))
     df = past.groupBy("term").agg(F.countDistinct("commit_id").alias("df"))
-    return past.join(df, "term").groupBy("entity_id").agg(_round(F.sum(1.0 / F.col("df"))).alias("score"), F.count("*").alias("cnt"))
+    counted = past.groupBy("term", "entity_id").agg(F.count("*").alias("cnt"))
+    return counted.join(df, "term").select("term", "entity_id", _round(F.col("cnt") / F.col("df")).alias("score"), "cnt")
 
 
 query("agg12_access_counters", f"select lower(trim(entity_id)) as entity_id, sum(coalesce(access_count, 0))::bigint as access_count, max({m.us('last_accessed')}) as last_us from (select distinct * from entity_access) where trim(entity_id) <> '' group by 1")(lambda s, d: access_counts(s, d))

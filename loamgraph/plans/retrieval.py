@@ -75,7 +75,10 @@ query("joi1_hits_with_records", f"with {_FTS} select query_id, doc_id, channel,
 query("agg10_document_frequency", f"with {_FTS} select qt.term, count(post.doc_id) as df from (select distinct term from qt) qt left join post using (term) group by qt.term")(
     lambda s, d: lexical.document_frequency(docs(s, d), {"title": 1.0, "text": 1.0}, questions(s, d).select(F.explode("terms").alias("term")))
 )
-query("fts2_search_terms", None)(lambda s, d: m.records(s, d).select("id", lexical.search_terms(F.col("title")).alias("terms")))
+_APART = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu}{2})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '([0-9])([^0-9 ])', '\1 \2', 'g'), '([^0-9 ])([0-9])', '\1 \2', 'g')"
+_FTS2 = f"""select id, array_to_string(flatten(list_transform(list_filter(list_transform(regexp_extract_all(coalesce(title, ''), '[\\p{{L}}\\p{{N}}]+'), lambda w: string_split({_APART}, ' ')), lambda p: len(p) > 1),
+lambda p: p || list_filter(list_transform(range(1, len(p)), lambda i: case when regexp_matches(p[i], '^\\p{{L}}+$') and regexp_matches(p[i + 1], '^[0-9]+$') then p[i] || p[i + 1] end), lambda x: x is not null))), ' ') as terms from rec"""
+query("fts2_search_terms", m.sql("rec", _FTS2))(lambda s, d: m.records(s, d).select("id", lexical.search_terms(F.col("title")).alias("terms")))
 _CAMEL = "list_filter(list_transform(string_split_regex(regexp_replace(coalesce({0}, ''), '([\\p{{Ll}}0-9])(\\p{{Lu}})', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)), lambda x: octet_length(encode(x)) >= 2)"
 query("fts3_tokens", m.sql("rec", f"select id, array_to_string({_CAMEL.format('title')}, ' ') as terms from rec"))(lambda s, d: m.records(s, d).select("id", F.array_join(lexical.tokenize(F.col("title")), " ").alias("terms")))
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOPWORDS)
@@ -141,10 +144,10 @@ query("vec9_mean_pool", """with f as (select label, unnest(embedding)::double as
 select label, position, round(x / norm, 6) as value from a join n using (label)""")(
     lambda s, d: vectors.mean_pool(space(s, d).withColumn("mask", F.col("id") % 2 == 0), "label").withColumn("value", F.round("value", 6))
 )
-query("vec10_mock_embeddings", None)(lambda s, d: docs(s, d).select("doc_id", F.array_join(F.transform(vectors.mock_embedding(F.coalesce("text", F.lit(""))), lambda x: x.cast("int").cast("string")), "").alias("bits")))
-query("vec11_embedded_once", None)(
-    lambda s, d: vectors.embed_once(docs(s, d).select(F.col("doc_id").alias("id"), "text"), vectors.mock_embedding).select("id", F.hash("embedding").alias("embedding_hash"))
-)
+_BITS = "select {0}, array_to_string(list_transform(range(64), lambda i: (h >> i::ubigint) & 1::ubigint), '') as bits from (select doc_id, ('0x' || substr(sha256(coalesce(text, '')), 1, 16))::ubigint as h from documents)"
+_bits = lambda v: F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), "").alias("bits")
+query("vec10_mock_embeddings", _BITS.format("doc_id"))(lambda s, d: docs(s, d).select("doc_id", _bits(vectors.mock_embedding(F.coalesce("text", F.lit(""))))))
+query("vec11_embedded_once", _BITS.format("doc_id as id"))(lambda s, d: vectors.embed_once(docs(s, d).select(F.col("doc_id").alias("id"), "text"), vectors.mock_embedding).select("id", _bits("embedding")))
 
 
 def lists(s, d, made=None):

@@ -27,11 +27,6 @@ case when (select min(id) from t b where b.type = a.type and b.e = a.e and b.id
 query("con12_near_duplicates", f"with {r._KNN} select query_id, id, round(1 - distance * distance / 2, 6) as similarity from pairs where round(1 - distance * distance / 2, 9) >= {NEAR}")(
     lambda s, d: consolidate.near_pairs(r.space(s, d), r.space(s, d).where("id % 20 = 0"), NEAR).withColumn("similarity", F.round("similarity", 6))
 )
-query("con2_embedding_duplicates", f"with {r._KNN} select query_id, id, round(1 - distance * distance / 2, 6) as similarity from knn where rank <= 20 and round(1 - distance * distance / 2, 9) >= {NEAR}")(
-    lambda s, d: consolidate.near_pairs(r.space(s, d), r.space(s, d).where("id % 20 = 0"), NEAR, 20).withColumn("similarity", F.round("similarity", 6))
-)
-
-
 def observation_vectors(s, d):
     """Unit vectors of active observations, one per record."""
     live = m.records(s, d).where("type = 'observation' and status = 'active'").select("id")
@@ -56,7 +51,18 @@ query("con9_merge_candidates", m.sql("rec", _OBS + " select survivor_id, superse
 query("con10_merged_records", m.sql("rec", _OBS + " select rec.id, case when sb.by is not null then 'superseded' else status end as status, sb.by as superseded_by from rec left join (select superseded_id, min(survivor_id) as by from merges group by 1) sb on sb.superseded_id = rec.id"))(
     lambda s, d: consolidate.merged_records(m.records(s, d), consolidate.merge_candidates(near_observations(s, d), m.records(s, d)))
 )
-query("con3_duplicates", None)(lambda s, d: consolidate.duplicates(m.records(s, d).where("status = 'active'"), near_by_type(s, d, DEDUP_NEIGHBOURS).drop("type")))
+_TYPED = """, owned as (select 'code_embeddings' as space, lower(trim(entity_id)) as id, embedding from code_embeddings union all select 'knowledge_embeddings', lower(trim(entity_id)), embedding from knowledge_embeddings),
+vecs as (select owned.space, type, id, any_value(embedding::double[]) as v from owned join rec using (id) where status = 'active' and type is not null and len(embedding) = 768
+  and not list_contains(list_transform(embedding, lambda x: isnan(x) or x is null), true) and list_sum(list_transform(embedding, lambda x: x * x)) > 0 group by all),
+sims as (select a.space, a.type, a.id as query_id, b.id, list_cosine_similarity(a.v, b.v) as similarity from vecs a join vecs b on a.space = b.space and a.type = b.type and a.id <> b.id where list_cosine_similarity(a.v, b.v) >= 0.85),
+few as (select * from sims qualify row_number() over (partition by space, query_id order by similarity desc, id) <= 20)"""
+query("con2_embedding_duplicates", m.sql("rec", _TYPED + " select distinct query_id, id, type from few"))(lambda s, d: near_by_type(s, d, DEDUP_NEIGHBOURS).select("query_id", "id", "type"))
+_CON3 = f"""{_TYPED}, t as (select id, type, lower(title) as e, {_TITLE} as f from rec where title is not null and status = 'active'),
+exact as (select a.id, min(b.id) as match_id from t a join t b on b.type = a.type and b.e = a.e and b.id <> a.id and a.e <> '' group by 1), fuzzy as (select a.id, min(b.id) as match_id from t a join t b on b.type = a.type and b.f = a.f and b.f <> '' and b.id <> a.id group by 1),
+titled as (select id, coalesce(exact.match_id, fuzzy.match_id) as match_id, case when exact.match_id is not null then 1.0 else 0.95 end as similarity from fuzzy full join exact using (id)),
+best as (select query_id as id, max(struct_pack(s := round(similarity, 9), i := id)) as b from few group by 1)
+select id, match_id, similarity::double as similarity, 'title' as kind from titled union all select id, b.i, round(b.s, 4), 'embedding' from best where id not in (select id from titled)"""
+query("con3_duplicates", m.sql("rec", _CON3))(lambda s, d: consolidate.duplicates(m.records(s, d).where("status = 'active'"), near_by_type(s, d, DEDUP_NEIGHBOURS).drop("type")).withColumn("similarity", F.round("similarity", 4)))
 query("con4_rejected_matches", m.sql("rec", f""", t as (select id, {_TITLE} as f, status, type from rec where title is not null) select a.id, min(b.id) as rejected_id from t a join t b on b.f = a.f and b.type = a.type and b.status = 'rejected' and a.status = 'active' and a.f <> '' group by a.id"""))(lambda s, d: _rejected(s, d))
 
 
@@ -116,10 +122,13 @@ def candidate_pairs(s, d):
     return with_texts(s, d, near).unionByName(new)
 
 
-query("con6_candidates")(type_candidates)
+query("con6_candidates", m.sql("rec", _TYPED + " select distinct query_id as a_id, id as b_id, type from sims where query_id < id"))(lambda s, d: type_candidates(s, d).select("a_id", "b_id", "type"))
 query("con7_contradictions", None)(lambda s, d: consolidate.contradictions(candidate_pairs(s, d)).select("a_id", "b_id", "verdict"))
 query("con8_numeric_gate", None)(lambda s, d: consolidate.with_numeric_gate(candidate_pairs(s, d)).select("a_id", "b_id", F.col("gate").alias("decision")))
-query("con5_found_duplicates")(
+_FOUND = """, near as (select distinct query_id as a_id, id as b_id from sims where query_id < id), said as (select distinct source_id as a_id, target_id as b_id from edge where edge_type in ('contradicts', 'supports')),
+cand as (select * from near union all select * from said where (least(a_id, b_id), greatest(a_id, b_id)) not in (select a_id, b_id from near))
+select a_id, b_id from cand join rec x on x.id = a_id join rec y on y.id = b_id where lower(x.content) = lower(y.content)"""
+query("con5_found_duplicates", m.sql("edge", _TYPED + _FOUND))(
     lambda s, d: candidate_pairs(s, d).where(F.greatest(*[consolidate.mock_nli(F.col(a), F.col(b))["entailment"] for a, b in (("a_text", "b_text"), ("b_text", "a_text"))]) >= 0.55).select("a_id", "b_id")
 )
 _NEG = " or ".join(f"contains(lower({{0}}), '{n}')" for n in consolidate.NEGATIONS)

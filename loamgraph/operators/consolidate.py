@@ -80,7 +80,8 @@ def with_unit(rows: DataFrame, column: str = "embedding") -> DataFrame:
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             norm = np.sqrt(np.bincount(owner, x * x, len(n)))
             row = np.flatnonzero(np.isfinite(norm) & (norm > 0))
-            kept = pa.array((x / norm[owner]).astype(np.float32)[np.isin(owner, row)])
+            good = np.isin(owner, row)
+            kept = pa.array((x[good] / norm[owner[good]]).astype(np.float32))
             scaled = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[row])), pa.int32()), kept)
             yield pa.RecordBatch.from_arrays([scaled if c == column else b[c].take(pa.array(row)) for c in b.schema.names], b.schema.names)
 

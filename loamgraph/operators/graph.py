@@ -116,8 +116,9 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | Non
     for depth in range(1, hops + 1):
         step = frontier.drop("depth").join(links, F.col("node") == F.col("here")).drop("node").withColumnRenamed("there", "node")
         new = step.join(found.select(*scope), scope, "left_anti")
-        claim = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("w"), "source_id", "target_id", "edge_type", "seed"))
-        taken = new.withColumn("claim", claim).where("claim = 1")
+        # The smallest claim, not a sorted window: claims of a contested node are combined before they are shuffled.
+        claim = F.min(F.struct((-F.col("w")).alias("less"), "source_id", "target_id", "edge_type", F.col("seed").alias("of"), "path", "types")).alias("c")
+        taken = new.groupBy(*scope).agg(claim).select(*by, F.col("c.of").alias("seed"), "node", "c.path", "c.types", "c.edge_type")
         frontier = taken.select(*by, "seed", "node", F.lit(depth).alias("depth"), F.array_append("path", F.col("node")).alias("path"), F.array_append("types", F.col("edge_type")).alias("types"))
         frontier = durable(frontier) if depth < hops else frontier
         found = found.unionByName(frontier)

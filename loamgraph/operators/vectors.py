@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one pass; a block of them is broadcast, so its size is bounded by BLOCK times the dimensions.
 BLOCK = 4096
+#: Passes over all vectors; more queries than this many blocks hold are for an approximate index, and raise an error here.
+MOST_PASSES = 256
 
 
 def _matrix(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -30,13 +32,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int | None = 10, max_dist
 
     vectors and queries: (id, embedding). Every partition keeps its k best per query (or all within `max_distance`, if k is
     None), which are merged; ties go by id, distances are compared to nine decimals. Nulls, other lengths than the block's
-    and non-finite values are no vectors. The queries are taken in blocks of BLOCK against all vectors.
+    and non-finite values are no vectors. The queries are taken in blocks of BLOCK against all vectors,
+    so the cost is linear in both; beyond MOST_PASSES blocks it raises an error.
     """
     kind = dict(vectors.dtypes)["id"]
     schema = f"query_id {kind}, id {kind}, distance double"
     passes = []
     ordered = queries.select("id", "embedding")
     blocks = max(1, -(-ordered.count() // BLOCK))
+    if blocks > MOST_PASSES:
+        raise ValueError(f"exact search of more than {MOST_PASSES * BLOCK} queries would read all vectors {blocks} times")
     for b in range(blocks):
         block = ordered.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()
         if not block.num_rows:

@@ -16,7 +16,7 @@ from loamgraph.functions import code
 from loamgraph.operators import consolidate, drift, fusion, graph, joining, lexical, mining, vectors
 from loamgraph.plans import model as m
 from loamgraph.plans import upkeep
-from loamgraph.session import durable
+from loamgraph.session import durable, together
 from loamgraph.sources.tables import table
 
 LIMIT = 10
@@ -44,16 +44,18 @@ class Corpus:
 def corpus(spark: SparkSession, folder: str) -> Corpus:
     every = durable(m.records(spark, folder))
     live = every.where("status = 'active' and title is not null").select("id", "title", "content", "search_terms", "type", "file_path", F.col("space").alias("channel"))
-    edges = m.durable_edges(spark, folder)
     owned = lambda t: table(spark, folder, t).select(F.lower(F.trim("entity_id")).alias("id"), "embedding").where("size(embedding) = 768")
     rows = owned("code_embeddings").unionByName(owned("knowledge_embeddings")).join(live.select("id", "channel"), "id")
-    unit = durable(consolidate.with_unit(rows).groupBy("id").agg(F.first("channel").alias("channel"), F.min("embedding").alias("embedding")))
+    unit = consolidate.with_unit(rows).groupBy("id").agg(F.first("channel").alias("channel"), F.min("embedding").alias("embedding"))
     asked = live.where(F.pmod(F.conv(F.substring("id", -4, 4), 16, 10).cast("int"), F.lit(20)) == 0)
     questions = asked.select(F.col("id").alias("query_id"), F.col("title").alias("text"), lexical.index_tokens(F.col("title")).alias("terms"))
-    found, lengths = (durable(x) for x in lexical.postings(live.withColumnRenamed("id", "doc_id"), FIELDS))
+    found, lengths = lexical.postings(live.withColumnRenamed("id", "doc_id"), FIELDS)
     drifted = drift.drift_counts(drift.drift(upkeep.verified(spark, folder), every))
+    edges, unit, found, lengths, drifted, changes = together(
+        spark, lambda: m.durable_edges(spark, folder), lambda: durable(unit), lambda: durable(found), lambda: durable(lengths), lambda: durable(drifted), lambda: durable(changes_of(spark, folder, live))
+    )
     curated = edges.where(F.col("edge_type").isin(graph.CURATED)).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("in_degree"))
-    return Corpus(live, edges, unit, questions, found, lengths, drifted, curated, durable(changes_of(spark, folder, live)))
+    return Corpus(live, edges, unit, questions, found, lengths, drifted, curated, changes)
 
 
 def changes_of(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def lists(c: Corpus) -> tuple[DataFrame, DataFrame]:
     fts = lexical.best_documents(c.found, c.lengths, c.questions, 3 * LIMIT).select("query_id", F.col("doc_id").alias("id"), "rank")
     asked = c.vectors.join(c.questions.select(F.col("query_id").alias("id")), "id", "left_semi")
     parts = [vectors.nearest(c.vectors.where(F.col("channel") == k), asked.where(F.col("channel") == k), 3 * LIMIT) for k in ("code", "knowledge")]
-    return durable(fts.join(kinds, "id")), durable(reduce(DataFrame.unionByName, parts).join(kinds, "id"))
+    near = reduce(DataFrame.unionByName, parts)
+    return tuple(together(c.records.sparkSession, lambda: durable(fts.join(kinds, "id")), lambda: durable(near.join(kinds, "id"))))
 
 
 def signals(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
@@ -123,12 +126,17 @@ def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) ->
     # Records reached from the best of both lists over curated edges.
     cosine = vectors.l2_to_cosine(F.col("distance"))
     seeds = graph.seed_weights([fts.select("query_id", "id", "rank", F.lit(True).alias("direct")), knn.select("query_id", "id", "rank", (cosine >= DIRECT_COSINE).alias("direct"))])
-    reached = graph.graph_first(seeds.join(top.select("query_id"), "query_id", "left_semi"), c.edges, by=("query_id",)).withColumnRenamed("node", "id").join(top, "query_id")
+    scores = direct.select("query_id", F.col("id").alias("seed"), F.col("score").alias("own"))
+    reached, paths = together(
+        direct.sparkSession,
+        lambda: durable(graph.graph_first(seeds.join(top.select("query_id"), "query_id", "left_semi"), c.edges, by=("query_id",))),
+        lambda: graph.expand(scores, c.edges, 2, by=("query_id",)),
+    )
+    reached = reached.withColumnRenamed("node", "id").join(top, "query_id")
     strong = part(reached.where("direct"), F.col("top") * F.least("score", F.lit(WEAK_BOUNDS[1])), 1, "graph-first")
     weak = part(reached.where("not direct"), F.col("top") * WEAK_DECAY * F.least(F.greatest("score", F.lit(WEAK_BOUNDS[0])), F.lit(WEAK_BOUNDS[1])), 5, "weak")
     # Paths from the direct results over all edges.
-    scores = direct.select("query_id", F.col("id").alias("seed"), F.col("score").alias("own"))
-    paths = graph.expand(scores, c.edges, 2, by=("query_id",)).join(scores, ["query_id", "seed"])
+    paths = paths.join(scores, ["query_id", "seed"])
     led = part(paths.withColumnRenamed("node", "id"), graph.expansion_score(F.col("own"), F.col("depth"), F.col("types")), 2, "path")
     # Classes in the files of direct results, and files that changed under the question's terms.
     terms = c.questions.select("query_id", lexical.tokenize(F.col("text")).alias("asked"))

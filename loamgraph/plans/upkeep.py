@@ -63,14 +63,16 @@ titled as (select id, coalesce(exact.match_id, fuzzy.match_id) as match_id, case
 best as (select query_id as id, max(struct_pack(s := round(similarity, 9), i := id)) as b from few group by 1)
 select id, match_id, similarity::double as similarity, 'title' as kind from titled union all select id, b.i, round(b.s, 4), 'embedding' from best where id not in (select id from titled)"""
 query("con3_duplicates", m.sql("rec", _CON3))(lambda s, d: consolidate.duplicates(m.records(s, d).where("status = 'active'"), near_by_type(s, d, DEDUP_NEIGHBOURS).drop("type")).withColumn("similarity", F.round("similarity", 4)))
-query("con4_rejected_matches", m.sql("rec", f""", t as (select id, {_TITLE} as f, status, type from rec where title is not null) select a.id, min(b.id) as rejected_id from t a join t b on b.f = a.f and b.type = a.type and b.status = 'rejected' and a.status = 'active' and a.f <> '' group by a.id"""))(lambda s, d: _rejected(s, d))
+query("con4_rejected_matches", m.sql("rec", f""", t as (select id, {_TITLE} as f, status, type from rec where title is not null) select a.id, min(b.id) as rejected_id, (select coalesce(stale_reason, category, 'rejected') from rec where rec.id = min(b.id)) as reason from t a join t b on b.f = a.f and b.type = a.type and b.status = 'rejected' and a.status = 'active' and a.f <> '' group by a.id"""))(lambda s, d: _rejected(s, d))
 
 
 def _rejected(s, d):
-    """Active records whose normalised title a rejected record of their type bears."""
+    """Active records whose normalised title a rejected record of their type bears, with what that record says of itself: why it
+    went stale, else its category."""
     rows = m.records(s, d).where("title is not null").select("id", "type", "status", consolidate.normalised_title(F.col("title")).alias("f")).where("f <> ''")
     bad = rows.where("status = 'rejected'").groupBy("type", "f").agg(F.min("id").alias("rejected_id"))
-    return rows.where("status = 'active'").join(bad, ["type", "f"]).select("id", "rejected_id")
+    why = m.records(s, d).select(F.col("id").alias("rejected_id"), F.coalesce("stale_reason", "category", F.lit("rejected")).alias("reason"))
+    return rows.where("status = 'active'").join(bad, ["type", "f"]).join(why, "rejected_id").select("id", "rejected_id", "reason")
 
 
 def active_vectors(s, d):

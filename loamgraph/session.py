@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +49,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage; a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def together(spark: SparkSession, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The results of steps that do not depend on each other and start jobs of their own; the jobs run side by side."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]

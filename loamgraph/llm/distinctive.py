@@ -42,17 +42,15 @@ def word_graph(record: np.ndarray, term: np.ndarray, width: int, window: int) ->
 
     `record` ascends; `term` holds codes below `width`.
     """
-    cell, tf = np.unique(record * width + term, return_counts=True)
+    place = record * width + term
+    cell, of, tf = np.unique(place, return_inverse=True, return_counts=True)
     edges = []
     for step in range(1, window):
-        a, b = slice(None, -step), slice(step, None)
-        near = (record[a] == record[b]) & (term[a] != term[b])
-        r, x, y = record[a][near], term[a][near], term[b][near]
-        edges += [(r * width + x) * width + y, (r * width + y) * width + x]
-    degree = np.zeros(len(cell), np.int64)
-    if edges and sum(map(len, edges)):
-        owner, n = np.unique(np.unique(np.concatenate(edges)) // width, return_counts=True)
-        degree[np.searchsorted(cell, owner)] = n
+        near = np.flatnonzero((record[:-step] == record[step:]) & (term[:-step] != term[step:]))
+        x, y = of[near], of[near + step]  # cells, which ascend with record and term
+        edges.append(np.minimum(x, y) * len(cell) + np.maximum(x, y))
+    pairs = np.unique(np.concatenate(edges)) if edges else np.empty(0, np.int64)  # an edge counts once, for both of its ends
+    degree = np.bincount(pairs // max(len(cell), 1), minlength=len(cell)) + np.bincount(pairs % max(len(cell), 1), minlength=len(cell))
     return cell // width, cell % width, tf, degree
 
 

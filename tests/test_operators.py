@@ -3,6 +3,7 @@
 import sqlite3
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,52 @@ def test_bm25_matches_sqlite(spark):
             assert mine[k] == pytest.approx(theirs[k], abs=2e-6)
 
 
+def test_bm25_tokenises_every_document_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def tokens(text: pd.Series) -> pd.Series:
+        seen.add(len(text))
+        return text.str.split(" ")
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5}") for i in range(40)], "doc_id int, text string")
+    q = spark.createDataFrame([(0, ["w1"]), (1, ["w2", "w4"])], "query_id int, terms array<string>")
+    assert lexical.bm25(docs, q, {"text": 1.0}, 3, tokens).count() == 6
+    assert seen.value == 40
+
+
+@pytest.mark.parametrize("names", [int, lambda i: f"d{i}"])
+def test_bm25_passes_ties_and_ids_that_repeat(spark, monkeypatch, names):
+    monkeypatch.setattr(lexical, "STATE", 12)
+    kind = type(names(0)).__name__.replace("str", "string")
+    texts = [" ".join(f"w{j}" for j in range(12) if (i * 7 + j * j) % 5 < 2) for i in range(60)] + ["w1 w4 w9", "", None]
+    rows = [(names(i % 58), t, f"w{i % 4}") for i, t in enumerate(texts)] + [(None, "w1 w2", None)]
+    asks = [["w1", "w1"], ["w2", "w7"], ["w7", "w2"], ["zz"], [], None, ["w0", "w3", "w5", "w8"], ["w4"], [None, "w4"], ["w9", "w10"]]
+    found, lengths = {}, []
+    for name, *fields in rows:
+        lists = [[w for w in (t or "").split()] for t in fields]
+        lengths.append((name, sum(map(len, lists))))
+        for weight, ts in zip((1.0, 5.0), lists):
+            for t in ts:
+                found[name, t] = found.get((name, t), 0) + weight
+    mean, expected = sum(n for _, n in lengths) / len(lengths), []
+    for q, ask in enumerate(asks):
+        score = {}
+        for t in {*(ask or [])} - {None}:
+            n = sum(u == t for _, u in found)
+            idf = max(np.log((len(lengths) - n + 0.5) / (n + 0.5)), lexical.IDF_FLOOR)
+            for name, length in lengths:
+                if name is not None and (name, t) in found:
+                    f = found[name, t]
+                    score[name] = score.get(name, 0) + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))
+        best = sorted((-round(v, 9), name) for name, v in score.items())[:5]
+        expected += [(q, name, rank) for rank, (_, name) in enumerate(best, 1)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, title string").repartition(5)
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id int, terms array<string>")
+    assert values(lexical.bm25(docs, q, {"text": 1.0, "title": 5.0}, 5), "query_id", "doc_id", "rank") == sorted(expected)
+    assert lexical.bm25(docs, q.limit(0), {"text": 1.0}, 5).collect() == lexical.bm25(docs.limit(0), q, {"text": 1.0}, 5).collect() == []
+
+
 def test_porter_matches_sqlite():
     con = sqlite3.connect(":memory:")
     try:

@@ -301,7 +301,9 @@ union all select 'knowledge_index', coalesce(category, 'other'), coalesce(catego
 
 
 def pointers(s, d):
-    kept = context.fitted(context.priority(sections(s, d)), BUDGET)
+    from loamgraph.session import durable
+
+    kept = durable(context.fitted(context.priority(sections(s, d)), BUDGET).select("query_id", "source", "id", "title", "relevance", "cost", "fate"))  # read twice
     room = kept.where("fate <> 'dropped'").groupBy("query_id").agg(F.greatest(F.lit(BUDGET + 60) - F.least(F.sum("cost"), F.lit(BUDGET)), F.lit(0)).alias("available"))
     return context.pointer_index(kept.where("fate = 'dropped'"), room).select("query_id", "id", "rank")
 

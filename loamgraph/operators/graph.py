@@ -152,7 +152,12 @@ def title_overlap(title: Column, terms: Column) -> Column:
     """How many tokens of a title are among the query's."""
     from loamgraph.operators.lexical import tokenize
 
-    return F.size(F.filter(tokenize(title), lambda t: F.array_contains(terms, t)))
+    return word_overlap(tokenize(title), terms)
+
+
+def word_overlap(words: Column, terms: Column) -> Column:
+    """title_overlap() of a title's tokens, for titles that many rows bear."""
+    return F.size(F.filter(words, lambda t: F.array_contains(terms, t)))
 
 
 def sibling_score(seed: Column, overlap: Column) -> Column:

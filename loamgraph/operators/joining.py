@@ -29,10 +29,12 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, a: tuple[str,
     return pairs.where(F.col("bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width)).drop("bin")
 
 
-def siblings(edges: DataFrame) -> DataFrame:
-    """(anchor, sibling): members of a file reach all members through it, a file reaches its members."""
+def siblings(edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(anchor, sibling): members of a file reach all members through it, a file reaches its members; of the `wanted` anchors
+    (anchor) only, where they are given."""
     contains = edges.where("edge_type = 'contains'").select(F.col("source_id").alias("file"), F.col("target_id").alias("member"))
     anchors = contains.select(F.col("member").alias("anchor"), "file").unionByName(contains.select(F.col("file").alias("anchor"), "file")).distinct()
+    anchors = anchors if wanted is None else anchors.join(wanted, "anchor", "left_semi")
     return anchors.join(contains, "file").select("anchor", F.col("member").alias("sibling")).distinct()
 
 

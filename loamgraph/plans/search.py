@@ -1,7 +1,7 @@
 """The whole search over records: direct results of both channels, then everything that leads on from them.
 
 Questions are the titles (and vectors) of the active records whose id's last four hexadecimal digits make a number divisible by
-20; they are asked of all active records. Postings, vectors, edges and lists are written once and read by every step.
+20; they are asked of all active records. Vectors, edges and lists are written once and read by every step.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ FIELDS = {"title": 5.0, "content": 1.0, "search_terms": 0.5}
 # Decays of what leads on from the direct results, the least cosine of a direct seed, the bounds of a weak one.
 PRF_DECAY, DEEP_DECAY, WEAK_DECAY, DIRECT_COSINE, WEAK_BOUNDS = 0.3, 0.25, 0.3, 0.7, (0.5, 1.0)
 FEEDBACK, HEAD, STRENGTH, GRADIENT = 5, 10, 3, 5
+#: Ids of active records that are sent to every task; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 @dataclass
@@ -34,8 +36,6 @@ class Corpus:
     edges: DataFrame
     vectors: DataFrame
     questions: DataFrame
-    found: DataFrame
-    lengths: DataFrame
     drifted: DataFrame
     curated: DataFrame
     changes: DataFrame
@@ -49,24 +49,23 @@ def corpus(spark: SparkSession, folder: str) -> Corpus:
     unit = consolidate.with_unit(rows).groupBy("id").agg(F.first("channel").alias("channel"), F.min("embedding").alias("embedding"))
     asked = live.where(F.pmod(F.conv(F.substring("id", -4, 4), 16, 10).cast("int"), F.lit(20)) == 0)
     questions = asked.select(F.col("id").alias("query_id"), F.col("title").alias("text"), lexical.index_tokens(F.col("title")).alias("terms"))
-    found, lengths = lexical.postings(live.withColumnRenamed("id", "doc_id"), FIELDS)
     drifted = drift.drift_counts(drift.drift(upkeep.verified(spark, folder), every))
-    edges, unit, found, lengths, drifted, changes = together(
-        spark, lambda: m.durable_edges(spark, folder), lambda: durable(unit), lambda: durable(found), lambda: durable(lengths), lambda: durable(drifted), lambda: durable(changes_of(spark, folder, live))
-    )
+    edges, unit, drifted, changes = together(spark, lambda: m.durable_edges(spark, folder), lambda: durable(unit), lambda: durable(drifted), lambda: durable(changes_of(spark, folder, live)))
     curated = edges.where(F.col("edge_type").isin(graph.CURATED)).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("in_degree"))
-    return Corpus(live, edges, unit, questions, found, lengths, drifted, curated, changes)
+    return Corpus(live, edges, unit, questions, drifted, curated, changes)
 
 
 def changes_of(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
-    """(term, id, change_id): files that were saved between a prompt and the workspace's next boundary, under the content
-    terms of the prompt. A file's record is the smallest id of its path."""
+    """(term, id, n, df): how often files were saved between a prompt and the workspace's next boundary, under the content terms of
+    the prompt, and how many prompts of the term had such files. A file's record is the smallest id of its path."""
     log = durable(m.saves(spark, folder))
     files = records.where("type = 'file' and file_path is not null").groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("id"))
     prompts = log.where("kind = 'prompt_submit' and workspace is not null and prompt is not null")
     saved = mining.saves_after(log, prompts).distinct().join(files, "path")
     terms = prompts.select(F.col("id").alias("anchor_id"), F.explode(F.array_distinct(lexical.content_terms(F.col("prompt")))).alias("term"))
-    return saved.join(terms, "anchor_id").select("term", "id", F.col("anchor_id").alias("change_id"))
+    rows = durable(saved.join(terms, "anchor_id").select("term", "id", "anchor_id"))
+    often = rows.groupBy("term").agg(F.count_distinct("anchor_id").alias("df"))
+    return rows.groupBy("term", "id").agg(F.count("*").alias("n")).join(often, "term")
 
 
 def _numbered(df: DataFrame, by: tuple[str, ...], order: list) -> DataFrame:
@@ -76,11 +75,15 @@ def _numbered(df: DataFrame, by: tuple[str, ...], order: list) -> DataFrame:
 def lists(c: Corpus) -> tuple[DataFrame, DataFrame]:
     """Lexical and vector lists: (query_id, id, channel, rank[, distance]), three times the limit of each."""
     kinds = c.records.select("id", "channel")
-    fts = lexical.best_documents(c.found, c.lengths, c.questions, 3 * LIMIT).select("query_id", F.col("doc_id").alias("id"), "rank")
+    words = lambda: durable(lexical.bm25(documents(c), c.questions, FIELDS, 3 * LIMIT).select("query_id", F.col("doc_id").alias("id"), "rank").join(kinds, "id"))
     asked = c.vectors.join(c.questions.select(F.col("query_id").alias("id")), "id", "left_semi")
-    parts = [vectors.nearest(c.vectors.where(F.col("channel") == k), asked.where(F.col("channel") == k), 3 * LIMIT) for k in ("code", "knowledge")]
-    near = reduce(DataFrame.unionByName, parts)
-    return tuple(together(c.records.sparkSession, lambda: durable(fts.join(kinds, "id")), lambda: durable(near.join(kinds, "id"))))
+    near = lambda k: durable(vectors.nearest(c.vectors.where(F.col("channel") == k), asked.where(F.col("channel") == k), 3 * LIMIT).join(kinds, "id"))
+    fts, *parts = together(c.records.sparkSession, words, lambda: near("code"), lambda: near("knowledge"))
+    return fts, reduce(DataFrame.unionByName, parts)
+
+
+def documents(c: Corpus) -> DataFrame:
+    return c.records.select(F.col("id").alias("doc_id"), *FIELDS)
 
 
 def signals(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
@@ -100,8 +103,7 @@ def covered(c: Corpus, fts: DataFrame) -> DataFrame:
     head = fts.where(F.col("rank") <= HEAD).join(c.records.select("id", F.lower(F.concat_ws(" ", "title", "content")).alias("t")), "id")
     head = head.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), " ").alias("text"))
     terms = c.questions.select(F.explode(lexical.content_terms(F.col("text"))).alias("term")).distinct()
-    df = terms.join(c.found.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-    return lexical.answer_coverage(c.questions.select("query_id", "text"), head, df, c.lengths.agg(F.count("*").alias("n")))
+    return lexical.answer_coverage(c.questions.select("query_id", "text"), head, lexical.document_frequency(documents(c), FIELDS, terms), c.records.agg(F.count("*").alias("n")))
 
 
 def direct_results(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
@@ -140,24 +142,28 @@ def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) ->
     led = part(paths.withColumnRenamed("node", "id"), graph.expansion_score(F.col("own"), F.col("depth"), F.col("types")), 2, "path")
     # Classes in the files of direct results, and files that changed under the question's terms.
     terms = c.questions.select("query_id", lexical.tokenize(F.col("text")).alias("asked"))
-    members = c.records.where("type = 'class'").where(~F.coalesce(code.is_test_file(F.col("file_path")), F.lit(False)))
-    beside = direct.select("query_id", F.col("id").alias("anchor"), "score").join(joining.siblings(c.edges), "anchor").where("anchor <> sibling")
-    beside = beside.join(members.select(F.col("id").alias("sibling"), "title"), "sibling").join(terms, "query_id")
-    sibling = part(beside.withColumnRenamed("sibling", "id").withColumnRenamed("score", "own"), graph.sibling_score(F.col("own"), graph.title_overlap(F.col("title"), F.col("asked"))), 3, "sibling")
+    words = durable(c.records.select("id", "type", "file_path", lexical.tokenize(F.col("title")).alias("words")))
+    members = words.where("type = 'class'").where(~F.coalesce(code.is_test_file(F.col("file_path")), F.lit(False)))
+    beside = direct.select("query_id", F.col("id").alias("anchor"), "score").join(joining.siblings(c.edges, direct.select(F.col("id").alias("anchor")).distinct()), "anchor").where("anchor <> sibling")
+    beside = beside.join(members.select(F.col("id").alias("sibling"), "words"), "sibling").join(terms, "query_id")
+    sibling = part(beside.withColumnRenamed("sibling", "id").withColumnRenamed("score", "own"), graph.sibling_score(F.col("own"), graph.word_overlap(F.col("words"), F.col("asked"))), 3, "sibling")
     wanted = c.questions.join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.explode(F.array_distinct(lexical.content_terms(F.col("text")))).alias("term"))
-    often = c.changes.groupBy("term").agg(F.count_distinct("change_id").alias("df"))
-    idf = wanted.join(c.changes, "term").join(often, "term").groupBy("query_id", "id").agg(F.sum(1 / F.col("df")).alias("idf"), F.count("*").alias("cnt"))
-    idf = idf.join(c.records.select("id", "title"), "id").join(terms, "query_id").join(top, "query_id")
-    changed = part(idf, graph.cochange_score(F.col("idf"), graph.title_overlap(F.col("title"), F.col("asked")), F.col("cnt")), 4, "co-change")
+    idf = wanted.join(c.changes, "term").groupBy("query_id", "id").agg(F.sum(F.col("n") / F.col("df")).alias("idf"), F.sum("n").alias("cnt"))
+    idf = idf.join(words.select("id", "words"), "id").join(terms, "query_id")
+    changed = part(idf, graph.cochange_score(F.col("idf"), graph.word_overlap(F.col("words"), F.col("asked")), F.col("cnt")), 4, "co-change")
     # The question widened by the terms of its first documents; deep ranks that both lists hold.
     feedback = fts.where(F.col("rank") <= FEEDBACK).join(c.records.select("id", "title", "content"), "id").withColumnRenamed("id", "doc_id")
     new = lexical.expansion_terms(feedback, c.questions).groupBy("query_id").agg(F.collect_list("term").alias("more"))
     wider = c.questions.join(new, "query_id").join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.concat("terms", "more").alias("terms"))
-    novel = lexical.best_documents(c.found, c.lengths, wider, LIMIT).select("query_id", F.col("doc_id").alias("id")).join(fts.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    novel = lexical.bm25(documents(c), wider, FIELDS, LIMIT).select("query_id", F.col("doc_id").alias("id")).join(fts.select("query_id", "id"), ["query_id", "id"], "left_anti")
     prf = part(novel.join(top, "query_id"), F.col("top") * PRF_DECAY, 6, "feedback")
     deep = fusion.corroborated(fts.select("query_id", "id", "rank").unionByName(knn.select("query_id", "id", "rank")).where(F.col("rank") > LIMIT))
     deep = part(deep.join(top, "query_id"), F.col("top") * DEEP_DECAY, 7, "deep")
-    return reduce(DataFrame.unionByName, [strong, led, sibling, changed, weak, prf, deep])
+    # Only the graph leads to records that are not active.
+    live = c.records.select("id")
+    live = F.broadcast(live) if live.count() <= BROADCAST_IDS else live
+    led_on = reduce(DataFrame.unionByName, [strong, led, weak]).where(F.col("score") >= fusion.MIN_RELEVANCE).join(live, "id", "left_semi")
+    return reduce(DataFrame.unionByName, [led_on, sibling, changed, prf, deep]).where(F.col("score") >= fusion.MIN_RELEVANCE)
 
 
 def search(spark: SparkSession, folder: str, c: Corpus | None = None) -> DataFrame:
@@ -166,9 +172,9 @@ def search(spark: SparkSession, folder: str, c: Corpus | None = None) -> DataFra
     c = c or corpus(spark, folder)
     fts, knn = lists(c)
     direct = durable(direct_results(c, fts, knn))
-    more = expansions(c, fts, knn, direct).join(direct.select("query_id", "id"), ["query_id", "id"], "left_anti").where(F.col("query_id") != F.col("id"))
-    more = more.join(c.records.select("id"), "id", "left_semi").where(F.col("score") >= fusion.MIN_RELEVANCE)
+    more = expansions(c, fts, knn, direct).where(F.col("query_id") != F.col("id"))
     claimed = more.groupBy("query_id", "id").agg(F.min(F.struct("place", (-F.round("score", 9)).alias("less"), "channel")).alias("c")).select("query_id", "id", (-F.col("c.less")).alias("score"), "c.channel")
+    claimed = claimed.join(direct.select("query_id", "id").hint("shuffle_hash"), ["query_id", "id"], "left_anti")  # by the keys of the claims
     kept = _numbered(graph.capped(claimed, LIMIT), ("query_id",), [F.desc("score"), "id"]).where(F.col("rank") <= LIMIT)
     out = direct.select("query_id", "id", F.lit("direct").alias("channel"), "rank", F.round("score", 6).alias("relevance"))
     return out.unionByName(kept.select("query_id", "id", "channel", (F.col("rank") + LIMIT).alias("rank"), F.round("score", 6).alias("relevance")))

@@ -415,3 +415,34 @@ def test_metrics(spark):
     out = {r.query_id: r for r in metrics.scores(results, expected).collect()}
     assert (out["q"].p_at_k, out["q"].mrr, out["q"].recall) == (0.2, 0.5, 1.0)
     assert out["n"].negative_ok and out["n"].p_at_k is None and out["m"].recall == 0.0 and out["m"].mrr == 0.0
+
+
+def test_silenced_lists_are_made_once(spark, monkeypatch):
+    from loamgraph.plans import retrieval
+
+    calls, own = [], lexical.bm25
+    monkeypatch.setattr(lexical, "bm25", lambda *a, **k: calls.append(1) or own(*a, **k))
+    retrieval.QUERIES["rnk12_silence_gate"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+def test_pointers_read_the_fitted_sections_once(spark):
+    from loamgraph.plans import upkeep
+
+    plan = upkeep.pointers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "relation" not in plan.lower()
+
+
+def test_changes_of_a_term_are_counted_per_file(spark):
+    from loamgraph.plans import model, search
+
+    live = model.records(spark, "/root/testdata/sf0.001").where("status = 'active' and title is not null")
+    rows = search.changes_of(spark, "/root/testdata/sf0.001", live)
+    assert rows.columns == ["term", "id", "n", "df"]
+    assert rows.groupBy("term", "id").count().where("count > 1").count() == 0
+
+
+def test_siblings_of_wanted_anchors(spark):
+    edges = spark.createDataFrame([("f", "a", "contains"), ("f", "b", "contains"), ("g", "c", "contains")], "source_id string, target_id string, edge_type string")
+    wanted = spark.createDataFrame([("a",), ("g",)], "anchor string")
+    assert values(joining.siblings(edges, wanted), "anchor", "sibling") == [("a", "a"), ("a", "b"), ("g", "c")]

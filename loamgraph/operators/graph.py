@@ -101,9 +101,10 @@ def orphans(edges: DataFrame, records: DataFrame, kinds: list[str], is_test: Col
     return records.where(F.col("type").isin(kinds) & (F.col("status") == "active")).where(~is_test).join(used, "id", "left_anti")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | None = None, per_seed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | None = None, per_seed: bool = False, by: tuple[str, ...] = (), trail: bool = True) -> DataFrame:
     """(by…, seed, node, depth, path, types): traversal from all seeds (by…, seed) of a group at once, each node claimed once
-    per group, or, `per_seed`, once for every seed. path: ids from the seed on, types: the edge types between them.
+    per group, or, `per_seed`, once for every seed. path: ids from the seed on (left out without `trail`), types: the edge types
+    between them.
 
     Where several edges lead from the frontier to a node, the heaviest type claims it, then the smallest source, target and
     type. Both directions are followed.
@@ -112,14 +113,17 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | Non
     links = both_ways(used).withColumn("w", edge_weight(F.col("edge_type")))
     scope = [*by, "seed", "node"] if per_seed else [*by, "node"]
     found = seeds.select(*by, "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("types")).distinct()
+    found = found if trail else found.drop("path")
+    carried = ["path", "types"] if trail else ["types"]  # an edge and its claim name one row of the frontier, so they decide nothing
     frontier = found
     for depth in range(1, hops + 1):
         step = frontier.drop("depth").join(links, F.col("node") == F.col("here")).drop("node").withColumnRenamed("there", "node")
         new = step.join(found.select(*scope), scope, "left_anti")
         # The smallest claim, not a sorted window: claims of a contested node are combined before they are shuffled.
-        claim = F.min(F.struct((-F.col("w")).alias("less"), "source_id", "target_id", "edge_type", F.col("seed").alias("of"), "path", "types")).alias("c")
-        taken = new.groupBy(*scope).agg(claim).select(*by, F.col("c.of").alias("seed"), "node", "c.path", "c.types", "c.edge_type")
-        frontier = taken.select(*by, "seed", "node", F.lit(depth).alias("depth"), F.array_append("path", F.col("node")).alias("path"), F.array_append("types", F.col("edge_type")).alias("types"))
+        claim = F.min(F.struct((-F.col("w")).alias("less"), "source_id", "target_id", "edge_type", F.col("seed").alias("of"), *carried)).alias("c")
+        taken = new.groupBy(*scope).agg(claim).select(*by, F.col("c.of").alias("seed"), "node", *[f"c.{x}" for x in carried], "c.edge_type")
+        longer = [F.array_append(x, F.col(end)).alias(x) for x, end in (("path", "node"), ("types", "edge_type")) if x in carried]
+        frontier = taken.select(*by, "seed", "node", F.lit(depth).alias("depth"), *longer)
         frontier = durable(frontier) if depth < hops else frontier
         found = found.unionByName(frontier)
     return found.where("depth > 0")
@@ -133,7 +137,7 @@ def graph_first(seeds: DataFrame, edges: DataFrame, exclude: DataFrame | None =
     """(by…, node, score, direct): nodes reached from weighted seeds (by…, seed, weight, direct) over curated edges, scored by
     the sum of weight * decay ** hops * edge weights over the seeds that reach them; scores below SCORE_FLOOR and excluded ids
     (by…, id) are left out. A seed's paths do not depend on its group and are made once."""
-    paths = expand(seeds.select("seed").distinct(), edges, hops, CURATED, per_seed=True).join(seeds, "seed")
+    paths = expand(seeds.select("seed").distinct(), edges, hops, CURATED, per_seed=True, trail=False).join(seeds, "seed")
     part = F.col("weight") * F.pow(F.lit(decay), F.col("depth")) * path_weight(F.col("types"))
     rows = paths.groupBy(*by, "node").agg(F.round(F.sum(part), 9).alias("score"), F.max("direct").alias("direct")).where(F.col("score") >= SCORE_FLOOR)
     return rows if exclude is None else rows.join(exclude.select(*by, F.col("id").alias("node")).distinct(), [*by, "node"], "left_anti")

@@ -21,8 +21,8 @@ query("rnk14_search")(search.search)
 
 def answers(s, d) -> DataFrame:
     """(query_id, results): each question's results as JSON, with titles."""
-    titles = m.records(s, d).select("id", "title")
-    return sinks.as_json(search.search(s, d).join(titles, "id"), "query_id", "results", ["rank"])
+    c = search.corpus(s, d)  # whose records all results are
+    return sinks.as_json(search.search(s, d, c).join(c.records.select("id", "title"), "id"), "query_id", "results", ["rank"])
 
 
 query("snk4_json_answers")(answers)

@@ -109,61 +109,81 @@ def covered(c: Corpus, fts: DataFrame) -> DataFrame:
 def direct_results(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
     """(query_id, id, channel, score, rank): fused by rank, normalised, weighed by channel, demoted by drift, lifted by curated
     in-degree, diversified, with slots and quotas; none where the answers do not cover the question."""
-    weights = fusion.detect_shares(signals(c, fts, knn)).select("query_id", "code_weight", "knowledge_weight")
+    weights, gate = together(
+        c.records.sparkSession,
+        lambda: durable(fusion.detect_shares(signals(c, fts, knn)).select("query_id", "code_weight", "knowledge_weight")),
+        lambda: durable(covered(c, fts)),
+    )
     by = ("query_id", "channel")
     one = lambda df, weight: _numbered(df.where(F.col("rank") <= LIMIT), by, ["rank", "id"]).select(*by, "id", "rank", F.lit(weight).alias("weight"))
     fused = fusion.normalised(fusion.reciprocal_rank(one(fts, 0.4).unionByName(one(knn, 0.6)), list(by)), list(by))
     rows = fusion.merge_channels(fused, weights)
     rows = fusion.provenance_prior(fusion.drift_demotion(rows, c.drifted), c.curated)
-    rows = _numbered(rows, ("query_id",), [F.desc("score"), "id"])
+    rows = durable(_numbered(rows, ("query_id",), [F.desc("score"), "id"]))
     rows = fusion.diversified(rows.join(weights, "query_id").join(c.vectors.select("id", "embedding"), "id", "left"))
     rows = fusion.with_quotas(fusion.with_slots(rows, LIMIT), LIMIT).where(F.col("rank") <= LIMIT)
-    return fusion.silence_gate(rows, covered(c, fts)).select("query_id", "id", "channel", "score", "rank")
+    return fusion.silence_gate(rows, gate).select("query_id", "id", "channel", "score", "rank")
 
 
 def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) -> DataFrame:
-    """(query_id, id, score, place, channel) of all that leads on; the smaller `place` wins an id."""
+    """(query_id, id, score, place, channel) of all that leads on; the smaller `place` wins an id. Every kind is a plan of its own
+    and written: the driver's time and memory for one plan of all grow faster than its length."""
+    spark = direct.sparkSession
     top = direct.where("rank = 1").select("query_id", F.col("score").alias("top"))
-    part = lambda df, score, place, channel: df.select("query_id", "id", score.alias("score"), F.lit(place).alias("place"), F.lit(channel).alias("channel"))
-    # Records reached from the best of both lists over curated edges.
-    cosine = vectors.l2_to_cosine(F.col("distance"))
-    seeds = graph.seed_weights([fts.select("query_id", "id", "rank", F.lit(True).alias("direct")), knn.select("query_id", "id", "rank", (cosine >= DIRECT_COSINE).alias("direct"))])
+    part = lambda df, score, place, channel: df.select("query_id", "id", score.alias("score"), F.lit(place).alias("place"), F.lit(channel).alias("channel")).where(F.col("score") >= fusion.MIN_RELEVANCE)
     scores = direct.select("query_id", F.col("id").alias("seed"), F.col("score").alias("own"))
-    reached, paths = together(
-        direct.sparkSession,
-        lambda: durable(graph.graph_first(seeds.join(top.select("query_id"), "query_id", "left_semi"), c.edges, by=("query_id",))),
-        lambda: graph.expand(scores, c.edges, 2, by=("query_id",)),
+    terms, words = together(
+        spark,
+        lambda: durable(c.questions.select("query_id", lexical.tokenize(F.col("text")).alias("asked"))),
+        lambda: durable(c.records.select("id", "type", "file_path", lexical.tokenize(F.col("title")).alias("words"))),
     )
-    reached = reached.withColumnRenamed("node", "id").join(top, "query_id")
-    strong = part(reached.where("direct"), F.col("top") * F.least("score", F.lit(WEAK_BOUNDS[1])), 1, "graph-first")
-    weak = part(reached.where("not direct"), F.col("top") * WEAK_DECAY * F.least(F.greatest("score", F.lit(WEAK_BOUNDS[0])), F.lit(WEAK_BOUNDS[1])), 5, "weak")
-    # Paths from the direct results over all edges.
-    paths = paths.join(scores, ["query_id", "seed"])
-    led = part(paths.withColumnRenamed("node", "id"), graph.expansion_score(F.col("own"), F.col("depth"), F.col("types")), 2, "path")
-    # Classes in the files of direct results, and files that changed under the question's terms.
-    terms = c.questions.select("query_id", lexical.tokenize(F.col("text")).alias("asked"))
-    words = durable(c.records.select("id", "type", "file_path", lexical.tokenize(F.col("title")).alias("words")))
-    members = words.where("type = 'class'").where(~F.coalesce(code.is_test_file(F.col("file_path")), F.lit(False)))
-    beside = direct.select("query_id", F.col("id").alias("anchor"), "score").join(joining.siblings(c.edges, direct.select(F.col("id").alias("anchor")).distinct()), "anchor").where("anchor <> sibling")
-    beside = beside.join(members.select(F.col("id").alias("sibling"), "words"), "sibling").join(terms, "query_id")
-    sibling = part(beside.withColumnRenamed("sibling", "id").withColumnRenamed("score", "own"), graph.sibling_score(F.col("own"), graph.word_overlap(F.col("words"), F.col("asked"))), 3, "sibling")
-    wanted = c.questions.join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.explode(F.array_distinct(lexical.content_terms(F.col("text")))).alias("term"))
-    idf = wanted.join(c.changes, "term").groupBy("query_id", "id").agg(F.sum(F.col("n") / F.col("df")).alias("idf"), F.sum("n").alias("cnt"))
-    idf = idf.join(words.select("id", "words"), "id").join(terms, "query_id")
-    changed = part(idf, graph.cochange_score(F.col("idf"), graph.word_overlap(F.col("words"), F.col("asked")), F.col("cnt")), 4, "co-change")
-    # The question widened by the terms of its first documents; deep ranks that both lists hold.
-    feedback = fts.where(F.col("rank") <= FEEDBACK).join(c.records.select("id", "title", "content"), "id").withColumnRenamed("id", "doc_id")
-    new = lexical.expansion_terms(feedback, c.questions).groupBy("query_id").agg(F.collect_list("term").alias("more"))
-    wider = c.questions.join(new, "query_id").join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.concat("terms", "more").alias("terms"))
-    novel = lexical.bm25(documents(c), wider, FIELDS, LIMIT).select("query_id", F.col("doc_id").alias("id")).join(fts.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    prf = part(novel.join(top, "query_id"), F.col("top") * PRF_DECAY, 6, "feedback")
-    deep = fusion.corroborated(fts.select("query_id", "id", "rank").unionByName(knn.select("query_id", "id", "rank")).where(F.col("rank") > LIMIT))
-    deep = part(deep.join(top, "query_id"), F.col("top") * DEEP_DECAY, 7, "deep")
     # Only the graph leads to records that are not active.
-    live = c.records.select("id")
+    live = words.select("id")
     live = F.broadcast(live) if live.count() <= BROADCAST_IDS else live
-    led_on = reduce(DataFrame.unionByName, [strong, led, weak]).where(F.col("score") >= fusion.MIN_RELEVANCE).join(live, "id", "left_semi")
-    return reduce(DataFrame.unionByName, [led_on, sibling, changed, prf, deep]).where(F.col("score") >= fusion.MIN_RELEVANCE)
+
+    def reached() -> DataFrame:
+        """Records reached from the best of both lists over curated edges."""
+        cosine = vectors.l2_to_cosine(F.col("distance"))
+        seeds = durable(graph.seed_weights([fts.select("query_id", "id", "rank", F.lit(True).alias("direct")), knn.select("query_id", "id", "rank", (cosine >= DIRECT_COSINE).alias("direct"))]).join(top.select("query_id"), "query_id", "left_semi"))
+        rows = durable(graph.graph_first(seeds, c.edges, by=("query_id",)).withColumnRenamed("node", "id").join(top, "query_id").join(live, "id", "left_semi"))
+        strong = part(rows.where("direct"), F.col("top") * F.least("score", F.lit(WEAK_BOUNDS[1])), 1, "graph-first")
+        weak = part(rows.where("not direct"), F.col("top") * WEAK_DECAY * F.least(F.greatest("score", F.lit(WEAK_BOUNDS[0])), F.lit(WEAK_BOUNDS[1])), 5, "weak")
+        return strong.unionByName(weak)
+
+    def led() -> DataFrame:
+        """Paths from the direct results over all edges."""
+        paths = graph.expand(scores, c.edges, 2, by=("query_id",), trail=False).join(scores, ["query_id", "seed"])
+        rows = part(paths.withColumnRenamed("node", "id"), graph.expansion_score(F.col("own"), F.col("depth"), F.col("types")), 2, "path")
+        return durable(rows.join(live, "id", "left_semi"))
+
+    def sibling() -> DataFrame:
+        """Classes in the files of direct results."""
+        members = words.where("type = 'class'").where(~F.coalesce(code.is_test_file(F.col("file_path")), F.lit(False)))
+        beside = direct.select("query_id", F.col("id").alias("anchor"), "score").join(joining.siblings(c.edges, direct.select(F.col("id").alias("anchor")).distinct()), "anchor").where("anchor <> sibling")
+        beside = beside.join(members.select(F.col("id").alias("sibling"), "words"), "sibling").join(terms, "query_id")
+        return durable(part(beside.withColumnRenamed("sibling", "id").withColumnRenamed("score", "own"), graph.sibling_score(F.col("own"), graph.word_overlap(F.col("words"), F.col("asked"))), 3, "sibling"))
+
+    def changed() -> DataFrame:
+        """Files that changed under the question's terms."""
+        wanted = c.questions.join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.explode(F.array_distinct(lexical.content_terms(F.col("text")))).alias("term"))
+        idf = wanted.join(c.changes, "term").groupBy("query_id", "id").agg(F.sum(F.col("n") / F.col("df")).alias("idf"), F.sum("n").alias("cnt"))
+        idf = idf.join(words.select("id", "words"), "id").join(terms, "query_id")
+        return durable(part(idf, graph.cochange_score(F.col("idf"), graph.word_overlap(F.col("words"), F.col("asked")), F.col("cnt")), 4, "co-change"))
+
+    def widened() -> DataFrame:
+        """What the question finds when widened by the terms of its first documents."""
+        feedback = fts.where(F.col("rank") <= FEEDBACK).join(c.records.select("id", "title", "content"), "id").withColumnRenamed("id", "doc_id")
+        new = lexical.expansion_terms(feedback, c.questions).groupBy("query_id").agg(F.collect_list("term").alias("more"))
+        wider = durable(c.questions.join(new, "query_id").join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.concat("terms", "more").alias("terms")))
+        novel = lexical.bm25(documents(c), wider, FIELDS, LIMIT).select("query_id", F.col("doc_id").alias("id")).join(fts.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        return durable(part(novel.join(top, "query_id"), F.col("top") * PRF_DECAY, 6, "feedback"))
+
+    def deep() -> DataFrame:
+        """Deep ranks that both lists hold."""
+        both = fusion.corroborated(fts.select("query_id", "id", "rank").unionByName(knn.select("query_id", "id", "rank")).where(F.col("rank") > LIMIT))
+        return durable(part(both.join(top, "query_id"), F.col("top") * DEEP_DECAY, 7, "deep"))
+
+    return reduce(DataFrame.unionByName, together(spark, reached, led, sibling, changed, widened, deep))
 
 
 def search(spark: SparkSession, folder: str, c: Corpus | None = None) -> DataFrame:

@@ -78,3 +78,9 @@ def test_metrics_with_packs_and_bounds(spark):
     rows = {r.query_id: r for r in metrics.scores(results, expected, packed=packed).collect()}
     assert (rows["q"].mrr, rows["q"].recall, rows["q"].pack_recall, rows["n"].negative_ok) == (0.5, 1.0, 0.5, True)
     assert metrics.interval({1.0: 1}) is None and metrics.interval({0.0: 50, 1.0: 50})[0] < 0.5 < metrics.interval({0.0: 50, 1.0: 50})[1]
+
+
+def test_search_writes_every_kind_of_expansion(spark, small):
+    """One plan of all expansions has hundreds of exchanges, for which a driver's time and memory do not do."""
+    plan = search.search(spark, SMALL, small[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 30

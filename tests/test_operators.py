@@ -446,3 +446,33 @@ def test_siblings_of_wanted_anchors(spark):
     edges = spark.createDataFrame([("f", "a", "contains"), ("f", "b", "contains"), ("g", "c", "contains")], "source_id string, target_id string, edge_type string")
     wanted = spark.createDataFrame([("a",), ("g",)], "anchor string")
     assert values(joining.siblings(edges, wanted), "anchor", "sibling") == [("a", "a"), ("a", "b"), ("g", "c")]
+
+
+def test_diversified_lists_over_batches_and_fast_orders(spark):
+    """Lists that span batches, and those without two vectors in a channel, come out as mmr_order() has them."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for q in range(60):
+        for i in range(int(rng.integers(1, 9))):
+            vector = None if q % 3 == 0 or rng.random() < 0.4 else [] if rng.random() < 0.1 else [float(x) for x in rng.integers(-2, 3, 3 if rng.random() < 0.9 else 2)]
+            rows.append((q, str(rng.choice(["code", "knowledge"])), i, float(rng.integers(1, 4)) / 4, i + 1, 0.5, 0.5, vector))
+    schema = "query_id int, channel string, id int, score double, rank int, code_weight double, knowledge_weight double, embedding array<float>"
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.query_id, r.id): r["rank"] for r in fusion.diversified(spark.createDataFrame(rows, schema)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    wanted = {}
+    for q in range(60):
+        own = [r for r in rows if r[0] == q]
+        order = fusion.mmr_order(np.array([r[3] for r in own]), np.array([r[1] for r in own]), [None if r[7] is None else np.array(r[7], np.float32) for r in own])
+        wanted |= {(q, own[i][2]): n + 1 for n, i in enumerate(order)}
+    assert got == wanted
+
+
+def test_diversified_lists_are_no_groups_of_their_own(spark):
+    schema = "query_id int, channel string, id int, score double, rank int, code_weight double, knowledge_weight double, embedding array<float>"
+    plan = fusion.diversified(spark.createDataFrame([], schema))
+    assert plan.count() == 0
+    assert "FlatMapGroupsIn" not in plan._jdf.queryExecution().toString()

@@ -13,6 +13,8 @@ from loamgraph.session import durable
 CURATED = ["references", "supports", "contradicts", "superseded_by", "derived_from", "promoted_from"]
 DEPENDENCY = ["calls", "imports", "extends"]
 SCORE_FLOOR, HOP_DECAY, EXPANSION_DECAY = 0.2, 0.5, 0.3
+#: Of so many expansions one may be by co-change.
+COCHANGE_PART = 4
 
 
 def edge_weight(kind: Column) -> Column:
@@ -101,28 +103,38 @@ def orphans(edges: DataFrame, records: DataFrame, kinds: list[str], is_test: Col
     return records.where(F.col("type").isin(kinds) & (F.col("status") == "active")).where(~is_test).join(used, "id", "left_anti")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | None = None, per_seed: bool = False, by: tuple[str, ...] = (), trail: bool = True) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, hops: int, kinds: list[str] | None = None, per_seed: bool = False, by: tuple[str, ...] = (), trail: bool = True, floor: float | None = None) -> DataFrame:
     """(by…, seed, node, depth, path, types): traversal from all seeds (by…, seed) of a group at once, each node claimed once
     per group, or, `per_seed`, once for every seed. path: ids from the seed on (left out without `trail`), types: the edge types
     between them.
 
     Where several edges lead from the frontier to a node, the heaviest type claims it, then the smallest source, target and
     type. Both directions are followed.
+
+    With a `floor`, seeds have a score `own`, which comes out too, and nodes of the last hop may be left out if their
+    expansion_score() does not reach it: an edge type too light to reach it from any node of its group can neither give such a
+    path nor take a node from a heavier type.
     """
     used = edges if kinds is None else edges.where(F.col("edge_type").isin(kinds))
     links = both_ways(used).withColumn("w", edge_weight(F.col("edge_type")))
     scope = [*by, "seed", "node"] if per_seed else [*by, "node"]
-    found = seeds.select(*by, "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("types")).distinct()
+    own = [] if floor is None else ["own"]
+    found = seeds.select(*by, "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("types"), *own).distinct()
     found = found if trail else found.drop("path")
-    carried = ["path", "types"] if trail else ["types"]  # an edge and its claim name one row of the frontier, so they decide nothing
+    carried = [*(["path", "types"] if trail else ["types"]), *own]  # an edge and its claim name one row of the frontier, so they decide nothing
     frontier = found
     for depth in range(1, hops + 1):
-        step = frontier.drop("depth").join(links, F.col("node") == F.col("here")).drop("node").withColumnRenamed("there", "node")
+        ends, leads = frontier.drop("depth"), F.col("node") == F.col("here")
+        if floor is not None and depth == hops:
+            group = [*by, "seed"] if per_seed else [*by]
+            best = ends.groupBy(*group).agg(F.max(expansion_score(F.col("own"), F.lit(depth), F.col("types"))).alias("best"))
+            ends, leads = ends.join(best, group) if group else ends.crossJoin(best), leads & (F.col("best") * F.col("w") >= floor - 1e-9)
+        step = ends.join(links, leads).drop("node", "best").withColumnRenamed("there", "node")
         new = step.join(found.select(*scope), scope, "left_anti")
         # The smallest claim, not a sorted window: claims of a contested node are combined before they are shuffled.
         claim = F.min(F.struct((-F.col("w")).alias("less"), "source_id", "target_id", "edge_type", F.col("seed").alias("of"), *carried)).alias("c")
         taken = new.groupBy(*scope).agg(claim).select(*by, F.col("c.of").alias("seed"), "node", *[f"c.{x}" for x in carried], "c.edge_type")
-        longer = [F.array_append(x, F.col(end)).alias(x) for x, end in (("path", "node"), ("types", "edge_type")) if x in carried]
+        longer = [*[F.array_append(x, F.col(end)).alias(x) for x, end in (("path", "node"), ("types", "edge_type")) if x in carried], *own]
         frontier = taken.select(*by, "seed", "node", F.lit(depth).alias("depth"), *longer)
         frontier = durable(frontier) if depth < hops else frontier
         found = found.unionByName(frontier)
@@ -179,7 +191,7 @@ def expansion_score(seed: Column, depth: Column, types: Column) -> Column:
 def capped(expansions: DataFrame, limit: int) -> DataFrame:
     """Expansions (query_id, id, score, channel) up to `limit` per query, best first; co-change ones at most a quarter of it
     besides."""
-    quota = F.when(F.col("channel") == "co-change", limit // 4).otherwise(limit)
+    quota = F.when(F.col("channel") == "co-change", limit // COCHANGE_PART).otherwise(limit)
     kind = F.col("channel") == "co-change"
     rank = F.row_number().over(Window.partitionBy("query_id", kind).orderBy(F.desc("score"), "id"))
     return expansions.withColumn("n", rank).where(F.col("n") <= quota).drop("n")

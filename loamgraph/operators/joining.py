@@ -43,14 +43,17 @@ def between_boundaries(log: DataFrame, anchors: DataFrame, wanted: DataFrame, bo
     the same key.
 
     log, anchors and wanted have (key, id), the latter two of rows of log; `boundary` is a condition on log. The wanted rows
-    of a key are numbered through, so an anchor meets its next `most` numbers and nothing else; of these it keeps those in its
-    segment, the count of boundaries before a row.
+    of a key are numbered through, so an anchor meets its next `most` numbers in its segment, the count of boundaries
+    before a row, and nothing else.
     """
     marked = log.select(key, "id", boundary.alias("_bound")).join(wanted.select(key, "id").distinct().withColumn("_wanted", F.lit(1)), [key, "id"], "left")
     marks = running_sums(marked, key, "id", {"segment": F.col("_bound").cast("int"), "number": F.col("_wanted")}).select(key, "id", "segment", "number")
     a = anchors.join(marks, [key, "id"]).withColumnRenamed("id", "anchor_id")
-    a = a.withColumn("number", F.explode(F.sequence(F.col("number") + 1, F.col("number") + most)))
-    return a.join(wanted.join(marks, [key, "id"]), [key, "number", "segment"]).drop("segment", "number")
+    found = wanted.join(marks, [key, "id"])
+    # Numbers grow with segments, so those behind an anchor up to the last of its segment are in it.
+    a = a.join(found.groupBy(key, "segment").agg(F.max("number").alias("last")), [key, "segment"]).where(F.col("last") > F.col("number"))
+    a = a.withColumn("number", F.explode(F.sequence(F.col("number") + 1, F.least(F.col("number") + most, "last")))).drop("last")
+    return a.join(found, [key, "number", "segment"]).drop("segment", "number")
 
 
 def first_successor(calls: DataFrame, order_key: str, window: int = 20) -> DataFrame:

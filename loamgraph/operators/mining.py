@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,92 @@ def saves_after(log: DataFrame, anchors: DataFrame) -> DataFrame:
     return between_boundaries(stretch, anchors.select("workspace", "id"), wanted, F.col("kind").isin(BOUNDARIES), "workspace").select("anchor_id", "path")
 
 
+def best_changed(changes: DataFrame, files: DataFrame, questions: DataFrame, taken: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, score): the `most` best files of each question by graph.cochange_score(), ties by id; neither itself nor
+    the files that are `taken` (query_id, id).
+
+    changes: (term, id, n, df), one row per term and file; files: (id, words); questions: (query_id, asked, terms), the tokens,
+    and those of them, distinct, that are sought among the changes. Files are rows with all their terms and the questions that
+    may not have them; a task scores a batch of files under every question, so their pairs are never rows.
+    """
+    spark = changes.sparkSession
+    listed = questions.select("query_id", "asked", "terms").toArrow().combine_chunks()
+    kind, key = dict(changes.dtypes)["id"], dict(questions.dtypes)["query_id"]
+    if not listed.num_rows:
+        return spark.createDataFrame([], f"query_id {key}, id {kind}, score double")
+    flat = {c: listed[c].combine_chunks() for c in ("asked", "terms")}
+    vocabulary = pc.unique(pa.concat_arrays([x.flatten() for x in flat.values()]))
+    same = defaultdict(list)  # questions of the same tokens are scored once
+    lists = lambda x: np.split(pc.index_in(x.flatten(), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+    for q, (a, t) in enumerate(zip(lists(flat["asked"]), lists(flat["terms"]))):
+        same[tuple(np.unique(a)), tuple(t)].append(q)
+    packed = [(np.cumsum([0, *map(len, x)]), np.concatenate([np.array(v, np.int64) for v in x])) for x in zip(*[(a, t, q) for (a, t), q in same.items()])]
+    shared = spark.sparkContext.broadcast((len(vocabulary), packed))
+    numbered = spark.createDataFrame(pa.table({"query_id": listed["query_id"], "number": pa.array(np.arange(listed.num_rows), pa.int32())}))
+    known = spark.createDataFrame(pa.table({"term": vocabulary, "t": pa.array(np.arange(len(vocabulary)), pa.int32())}))
+    rows = changes.join(known, "term").groupBy("id").agg(*[F.collect_list(F.col(c).cast(k)).alias(c) for c, k in (("t", "int"), ("n", "bigint"), ("df", "bigint"))])
+    names = files.join(rows.select("id"), "id", "left_semi").select("id", F.explode("words").alias("term")).join(known, "term").groupBy("id").agg(F.collect_list("t").alias("words"))
+    none = taken.select("query_id", "id").unionByName(questions.select("query_id", F.col("query_id").cast(kind).alias("id"))).distinct()
+    none = none.join(numbered, "query_id").groupBy("id").agg(F.collect_list("number").alias("taken"))
+    rows = rows.join(names, "id", "left").join(none, "id", "left").select("id", "t", "n", "df", "words", "taken")
+    best = rows.mapInArrow(_changed(shared, most), f"number int, id {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc(F.round("score", 9)), "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= most).join(numbered, "number").select("query_id", "id", "score")
+
+
+def _changed(shared, most: int):
+    """Scores batches of files (id, t, n, df, words, taken) under the questions' sets of terms."""
+
+    def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and values of lists; nulls are empty."""
+        return np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def sorted_by(keys: np.ndarray, n: int, *values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        return np.searchsorted(keys[order], np.arange(n + 1)), *[v[order] for v in values]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_terms, packed = shared.value
+        n_questions = len(packed[2][1])
+        for b in batches:
+            b = b.take(pc.sort_indices(b["id"]))
+            file, t = lines(b["t"])
+            n, df = (lines(b[c])[1] for c in ("n", "df"))
+            at, file, n, part = sorted_by(t, n_terms, file, n, n / df)
+            word_at, word_file = sorted_by(*(lambda f, w: (w, n_terms, f))(*lines(b["words"])))
+            taken_at, taken = sorted_by(*(lambda f, q: (q, n_questions, f))(*lines(b["taken"])))
+            out = []
+            for s in range(len(packed[0][0]) - 1):
+                asked, terms, questions = (values[starts[s] : starts[s + 1]] for starts, values in packed)
+                idf, count, overlap = np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows)
+                for x in terms:
+                    here = slice(at[x], at[x + 1])
+                    idf[file[here]] += part[here]
+                    count[file[here]] += n[here]
+                found = np.flatnonzero(count)
+                if not len(found):
+                    continue
+                for x in asked:
+                    np.add.at(overlap, word_file[word_at[x] : word_at[x + 1]], 1)
+                i = idf[found]
+                score = 0.07 + 0.08 * i / (i + 3.0) + 0.05 * np.minimum(overlap[found], 3) + 0.005 * np.minimum(count[found], 8)
+                value = np.round(score, 9)
+                held = [taken[taken_at[q] : taken_at[q + 1]] for q in questions]
+                enough = most + max(map(len, held))
+                if len(found) > enough:
+                    good = value >= np.partition(value, len(value) - enough)[len(value) - enough]
+                    found, score, value = found[good], score[good], value[good]
+                first = np.argsort(-value, kind="stable")  # files are sorted by id
+                for q, h in zip(questions, held):
+                    own = first[~np.isin(found[first], h)][:most] if len(h) else first[:most]
+                    out.append((np.full(len(own), q), found[own], score[own]))
+            if out:
+                q, place, score = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), b["id"].take(pa.array(place)), pa.array(score)], ["number", "id", "score"])
+
+    return scan
+
+
 def indexed_paths(records: DataFrame) -> DataFrame:
     return records.where("file_path is not null").select(F.col("file_path").alias("path")).distinct()
 

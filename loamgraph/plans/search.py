@@ -16,7 +16,7 @@ from loamgraph.functions import code
 from loamgraph.operators import consolidate, drift, fusion, graph, joining, lexical, mining, vectors
 from loamgraph.plans import model as m
 from loamgraph.plans import upkeep
-from loamgraph.session import durable, together
+from loamgraph.session import durable, released, together
 from loamgraph.sources.tables import table
 
 LIMIT = 10
@@ -30,7 +30,7 @@ BROADCAST_IDS = 200_000
 
 @dataclass
 class Corpus:
-    """What a search reads, written to the shared folder once."""
+    """What a search reads, written to the shared folder once. tokens: the records' index tokens by field, joined by blanks."""
 
     records: DataFrame
     edges: DataFrame
@@ -39,26 +39,31 @@ class Corpus:
     drifted: DataFrame
     curated: DataFrame
     changes: DataFrame
+    tokens: DataFrame
 
 
 def corpus(spark: SparkSession, folder: str) -> Corpus:
     every = durable(m.records(spark, folder))
+    released(spark)
     live = every.where("status = 'active' and title is not null").select("id", "title", "content", "search_terms", "type", "file_path", F.col("space").alias("channel"))
     owned = lambda t: table(spark, folder, t).select(F.lower(F.trim("entity_id")).alias("id"), "embedding").where("size(embedding) = 768")
-    rows = owned("code_embeddings").unionByName(owned("knowledge_embeddings")).join(live.select("id", "channel"), "id")
-    unit = consolidate.with_unit(rows).groupBy("id").agg(F.first("channel").alias("channel"), F.min("embedding").alias("embedding"))
+    # Scaled where they are read, so that join and aggregate share one shuffle of the vectors.
+    rows = consolidate.with_unit(owned("code_embeddings").unionByName(owned("knowledge_embeddings"))).join(live.select("id", "channel"), "id")
+    unit = rows.groupBy("id").agg(F.first("channel").alias("channel"), F.min("embedding").alias("embedding"))
     asked = live.where(F.pmod(F.conv(F.substring("id", -4, 4), 16, 10).cast("int"), F.lit(20)) == 0)
     questions = asked.select(F.col("id").alias("query_id"), F.col("title").alias("text"), lexical.index_tokens(F.col("title")).alias("terms"))
     drifted = drift.drift_counts(drift.drift(upkeep.verified(spark, folder), every))
-    edges, unit, drifted, changes = together(spark, lambda: m.durable_edges(spark, folder), lambda: durable(unit), lambda: durable(drifted), lambda: durable(changes_of(spark, folder, live)))
+    tokens = lambda: durable(live.select(F.col("id").alias("doc_id"), *[F.array_join(lexical.index_tokens(F.col(f)), " ").alias(f) for f in FIELDS]))
+    edges, unit, drifted, changes, tokens = together(spark, lambda: m.durable_edges(spark, folder), lambda: durable(unit), lambda: durable(drifted), lambda: durable(changes_of(spark, folder, live)), tokens)
     curated = edges.where(F.col("edge_type").isin(graph.CURATED)).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("in_degree"))
-    return Corpus(live, edges, unit, questions, drifted, curated, changes)
+    return Corpus(live, edges, unit, questions, drifted, curated, changes, tokens)
 
 
 def changes_of(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
     """(term, id, n, df): how often files were saved between a prompt and the workspace's next boundary, under the content terms of
     the prompt, and how many prompts of the term had such files. A file's record is the smallest id of its path."""
-    log = durable(m.saves(spark, folder))
+    log = m.saves(spark, folder).where(F.col("kind").isin(*mining.BOUNDARIES, "file_save") & F.col("workspace").isNotNull())
+    log = durable(log.select("id", "kind", "workspace", "path", "prompt"))
     files = records.where("type = 'file' and file_path is not null").groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("id"))
     prompts = log.where("kind = 'prompt_submit' and workspace is not null and prompt is not null")
     saved = mining.saves_after(log, prompts).distinct().join(files, "path")
@@ -75,17 +80,13 @@ def _numbered(df: DataFrame, by: tuple[str, ...], order: list) -> DataFrame:
 def lists(c: Corpus) -> tuple[DataFrame, DataFrame]:
     """Lexical and vector lists: (query_id, id, channel, rank[, distance]), three times the limit of each."""
     kinds = c.records.select("id", "channel")
-    words = lambda: durable(lexical.bm25(documents(c), c.questions, FIELDS, 3 * LIMIT).select("query_id", F.col("doc_id").alias("id"), "rank").join(kinds, "id"))
+    words = lambda: durable(lexical.bm25(c.tokens, c.questions, FIELDS, 3 * LIMIT, lexical.split_tokens).select("query_id", F.col("doc_id").alias("id"), "rank").join(kinds, "id"))
     asked = c.vectors.join(c.questions.select(F.col("query_id").alias("id")), "id", "left_semi")
     near = lambda k: durable(vectors.nearest(c.vectors.where(F.col("channel") == k), asked.where(F.col("channel") == k), 3 * LIMIT).join(kinds, "id"))
     fts, *parts = together(c.records.sparkSession, words, lambda: near("code"), lambda: near("knowledge"))
     return fts, reduce(DataFrame.unionByName, parts)
 
 
-def documents(c: Corpus) -> DataFrame:
-    return c.records.select(F.col("id").alias("doc_id"), *FIELDS)
-
-
 def signals(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
     """Hits, strength and gradient per question and channel, in one row."""
     near = _numbered(knn, ("query_id", "channel"), ["rank", "id"]).groupBy("query_id").pivot("channel", ["code", "knowledge"])
@@ -103,7 +104,7 @@ def covered(c: Corpus, fts: DataFrame) -> DataFrame:
     head = fts.where(F.col("rank") <= HEAD).join(c.records.select("id", F.lower(F.concat_ws(" ", "title", "content")).alias("t")), "id")
     head = head.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), " ").alias("text"))
     terms = c.questions.select(F.explode(lexical.content_terms(F.col("text"))).alias("term")).distinct()
-    return lexical.answer_coverage(c.questions.select("query_id", "text"), head, lexical.document_frequency(documents(c), FIELDS, terms), c.records.agg(F.count("*").alias("n")))
+    return lexical.answer_coverage(c.questions.select("query_id", "text"), head, lexical.document_frequency(c.tokens, FIELDS, terms, lexical.split_tokens), c.records.agg(F.count("*").alias("n")))
 
 
 def direct_results(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
@@ -127,7 +128,11 @@ def direct_results(c: Corpus, fts: DataFrame, knn: DataFrame) -> DataFrame:
 
 def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) -> DataFrame:
     """(query_id, id, score, place, channel) of all that leads on; the smaller `place` wins an id. Every kind is a plan of its own
-    and written: the driver's time and memory for one plan of all grow faster than its length."""
+    and written: the driver's time and memory for one plan of all grow faster than its length.
+
+    Of the files that changed under a question's terms, which grow with questions times files, only those come out that
+    graph.capped() may keep: the best ones that neither the direct results nor a smaller place hold. Larger places are without
+    any of them, best or not."""
     spark = direct.sparkSession
     top = direct.where("rank = 1").select("query_id", F.col("score").alias("top"))
     part = lambda df, score, place, channel: df.select("query_id", "id", score.alias("score"), F.lit(place).alias("place"), F.lit(channel).alias("channel")).where(F.col("score") >= fusion.MIN_RELEVANCE)
@@ -142,7 +147,7 @@ def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) ->
     live = F.broadcast(live) if live.count() <= BROADCAST_IDS else live
 
     def reached() -> DataFrame:
-        """Records reached from the best of both lists over curated edges."""
+        """Records reached from the best of both lists over curated edges, strong and weak."""
         cosine = vectors.l2_to_cosine(F.col("distance"))
         seeds = durable(graph.seed_weights([fts.select("query_id", "id", "rank", F.lit(True).alias("direct")), knn.select("query_id", "id", "rank", (cosine >= DIRECT_COSINE).alias("direct"))]).join(top.select("query_id"), "query_id", "left_semi"))
         rows = durable(graph.graph_first(seeds, c.edges, by=("query_id",)).withColumnRenamed("node", "id").join(top, "query_id").join(live, "id", "left_semi"))
@@ -152,7 +157,7 @@ def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) ->
 
     def led() -> DataFrame:
         """Paths from the direct results over all edges."""
-        paths = graph.expand(scores, c.edges, 2, by=("query_id",), trail=False).join(scores, ["query_id", "seed"])
+        paths = graph.expand(scores, c.edges, 2, by=("query_id",), trail=False, floor=fusion.MIN_RELEVANCE)
         rows = part(paths.withColumnRenamed("node", "id"), graph.expansion_score(F.col("own"), F.col("depth"), F.col("types")), 2, "path")
         return durable(rows.join(live, "id", "left_semi"))
 
@@ -163,19 +168,12 @@ def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) ->
         beside = beside.join(members.select(F.col("id").alias("sibling"), "words"), "sibling").join(terms, "query_id")
         return durable(part(beside.withColumnRenamed("sibling", "id").withColumnRenamed("score", "own"), graph.sibling_score(F.col("own"), graph.word_overlap(F.col("words"), F.col("asked"))), 3, "sibling"))
 
-    def changed() -> DataFrame:
-        """Files that changed under the question's terms."""
-        wanted = c.questions.join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.explode(F.array_distinct(lexical.content_terms(F.col("text")))).alias("term"))
-        idf = wanted.join(c.changes, "term").groupBy("query_id", "id").agg(F.sum(F.col("n") / F.col("df")).alias("idf"), F.sum("n").alias("cnt"))
-        idf = idf.join(words.select("id", "words"), "id").join(terms, "query_id")
-        return durable(part(idf, graph.cochange_score(F.col("idf"), graph.word_overlap(F.col("words"), F.col("asked")), F.col("cnt")), 4, "co-change"))
-
     def widened() -> DataFrame:
         """What the question finds when widened by the terms of its first documents."""
         feedback = fts.where(F.col("rank") <= FEEDBACK).join(c.records.select("id", "title", "content"), "id").withColumnRenamed("id", "doc_id")
         new = lexical.expansion_terms(feedback, c.questions).groupBy("query_id").agg(F.collect_list("term").alias("more"))
         wider = durable(c.questions.join(new, "query_id").join(top.select("query_id"), "query_id", "left_semi").select("query_id", F.concat("terms", "more").alias("terms")))
-        novel = lexical.bm25(documents(c), wider, FIELDS, LIMIT).select("query_id", F.col("doc_id").alias("id")).join(fts.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        novel = lexical.bm25(c.tokens, wider, FIELDS, LIMIT, lexical.split_tokens).select("query_id", F.col("doc_id").alias("id")).join(fts.select("query_id", "id"), ["query_id", "id"], "left_anti")
         return durable(part(novel.join(top, "query_id"), F.col("top") * PRF_DECAY, 6, "feedback"))
 
     def deep() -> DataFrame:
@@ -183,15 +181,39 @@ def expansions(c: Corpus, fts: DataFrame, knn: DataFrame, direct: DataFrame) ->
         both = fusion.corroborated(fts.select("query_id", "id", "rank").unionByName(knn.select("query_id", "id", "rank")).where(F.col("rank") > LIMIT))
         return durable(part(both.join(top, "query_id"), F.col("top") * DEEP_DECAY, 7, "deep"))
 
-    return reduce(DataFrame.unionByName, together(spark, reached, led, sibling, changed, widened, deep))
+    graphed, siblings, feedback, ranks = together(spark, reached, sibling, widened, deep)
+    released(spark)
+    paths = led()  # the largest, so the shuffle files of the others are gone by then
+    released(spark)
+    early = reduce(DataFrame.unionByName, [graphed.where("place = 1"), paths, siblings])
+    late = reduce(DataFrame.unionByName, [graphed.where("place > 1"), feedback, ranks])
+    asked = durable(terms.join(top.select("query_id"), "query_id", "left_semi").select("query_id", "asked", F.array_distinct(F.filter("asked", lexical.is_content_term)).alias("terms")))
+    files = c.changes.select("id").distinct()
+    held = early.select("query_id", "id").unionByName(direct.select("query_id", "id")).join(files, "id", "left_semi")
+
+    def changed() -> DataFrame:
+        """The best files that changed under the question's terms."""
+        best = mining.best_changed(c.changes, words.select("id", "words"), asked, held, LIMIT // graph.COCHANGE_PART)
+        return durable(part(best, F.col("score"), 4, "co-change"))
+
+    def unchanged() -> DataFrame:
+        """Larger places without files that changed under the question's terms."""
+        wanted = asked.select("query_id", F.explode("terms").alias("term"))
+        pairs = late.select("query_id", "id").join(files, "id", "left_semi").join(wanted, "query_id").join(c.changes.select("term", "id"), ["term", "id"], "left_semi")
+        return durable(late.join(pairs.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti"))
+
+    return reduce(DataFrame.unionByName, [early, *together(spark, changed, unchanged)])
 
 
 def search(spark: SparkSession, folder: str, c: Corpus | None = None) -> DataFrame:
     """(query_id, id, channel, rank, relevance): direct results, then up to LIMIT that lead on from them, of which a quarter at
     most by co-change. An id stands once: direct results first, then the best score of its first channel."""
     c = c or corpus(spark, folder)
+    released(spark)
     fts, knn = lists(c)
+    released(spark)
     direct = durable(direct_results(c, fts, knn))
+    released(spark)
     more = expansions(c, fts, knn, direct).where(F.col("query_id") != F.col("id"))
     claimed = more.groupBy("query_id", "id").agg(F.min(F.struct("place", (-F.round("score", 9)).alias("less"), "channel")).alias("c")).select("query_id", "id", (-F.col("c.less")).alias("score"), "c.channel")
     claimed = claimed.join(direct.select("query_id", "id").hint("shuffle_hash"), ["query_id", "id"], "left_anti")  # by the keys of the claims
